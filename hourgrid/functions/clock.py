@@ -42,11 +42,14 @@ def is_last_sunday(date: str | Column, month: int) -> Column:
     return (F.month(date) == month) & (F.weekday(date) == 6) & (F.dayofmonth(date) >= 25)
 
 
+def weekday_names(days: list[int]) -> list[str]:
+    """Names of the weekday dummies; the list ``[0]`` switches them off."""
+    return [] if list(days) == [0] else [f"WD_{k}" for k in days]
+
+
 def weekday_dummies(date: str | Column, days: list[int]) -> dict[str, Column]:
-    """0/1 columns ``WD_k``; the list ``[0]`` switches them off."""
-    if list(days) == [0]:
-        return {}
-    return {f"WD_{k}": (weekday_number(date) == k).cast("int") for k in days}
+    """0/1 columns ``WD_k``."""
+    return {name: (weekday_number(date) == k).cast("int") for name, k in zip(weekday_names(days), days)}
 
 
 def rush_hour(hour: str | Column) -> Column:

@@ -17,11 +17,11 @@ def pct_change(now: Column, before: Column, zero_as: float | None = None) -> Col
 
 
 def null_safe_total(columns: list[str], digits: int = 2) -> Column:
-    """Row-wise sum with nulls as zero."""
+    """Row-wise sum with nulls as zero. Noise of the sum is cut first, so ties round alike in any order of adding."""
     total = F.lit(0.0)
     for c in columns:
         total = total + F.coalesce(F.col(c), F.lit(0.0))
-    return F.round(total, digits)
+    return F.round(F.round(total, digits + 6), digits)
 
 
 def clamp(value: Column, low: Column, high: Column) -> Column:

@@ -16,7 +16,7 @@ TREES, RATE = 100, 0.1
 
 def assemble(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """Feature vector of the rows whose features are complete."""
-    clean = df.na.drop("any", list(features))
+    clean = df.na.drop("any", subset=list(features))
     return VectorAssembler(inputCols=list(features), outputCol="_features").transform(clean).withColumn(
         "_label", F.col(target).cast("double"))
 

@@ -182,4 +182,5 @@ def level_from_difference(diff_forecast: DataFrame, grid: DataFrame, price: str,
     """Price forecast = forecast difference + the price ``rows`` hours earlier."""
     lagged = blocks.windowed(grid.select(*CELL, price), -(-rows // 24),
                              lambda w: {"_base": F.lag(price, rows).over(w)})
-    return diff_forecast.join(lagged, list(CELL)).withColumn("y_level", F.col("y_pred") + F.col("_base")).drop("_base")
+    return diff_forecast.join(lagged, list(CELL)).withColumn("y_level", F.col("y_pred") + F.col("_base")).drop(
+        price, "_base")

@@ -248,7 +248,7 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
 
 
 def complete_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    return df.na.drop("any", list(columns) if columns else None)
+    return df.na.drop("any", subset=list(columns) if columns else None)
 
 
 def unpivot(df: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> DataFrame:

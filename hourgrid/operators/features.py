@@ -3,15 +3,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from hourgrid.functions.clock import (daily_cycles, day_hour, hourly_cycles, rush_hour, weekday_dummies)
+from hourgrid.functions.clock import daily_cycles, hourly_cycles, rush_hour, weekday_dummies, weekday_names
 from hourgrid.functions.numeric import pct_change, standardise
 from hourgrid.operators import blocks
-from hourgrid.operators.windows import (days_of, lagged, rolling_std, rows_of, second_difference)
+from hourgrid.operators.windows import (days_of, frame_sum, lagged, last_of_previous_day, rolling_std, rows_of,
+                                        running_totals, second_difference)
 
 KEYS = ("zone",)
 DATE, HOUR = "local_date", "hour"
@@ -61,10 +62,10 @@ class HourlySpec:
     weather: Sequence[str] = ()
     weather_lags: Sequence[int] = (0,)
     difference: bool = False
+    last_price: bool = False
     extras: bool = False
     slots: int = 24
     block_days: int | None = None
-    plan: dict[str, Sequence[int]] = field(default_factory=dict)
 
     def lag_plan(self) -> dict[str, Sequence[int]]:
         plan: dict[str, Sequence[int]] = {self.load: self.load_lags} if self.load else {}
@@ -76,6 +77,12 @@ class HourlySpec:
     def target(self) -> str:
         return f"delta{self.price}" if self.difference else self.price
 
+    def regressors(self) -> list[str]:
+        """Feature names in table order, without the extras and ``price_last``."""
+        return [*[f"{self.target()}_lag_{k}" for k in self.price_lags],
+                *[f"{c}_lag_{k}" for c, ks in self.lag_plan().items() for k in ks],
+                *weekday_names(list(self.weekdays))]
+
 
 def hourly_features(grid: DataFrame, spec: HourlySpec) -> DataFrame:
     """Target, lags of price, day-ahead series, fuels and weather, and weekday dummies on the complete grid.
@@ -85,7 +92,7 @@ def hourly_features(grid: DataFrame, spec: HourlySpec) -> DataFrame:
     """
     slots, price, target = spec.slots, spec.price, spec.target()
     lags = spec.lag_plan()
-    reach_days = max([0, *spec.price_lags, *[k for ks in lags.values() for k in ks]])
+    reach_days = max([int(spec.last_price), *spec.price_lags, *[k for ks in lags.values() for k in ks]])
     reach_days += 1 if spec.difference else 0
     if spec.extras:
         reach_days = max(reach_days, 7, days_of(slots + 24 + 1, slots))
@@ -102,6 +109,8 @@ def hourly_features(grid: DataFrame, spec: HourlySpec) -> DataFrame:
     def stage(w: WindowSpec) -> dict[str, Column]:
         out = {f"{target}_lag_{k}": lagged(target, rows_of(k, "day", slots), w) for k in spec.price_lags}
         out.update({f"{c}_lag_{k}": lagged(c, rows_of(k, "day", slots), w) for c, ks in lags.items() for k in ks})
+        if spec.last_price:
+            out["price_last"] = last_of_previous_day(price, w, slots=slots)
         if spec.extras:
             out["_pct"] = pct_change(F.col("_old"), F.col("_older"), 1.0)
             out["pct_chg_Load_DA"] = pct_change(F.col(spec.load), F.lag(spec.load, 1).over(w))
@@ -115,9 +124,7 @@ def hourly_features(grid: DataFrame, spec: HourlySpec) -> DataFrame:
     stages = [base, stage] + ([volatility] if spec.extras else [])
     out = blocks.windowed(grid, reach_days, *stages, block_days=spec.block_days)
     out = out.withColumns(weekday_dummies(DATE, list(spec.weekdays)))
-    names = [*CELL, target, *[f"{target}_lag_{k}" for k in spec.price_lags],
-             *[f"{c}_lag_{k}" for c, ks in lags.items() for k in ks],
-             *weekday_dummies(DATE, list(spec.weekdays))]
+    names = [*CELL, target, *spec.regressors()] + (["price_last"] if spec.last_price else [])
     if spec.extras:
         first = grid.groupBy(*KEYS).agg(F.min(DATE).alias("_first"))
         out = out.join(first, list(KEYS))
@@ -267,7 +274,7 @@ def train_test_slice(df: DataFrame, columns: Sequence[str], targets: Sequence[st
 
     ``eval_start`` is the 0-based position of the test row among the complete rows of a series.
     """
-    clean = df.na.drop("any", [*columns, *targets])
+    clean = df.na.drop("any", subset=[*columns, *targets])
     placed = blocks.position(clean, keys, (date,), "_pos").withColumn("_pos", F.col("_pos") - 1)
     cut = placed.filter(F.col("_pos").between(eval_start - train_days, eval_start))
     part = F.when(F.col("_pos") < eval_start, "train").otherwise("test")
@@ -297,10 +304,12 @@ def origin_schedule(days: DataFrame, train_days: int, kind: str = "rolling", key
 def origin_history(series: DataFrame, value: str, window: int, keys: Sequence[str] = KEYS,
                    order: Sequence[str] = (DATE,)) -> DataFrame:
     """Per forecast origin a summary of its history slice [origin - window, origin - 1], as row frames."""
-    def stage(w: WindowSpec) -> dict[str, Column]:
-        frame = w.rowsBetween(-window, -1)
-        return {"history_rows": F.count(value).over(frame), "history_mean": F.avg(value).over(frame)}
-    return blocks.windowed(series, window, stage, keys=keys, order=order)
+    return blocks.windowed(
+        series, window,
+        lambda w: running_totals({"_n": F.when(F.col(value).isNotNull(), 1.0), "_s": F.col(value)}, w),
+        lambda w: {"history_rows": frame_sum("_n", window, w).cast("long"), "_f": frame_sum("_s", window, w)},
+        lambda w: {"history_mean": F.try_divide(F.col("_f"), F.col("history_rows"))},
+        keys=keys, order=order).drop("_n", "_s", "_f")
 
 
 def split_labels(df: DataFrame, origin: str, date: str = DATE, validation_days: int = 2,

@@ -142,7 +142,7 @@ def partial_corr(df: DataFrame, y: str, x: str, given: Sequence[str], keys: Sequ
     All pairwise correlations come from one aggregation; the given columns are then removed one by one.
     """
     names = [y, x, *given]
-    clean = df.na.drop("any", names)
+    clean = df.na.drop("any", subset=names)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
     out = clean.groupBy(*keys).agg(*[F.corr(a, b).alias(f"{a}~{b}") for a, b in pairs])
 
@@ -206,7 +206,7 @@ def unit_root_stat(series: DataFrame, value: str, lags: int = 0, keys: Sequence[
         lambda w: {f"_d{k}": F.lag("_change", k).over(w) for k in range(1, lags + 1)} or {"_none": F.lit(0)},
         keys=keys, order=order)
     names = ["_change", "_level", *steps]
-    clean = framed.na.drop("any", names)
+    clean = framed.na.drop("any", subset=names)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     moments = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
                                        *[F.covar_pop(a, b).alias(f"{a}|{b}") for a, b in pairs])
@@ -241,7 +241,8 @@ def hill_index(df: DataFrame, value: str, start: int = 14, end: int | None = Non
     counted = counted.withColumn("s", F.log("v") * F.col("c"))
     cuts = counted.agg(F.percentile_approx("v", F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)]),
                                            F.lit(10000))).scalar()
-    counted = counted.withColumn("b", F.size(F.filter(cuts, lambda cut: cut > F.col("v"))))
+    counted = counted.withColumn("_cuts", cuts).withColumn("b", F.size(F.filter("_cuts", lambda cut: cut > F.col("v"))))
+    counted = counted.drop("_cuts")
     above = blocks.Window.orderBy("b").rowsBetween(blocks.Window.unboundedPreceding, -1)
     per_bucket = counted.groupBy("b").agg(F.sum("c").alias("_c"), F.sum("s").alias("_s"))
     carry = per_bucket.select("b", F.coalesce(F.sum("_c").over(above), F.lit(0)).alias("_c0"),

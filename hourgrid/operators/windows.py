@@ -68,15 +68,18 @@ def lag_block(df: DataFrame, lags: Mapping[str, Sequence[int]], unit: str, keys:
     return blocks.windowed(df, days_of(reach, slots), stage, keys=keys, order=order, block_days=block_days)
 
 
+def last_of_previous_day(c: str, w: WindowSpec, date: str = "local_date", hour: str = "hour", slots: int = 24) -> Column:
+    """Value in the last slot of the day before; null if that cell is null."""
+    last = F.when(F.col(hour) == slots - 1, F.struct(F.col(date).alias("d"), F.col(c).alias("v")))
+    seen = F.last(last, ignorenulls=True).over(w.rowsBetween(-slots, -1))
+    return F.when(seen["d"] == F.date_sub(date, 1), seen["v"])
+
+
 def previous_day_last(df: DataFrame, c: str, name: str = "price_last", keys: Sequence[str] = KEYS,
                       date: str = "local_date", hour: str = "hour", slots: int = 24) -> DataFrame:
-    """Value in the last slot of the day before, on every row of a day."""
-    def stage(w: WindowSpec) -> dict[str, Column]:
-        # the last slot of yesterday lies hour+1 rows back; a lag needs a constant, so take the last value of the frame
-        last = F.when(F.col(hour) == slots - 1, F.struct(F.col(date).alias("d"), F.col(c).alias("v")))
-        seen = F.last(last, ignorenulls=True).over(w.rowsBetween(-slots, -1))
-        return {name: F.when(seen["d"] == F.date_sub(date, 1), seen["v"])}
-    return blocks.windowed(df, 1, stage, keys=keys, order=(date, hour))
+    """Last value of the day before, on every row of a day."""
+    return blocks.windowed(df, 1, lambda w: {name: last_of_previous_day(c, w, date, hour, slots)},
+                           keys=keys, order=(date, hour))
 
 
 def hour_zero(df: DataFrame, columns: Sequence[str], suffix: str = "_h0", keys: Sequence[str] = KEYS,
@@ -131,14 +134,54 @@ def daily_volatility(df: DataFrame, c: str, n: int = 24, lag: int = 1, names: Se
     return both.filter(F.col(order[1]) == 0).select(*keys, order[0], *names)
 
 
+def running_totals(columns: Mapping[str, str | Column], w: WindowSpec) -> dict[str, Column]:
+    """Totals of the rows before the current one, to be turned into frame sums by ``frame_sum``.
+
+    A moving frame costs its length per row; running totals cost one step per row. They start anew in every block, so
+    they stay short enough to subtract.
+    """
+    before = w.rowsBetween(blocks.Window.unboundedPreceding, -1)
+    return {name: F.coalesce(F.sum(c).over(before), F.lit(0.0)) for name, c in columns.items()}
+
+
+def frame_sum(total: str, n: int, w: WindowSpec) -> Column:
+    """Sum over the ``n`` rows before the current one."""
+    return F.col(total) - F.coalesce(F.lag(total, n).over(w), F.lit(0.0))
+
+
 def rolling_regression(df: DataFrame, y: str, x: str, window: int, name: str = "y_pred",
                        keys: Sequence[str] = KEYS, order: Sequence[str] = ("local_date",)) -> DataFrame:
-    """Forecast of ``y`` by a line in ``x`` fitted on the ``window`` rows before the current one."""
+    """Forecast of ``y`` by a line in ``x`` fitted on the complete pairs of the ``window`` rows before the current one."""
+    sums = ("_n", "_x", "_y", "_xx", "_xy")
+
+    def centre(w: WindowSpec) -> dict[str, Column]:
+        whole = blocks.Window.partitionBy(*keys, blocks.BLOCK)
+        pair = F.col(x).isNotNull() & F.col(y).isNotNull()
+        return {"_mx": F.avg(F.when(pair, F.col(x))).over(whole), "_my": F.avg(F.when(pair, F.col(y))).over(whole)}
+
+    def totals(w: WindowSpec) -> dict[str, Column]:
+        pair = F.col(x).isNotNull() & F.col(y).isNotNull()
+        u, v = F.when(pair, F.col(x) - F.col("_mx")), F.when(pair, F.col(y) - F.col("_my"))
+        return running_totals({"_n": F.when(pair, 1.0), "_x": u, "_y": v, "_xx": u * u, "_xy": u * v}, w)
+
+    def frames(w: WindowSpec) -> dict[str, Column]:
+        return {f"{c}_f": frame_sum(c, window, w) for c in sums}
+
     def fit(w: WindowSpec) -> dict[str, Column]:
-        frame = w.rowsBetween(-window, -1)
-        return {"intercept": F.regr_intercept(y, x).over(frame), "slope": F.regr_slope(y, x).over(frame)}
-    return blocks.windowed(df, window, fit,
-                           lambda w: {name: F.col("intercept") + F.col("slope") * F.col(x)}, keys=keys, order=order)
+        n, sx, sy, sxx, sxy = (F.col(f"{c}_f") for c in sums)
+        spread = n * sxx - sx * sx
+        flat = (n < 2) | (spread <= 1e-12 * n * sxx)
+        return {"slope": F.when(~flat, (n * sxy - sx * sy) / spread)}
+
+    def line(w: WindowSpec) -> dict[str, Column]:
+        n, sx, sy = (F.col(f"{c}_f") for c in sums[:3])
+        return {"intercept": F.col("_my") + F.try_divide(sy, n) - F.col("slope") * (F.col("_mx") + F.try_divide(sx, n))}
+
+    def forecast(w: WindowSpec) -> dict[str, Column]:
+        return {name: F.col("intercept") + F.col("slope") * F.col(x)}
+
+    out = blocks.windowed(df, window, centre, totals, frames, fit, line, forecast, keys=keys, order=order)
+    return out.select(*df.columns, "intercept", "slope", name)
 
 
 def decay_weights(df: DataFrame, alpha: float, name: str = "weight", keys: Sequence[str] = KEYS,

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrid.functions.clock import hour_floor
+from hourgrid.functions.clock import day_hour, hour_floor
 from hourgrid.operators import blocks, etl, timegrid
 from hourgrid.sources.tables import read_parquet
 
@@ -116,10 +116,17 @@ DAILY_SQL = """daily AS (
 NAIVE_DAYS = [1, 2, 7]
 
 
-def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filled_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price grid with gaps filled by the last known price, so that days are whole."""
+    cells = grid(spark, sf_dir, ["Price"]).withColumn("at", day_hour("local_date", "hour"))
+    return blocks.forward_fill(cells, ["Price"], ["zone"], "at").drop("at")
+
+
+def forecasts(spark: SparkSession, sf_dir: str, filled: bool = False) -> DataFrame:
     """Naive experts: the price of the same hour 1, 2 and 7 days ago."""
+    prices = filled_grid(spark, sf_dir) if filled else grid(spark, sf_dir, ["Price"])
     framed = blocks.windowed(
-        grid(spark, sf_dir, ["Price"]), max(NAIVE_DAYS),
+        prices, max(NAIVE_DAYS),
         lambda w: {f"naive_{k}": F.lag("Price", 24 * k).over(w) for k in NAIVE_DAYS})
     return framed.unpivot(["zone", "local_date", "hour", "Price"], [f"naive_{k}" for k in NAIVE_DAYS], "model",
                           "y_pred").withColumnRenamed("Price", "y_true")
@@ -132,15 +139,25 @@ def whole_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ["zone", "local_date", "hour"], "_e").drop("_e")
 
 
-FORECAST_SQL = GRID_SQL + """,
+FILLED_SQL = GRID_SQL + """,
+filled AS (SELECT zone, local_date, hour, last_value(Price IGNORE NULLS) OVER (PARTITION BY zone
+  ORDER BY local_date, hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS Price FROM grid)"""
+
+
+def forecast_sql(source: str) -> str:
+    return f""",
 lagged AS (
   SELECT zone, local_date, hour, Price,
          lag(Price, 24) OVER w AS naive_1, lag(Price, 48) OVER w AS naive_2, lag(Price, 168) OVER w AS naive_7
-  FROM grid WINDOW w AS (PARTITION BY zone ORDER BY local_date, hour)),
+  FROM {source} WINDOW w AS (PARTITION BY zone ORDER BY local_date, hour)),
 forecasts AS (
   SELECT zone, local_date, hour, 'naive_1' AS model, Price AS y_true, naive_1 AS y_pred FROM lagged
   UNION ALL SELECT zone, local_date, hour, 'naive_2', Price, naive_2 FROM lagged
   UNION ALL SELECT zone, local_date, hour, 'naive_7', Price, naive_7 FROM lagged)"""
+
+
+FORECAST_SQL = GRID_SQL + forecast_sql("grid")
+FILLED_FORECAST_SQL = FILLED_SQL + forecast_sql("filled")
 WHOLE_SQL = FORECAST_SQL + """,
 whole AS (
   SELECT f.* FROM forecasts f JOIN lagged g USING (zone, local_date, hour)

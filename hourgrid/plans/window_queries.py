@@ -38,10 +38,6 @@ def cyclic_daily(spark, d):
     return st.daily(spark, d).select("zone", "local_date", *[c.alias(n) for n, c in parts.items()])
 
 
-def rolling_zscore(spark, d):
-    return features.rolling_zscore(price(spark, d), "Price", 5).select("zone", "local_date", "hour", "z")
-
-
 def regression(spark, d, window):
     lagged = blocks.windowed(st.daily(spark, d).select("zone", "local_date", "value"), 1,
                              lambda w: {"x": F.lag("value", 1).over(w)}, order=("local_date",))
@@ -51,7 +47,8 @@ def regression(spark, d, window):
 def regression_sql(window):
     return f"""WITH {st.DAILY_SQL}, x AS (SELECT zone, local_date, value, lag(value, 1) OVER (PARTITION BY zone
   ORDER BY local_date) AS x FROM daily),
-f AS (SELECT *, regr_intercept(value, x) OVER r AS intercept, regr_slope(value, x) OVER r AS slope FROM x
+f AS (SELECT *, nullif(regr_intercept(value, x) OVER r, 'nan') AS intercept,
+             nullif(regr_slope(value, x) OVER r, 'nan') AS slope FROM x
       WINDOW r AS (PARTITION BY zone ORDER BY local_date ROWS BETWEEN {window} PRECEDING AND 1 PRECEDING))
 SELECT zone, local_date, value, x, intercept, slope, intercept + slope * x AS y_pred FROM f"""
 
@@ -96,11 +93,11 @@ lag(Price, 24) OVER w - 2 * lag(Price, 25) OVER w + lag(Price, 26) OVER w AS sec
         st.grid(s, d, ["Price", "Oil"]), 1,
         lambda w: {"plain": pct_change(F.col("Oil"), F.lag("Oil", 1).over(w)),
                    "adjusted": pct_change(F.col("Oil"), F.lag("Oil", 1).over(w), 1.0),
-                   "price": pct_change(F.col("Price"), F.lag("Price", 1).over(w))}).drop("Price", "Oil"),
+                   "price_pct": pct_change(F.col("Price"), F.lag("Price", 1).over(w))}).drop("Price", "Oil"),
           f"""WITH {st.GRID_SQL}, x AS (SELECT *, lag(Oil, 1) OVER w AS p1, lag(Price, 1) OVER w AS q1 FROM grid {W})
 SELECT {CELLS}, 100 * ((Oil - p1) / nullif(p1, 0)) AS plain,
-100 * ((Oil - p1) / CASE WHEN p1 = 0 THEN 1.0 ELSE p1 END) AS adjusted, 100 * ((Price - q1) / nullif(q1, 0)) AS price FROM x""",
-          "plain adjusted price", "local_date"),
+100 * ((Oil - p1) / CASE WHEN p1 = 0 THEN 1.0 ELSE p1 END) AS adjusted, 100 * ((Price - q1) / nullif(q1, 0)) AS price_pct FROM x""",
+          "plain adjusted price_pct", "local_date"),
     Query("rolling_std", on_price(2, lambda w: {"std_24": windows.rolling_std("Price", 24, w),
                                                 "std_3": windows.rolling_std("Price", 3, w)}),
           f"""WITH {st.GRID_SQL} SELECT {CELLS}, Price, {frame('stddev_samp({})', 24)} AS std_24,
@@ -120,13 +117,13 @@ y AS (SELECT {CELLS}, {frame('stddev_samp({})', 24)} AS vol_24h_lag1,
 SELECT zone, local_date, vol_24h_lag1, volpct_24h_lag1 FROM y WHERE hour = 0""",
           "vol_24h_lag1 volpct_24h_lag1", "local_date"),
     Query("base_index", lambda s, d: windows.base_index(
-        st.daily(s, d).select("zone", F.col("local_date").cast("timestamp_ntz").alias("at"), "value").filter(
-            "value is not null"), "value", "at", "1996-01-01", "1996-02-01"),
+        st.daily(s, d).select("zone", F.col("local_date").cast("timestamp_ntz").alias("time_utc"), "value").filter(
+            "value is not null"), "value", "time_utc", "1996-01-01", "1996-02-01"),
           f"""WITH {st.DAILY_SQL}, k AS (SELECT * FROM daily WHERE value IS NOT NULL),
 b AS (SELECT zone, arg_min(value, local_date) AS base FROM k
       WHERE local_date >= DATE '1996-01-01' AND local_date < DATE '1996-02-01' GROUP BY 1)
-SELECT k.zone, CAST(k.local_date AS TIMESTAMP) AS at, k.value, k.value / nullif(b.base, 0) AS indexed
-FROM k LEFT JOIN b ON b.zone = k.zone""", "value indexed", "at"),
+SELECT k.zone, CAST(k.local_date AS TIMESTAMP) AS time_utc, k.value, k.value / nullif(b.base, 0) AS indexed
+FROM k LEFT JOIN b ON b.zone = k.zone""", "value indexed", "time_utc"),
     Query("rolling_median_low", on_price(1, lambda w: {"median": windows.rolling_median_low("Price", 4, w)}),
           f"""WITH {st.GRID_SQL} SELECT {CELLS}, Price, {frame('quantile_disc({}, 0.5)', 4)} AS median FROM grid""",
           "Price median", "local_date"),

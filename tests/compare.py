@@ -66,9 +66,10 @@ def main() -> int:
         try:
             df = query.spark(spark, sf_dir)
             found = differences(df, con, query.oracle()) if query.sql else []
-            note = "" if query.sql else f"rows only: {df.count()}"
+            note = "" if query.sql and con.execute(f"SELECT count(*) FROM ({query.oracle()})").fetchone()[0] else (
+                f"rows only: {df.count()}")
         except Exception as error:  # report and go on with the next query
-            found, note = [f"{type(error).__name__}: {str(error)[:1500]}"], ""
+            found, note = [f"{type(error).__name__}: {str(error)[:400]}"], ""
         failed += bool(found)
         print(f"{'FAIL' if found else 'ok  '} {name:26s} {time.time() - began:6.2f}s {note}", *found, sep="\n     "
               if found else " ", flush=True)
