@@ -330,16 +330,12 @@ def _cubic_pieces(t: Column) -> list[Column]:
 
 
 def _basis_array(interval: Column, t: Column, size: int, cyclic: bool) -> Column:
-    """Values of ``size`` basis functions as an array; function j is non-zero on intervals j-3 .. j."""
-    pieces = _cubic_pieces(t)
-    values = []
-    for j in range(size):
-        distance = F.lit(j) - interval
-        if cyclic:
-            distance = F.pmod(distance, F.lit(size))
-        values.append(F.when(distance == 0, pieces[0]).when(distance == 1, pieces[1]).when(distance == 2, pieces[2])
-                      .when(distance == 3, pieces[3]).otherwise(F.lit(0.0)))
-    return F.array(*values)
+    """Values of ``size`` basis functions as an array; on interval i the functions i .. i+3 are not zero."""
+    zero, pieces = F.lit(0.0), F.array(*_cubic_pieces(t))
+    if not cyclic:
+        return F.concat(F.array_repeat(zero, interval), pieces, F.array_repeat(zero, F.lit(size - 4) - interval))
+    row = F.concat(pieces, F.array_repeat(zero, F.lit(size - 4)))
+    return F.concat(F.slice(row, F.lit(size + 1) - interval, interval), F.slice(row, F.lit(1), F.lit(size) - interval))
 
 
 def spline_basis(x: str | Column, low: str | Column, high: str | Column, intervals: int = 5,

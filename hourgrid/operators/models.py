@@ -110,6 +110,7 @@ def as_experts(fits: DataFrame, prefix: str = "D") -> DataFrame:
 # ---- additive models ------------------------------------------------------------------------------------------------
 
 FLUSH_GROUPS = 64  # cross-product matrices a map task holds before it writes them out
+BETA_FIELDS = "n_train long, rmse_train double, beta array<double>"
 GRAM_FIELDS = "n double, yy double, xy array<double>, xx array<double>"
 
 
@@ -119,9 +120,7 @@ def cross_products(design: DataFrame, keys: Sequence[str], target: str = "y", x:
     Only matrices are shuffled. A hot key costs one matrix per task, whatever its number of rows.
     """
     keys = list(keys)
-    types = dict(design.dtypes)
     rows = design.filter(F.col(x).isNotNull() & F.col(target).isNotNull()).select(*keys, target, x)
-    fields = ", ".join(f"{k} {types[k]}" for k in keys)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, list] = {}
@@ -141,23 +140,23 @@ def cross_products(design: DataFrame, keys: Sequence[str], target: str = "y", x:
         if held:
             yield flush()
 
-    parts = rows.mapInPandas(partial, f"{fields}, {GRAM_FIELDS}")
+    parts = rows.mapInPandas(partial, f"{_key_fields(rows, keys)}, {GRAM_FIELDS}")
     return add_matrices(parts, keys)
 
 
-def _add_cells(name: str, size: Column) -> Column:
-    """Element-wise sum over a bounded group of equally long arrays."""
-    return F.aggregate(F.collect_list(name), F.array_repeat(F.lit(0.0), size),
-                       lambda acc, a: F.zip_with(acc, a, lambda u, v: u + v)).alias(name)
+def _key_fields(df: DataFrame, keys: Sequence[str]) -> str:
+    types = dict(df.dtypes)
+    return ", ".join(f"{k} {types[k]}" for k in keys)
 
 
 def add_matrices(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Sum cross products by key. Two steps with a salt, so one key's matrices are never gathered in one place."""
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64("n", "yy"), F.lit(16)))
+    """Sum cross products by key, in two steps with a salt, so one key's matrices are never gathered in one place."""
+    salted = parts.withColumn("_salt", F.pmod(F.xxhash64("n", "yy"), F.lit(16)).cast("int"))
     for by in ([*keys, "_salt"], list(keys)):
-        salted = salted.groupBy(*by).agg(
-            F.sum("n").alias("n"), F.sum("yy").alias("yy"),
-            _add_cells("xy", F.max(F.size("xy"))), _add_cells("xx", F.max(F.size("xx"))))
+        def total(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            row = (*key, pdf["n"].sum(), pdf["yy"].sum(), sum(pdf["xy"]), sum(pdf["xx"]))
+            return pd.DataFrame([row])
+        salted = salted.groupBy(*by).applyInPandas(total, f"{_key_fields(salted, by)}, {GRAM_FIELDS}")
     return salted
 
 
@@ -186,8 +185,6 @@ def fit_additive(grams: DataFrame, keys: Sequence[str], sizes: Sequence[tuple[in
     """Penalised least squares from one row of cross products per key -> (keys, n_train, rmse_train, beta)."""
     penalty = difference_penalty(sizes)
     keys = list(keys)
-    types = dict(grams.dtypes)
-    fields = ", ".join(f"{k} {types[k]}" for k in keys)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -198,7 +195,39 @@ def fit_additive(grams: DataFrame, keys: Sequence[str], sizes: Sequence[tuple[in
                                     ridge)
                 fits.append((*[getattr(r, k) for k in keys], int(r.n), rmse, beta))
             yield pd.DataFrame(fits, columns=[*keys, "n_train", "rmse_train", "beta"])
-    return grams.mapInPandas(solve, f"{fields}, n_train long, rmse_train double, beta array<double>")
+    return grams.mapInPandas(solve, f"{_key_fields(grams, keys)}, {BETA_FIELDS}")
+
+
+def fit_rolling(grams: DataFrame, keys: Sequence[str], sizes: Sequence[tuple[int, bool]], periods: int,
+                smoothing: float = 1.0, ridge: float = 1e-3) -> DataFrame:
+    """One fit per key and origin period on the ``periods`` periods before it -> (keys, origin, n_train, ...).
+
+    Origins are worked on in blocks as long as the window: a block reads its own matrices and those of the window
+    before it, so every matrix is copied at most twice. Origins before the first full window are left out.
+    """
+    keys = list(keys)
+    penalty = difference_penalty(sizes)
+    at = [F.floor((F.col("period") + k) / F.lit(periods)).cast("int") for k in (1, periods)]
+    framed = grams.withColumn("_origins", F.explode(F.sequence(*at)))
+
+    def fit_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("period")
+        period, block = pdf["period"].to_numpy(), int(pdf["_origins"].iloc[0])
+        n, yy = pdf["n"].to_numpy(float), pdf["yy"].to_numpy(float)
+        xy, xx = np.stack(pdf["xy"].to_numpy()), np.stack(pdf["xx"].to_numpy())
+        out = []
+        for origin in range(max(block * periods, periods), (block + 1) * periods):
+            lo, hi = np.searchsorted(period, [origin - periods, origin])
+            if lo == hi:
+                continue
+            q = xy.shape[1]
+            beta, rmse = _solve(n[lo:hi].sum(), yy[lo:hi].sum(), xy[lo:hi].sum(axis=0),
+                                xx[lo:hi].sum(axis=0).reshape(q, q), penalty, smoothing, ridge)
+            out.append((*pdf.iloc[0][keys], origin, int(n[lo:hi].sum()), rmse, beta))
+        return pd.DataFrame(out, columns=[*keys, "origin", "n_train", "rmse_train", "beta"])
+
+    return framed.groupBy(*keys, "_origins").applyInPandas(
+        fit_block, f"{_key_fields(grams, keys)}, origin int, {BETA_FIELDS}")
 
 
 def dot(a: str, b: str) -> Column:
@@ -219,10 +248,7 @@ def additive_forecast(design: DataFrame, sizes: Sequence[tuple[int, bool]], trai
     placed = design.join(first, list(keys)).withColumn(
         "period", F.floor(F.datediff(DATE, "_first") / refit_days).cast("int")).drop("_first")
     grams = cross_products(placed, [*keys, "period"], target)
-    # a period serves the `periods` origins after it; origins before a full window are not fitted
-    used = grams.select(*keys, F.explode(F.sequence(F.col("period") + 1, F.col("period") + periods)).alias("origin"),
-                        "n", "yy", "xy", "xx").filter(F.col("origin") >= periods)
-    fits = fit_additive(add_matrices(used, [*keys, "origin"]), [*keys, "origin"], sizes, smoothing, ridge)
+    fits = fit_rolling(grams, keys, sizes, periods, smoothing, ridge)
     rows = placed.filter(F.col("period") >= periods).withColumnRenamed("period", "origin")
     others = [k for k in CELL if k not in keys]
     return rows.join(fits, [*keys, "origin"]).select(
