@@ -21,6 +21,20 @@ def day_hour(date: str | Column, hour: str | Column) -> Column:
     return F.make_timestamp_ntz(F.year(date), F.month(date), F.dayofmonth(date), hour, F.lit(0), F.lit(0))
 
 
+def seconds_of(ts: str | Column) -> Column:
+    """Whole seconds since 1970 on the clock of the stamp itself. A cast to TIMESTAMP would read it in the session
+    time zone and lose an hour in spring."""
+    day = F.unix_date(F.col(ts).cast("date") if isinstance(ts, str) else ts.cast("date"))
+    return day.cast("long") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
+def from_seconds(seconds: Column) -> Column:
+    """The stamp of ``seconds_of``."""
+    day = F.floor(seconds / 86400)
+    return (F.date_from_unix_date(day.cast("int")).cast("timestamp_ntz")
+            + F.make_dt_interval(secs=(seconds - day * 86400).cast("decimal(18,6)")))
+
+
 def to_local(ts: str | Column, tz: str) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(tz), ts)
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourgrid.functions.clock import hour_floor
+from hourgrid.functions.clock import hour_floor, seconds_of
 from hourgrid.functions.numeric import null_safe_total
 from hourgrid.operators import blocks
 
@@ -293,8 +293,7 @@ def hour_profile(df: DataFrame, value: str, keys: Sequence[str] = ("zone",), hou
 
 def modal_step(df: DataFrame, keys: Sequence[str] = ("zone",), ts: str = "time_utc") -> DataFrame:
     """Most frequent distance between neighbouring time stamps in seconds; the smallest wins a tie."""
-    seconds = F.unix_seconds(F.col(ts).cast("timestamp"))
-    rows = blocks.carried(df.select(*keys, ts, seconds.alias("_s")), {"_top": F.max("_s")},
+    rows = blocks.carried(df.select(*keys, ts, seconds_of(ts).alias("_s")), {"_top": F.max("_s")},
                           lambda w: {"_carry": F.max("_top").over(w)}, keys, ts)
     before = F.lag("_s").over(blocks.Window.partitionBy(*keys, blocks.BLOCK).orderBy(ts))
     steps = rows.select(*keys, (F.col("_s") - F.coalesce(before, F.col("_carry"))).alias("step"))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourgrid.functions.clock import is_last_sunday, slot_of_day, to_local
+from hourgrid.functions.clock import from_seconds, is_last_sunday, seconds_of, slot_of_day, to_local
 
 SPRING_MONTH, FALL_MONTH = 3, 10
 CHANGE_HOUR = 2  # local hour that is missing in March and doubled in October (CET rule)
@@ -36,7 +36,7 @@ def utc_grid(df: DataFrame, step_seconds: int | None = None, keys: Sequence[str]
 
     The step is one number for all series, or a ``steps`` table (keys, step_seconds) as ``modal_step`` returns it.
     """
-    seconds = F.unix_seconds(F.col(ts).cast("timestamp"))
+    seconds = seconds_of(ts)
     bounds = df.groupBy(*keys).agg(F.min(seconds).alias("_lo"), F.max(seconds).alias("_hi"))
     if steps is not None:
         bounds = bounds.join(steps.withColumnRenamed("step_seconds", "_step"), list(keys))
@@ -49,7 +49,7 @@ def utc_grid(df: DataFrame, step_seconds: int | None = None, keys: Sequence[str]
     cells = chunks.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), per_day - 1)))
     at = F.col("_lo") + (F.col("_chunk") * per_day + F.col("_i")) * F.col("_step")
     cells = cells.withColumn("_at", at).filter(F.col("_at") <= F.col("_hi"))
-    grid = cells.select(*keys, F.col("_at").cast("timestamp").cast("timestamp_ntz").alias(ts))
+    grid = cells.select(*keys, from_seconds(F.col("_at")).alias(ts))
     return grid.join(df, [*keys, ts], "left")
 
 
