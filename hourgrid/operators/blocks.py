@@ -58,6 +58,15 @@ def windowed(df: DataFrame, lookback_days: int, *stages: Stage, keys: Sequence[s
     return framed.filter(OWN).drop(BLOCK, OWN)
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Partition by ``keys`` for work that is heavy per row, such as a fit per group.
+
+    Adaptive execution merges shuffle partitions by their bytes and would put all the fits of a small table into one
+    task; a stated number of partitions is kept.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def day_window(keys: Sequence[str], date: str, hour: str) -> WindowSpec:
     """Window over one day of a series, inside its block."""
     return Window.partitionBy(*keys, BLOCK, date).orderBy(hour)

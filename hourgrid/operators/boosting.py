@@ -9,6 +9,8 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hourgrid.session import use_checkpoint_folder
+
 CELL = ("zone", "local_date", "hour")
 # Default number of trees and learning rate.
 TREES, RATE = 100, 0.1
@@ -24,6 +26,7 @@ def assemble(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
 def fit_trees(train: DataFrame, params: Mapping[str, object] | None = None, weight: str | None = None
               ) -> GBTRegressionModel:
     options = {"maxIter": TREES, "stepSize": RATE, "maxDepth": 5, "seed": 7, **(params or {})}
+    use_checkpoint_folder(train.sparkSession)
     trees = GBTRegressor(featuresCol="_features", labelCol="_label", predictionCol="y_pred", **options)
     if weight:
         trees = trees.setWeightCol(weight)

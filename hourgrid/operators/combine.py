@@ -173,7 +173,7 @@ def ewa_with_reset(forecasts: DataFrame, eta: float, models: Sequence[str],
                              "squared_loss": (combined - y) ** 2, "weights": list(before[:-1]),
                              "next_weights": list(before[1:])})
 
-    return cells.groupBy("zone", "hour").applyInPandas(
+    return blocks.spread(cells, ["zone", "hour"]).groupBy("zone", "hour").applyInPandas(
         walk, "zone string, local_date date, hour int, y_true double, y_pred double, squared_loss double, "
               "weights array<double>, next_weights array<double>")
 

@@ -1,8 +1,8 @@
 """Walk-forward model fits as Spark jobs.
 
-Least-squares experts are fitted per (zone, hour, block of days): a block carries the history its first day needs, so a
-long series is many independent groups of bounded size. Additive models never move design rows at all: map tasks reduce
-them to cross-product matrices per (zone, period), and an origin adds up the matrices of its window.
+Rolling fits run per (zone[, hour], block of days): a block carries the history its first day needs, so a long series is
+many independent groups of bounded size. Fits on the whole history never move design rows: map tasks reduce them to
+cross-product matrices first, and only those are shuffled and added up.
 """
 from __future__ import annotations
 
@@ -82,7 +82,8 @@ def walk_forward_ols(features: DataFrame, target: str, regressors: Sequence[str]
         return pd.DataFrame(out, columns=["zone", DATE, HOUR, "window", "y_true", "y_pred", "n_train", "rmse_train",
                                           "coefficients"])
 
-    return framed.groupBy("zone", HOUR, "window", blocks.BLOCK).applyInPandas(
+    by = ["zone", HOUR, "window", blocks.BLOCK]
+    return blocks.spread(framed, by).groupBy(*by).applyInPandas(
         fit_group, f"zone string, {DATE} date, {HOUR} int, window int, {FIT_FIELDS}")
 
 
@@ -109,15 +110,16 @@ def as_experts(fits: DataFrame, prefix: str = "D") -> DataFrame:
 
 # ---- additive models ------------------------------------------------------------------------------------------------
 
+SALTS = 16
 FLUSH_GROUPS = 64  # cross-product matrices a map task holds before it writes them out
-BETA_FIELDS = "n_train long, rmse_train double, beta array<double>"
 GRAM_FIELDS = "n double, yy double, xy array<double>, xx array<double>"
 
 
 def cross_products(design: DataFrame, keys: Sequence[str], target: str = "y", x: str = "x") -> DataFrame:
-    """Cross products (n, y'y, X'y, X'X) per key, reduced inside the map tasks first.
+    """Cross products (n, y'y, X'y, X'X) per key, as at most ``SALTS`` rows to be added up.
 
-    Only matrices are shuffled. A hot key costs one matrix per task, whatever its number of rows.
+    Map tasks reduce their rows first and only matrices are shuffled: a hot key costs one matrix per task, whatever
+    its number of rows, and the salt keeps those of one key from meeting in one place.
     """
     keys = list(keys)
     rows = design.filter(F.col(x).isNotNull() & F.col(target).isNotNull()).select(*keys, target, x)
@@ -141,7 +143,8 @@ def cross_products(design: DataFrame, keys: Sequence[str], target: str = "y", x:
             yield flush()
 
     parts = rows.mapInPandas(partial, f"{_key_fields(rows, keys)}, {GRAM_FIELDS}")
-    return add_matrices(parts, keys)
+    salted = parts.withColumn("_salt", F.pmod(F.xxhash64("n", "yy"), F.lit(SALTS)).cast("int"))
+    return add_matrices(salted, [*keys, "_salt"])
 
 
 def _key_fields(df: DataFrame, keys: Sequence[str]) -> str:
@@ -150,14 +153,10 @@ def _key_fields(df: DataFrame, keys: Sequence[str]) -> str:
 
 
 def add_matrices(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Sum cross products by key, in two steps with a salt, so one key's matrices are never gathered in one place."""
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64("n", "yy"), F.lit(16)).cast("int"))
-    for by in ([*keys, "_salt"], list(keys)):
-        def total(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            row = (*key, pdf["n"].sum(), pdf["yy"].sum(), sum(pdf["xy"]), sum(pdf["xx"]))
-            return pd.DataFrame([row])
-        salted = salted.groupBy(*by).applyInPandas(total, f"{_key_fields(salted, by)}, {GRAM_FIELDS}")
-    return salted
+    """Sum cross products by key."""
+    def total(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, pdf["n"].sum(), pdf["yy"].sum(), sum(pdf["xy"]), sum(pdf["xx"]))])
+    return parts.groupBy(*keys).applyInPandas(total, f"{_key_fields(parts, keys)}, {GRAM_FIELDS}")
 
 
 def difference_penalty(sizes: Sequence[tuple[int, bool]]) -> np.ndarray:
@@ -180,79 +179,60 @@ def _solve(n: float, yy: float, xy: np.ndarray, xx: np.ndarray, penalty: np.ndar
     return beta, float(np.sqrt(max(rss, 0.0) / max(n, 1.0)))
 
 
-def fit_additive(grams: DataFrame, keys: Sequence[str], sizes: Sequence[tuple[int, bool]], smoothing: float = 1.0,
-                 ridge: float = 1e-3) -> DataFrame:
-    """Penalised least squares from one row of cross products per key -> (keys, n_train, rmse_train, beta)."""
-    penalty = difference_penalty(sizes)
-    keys = list(keys)
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fits = []
-            for r in batch.itertuples(index=False):
-                xy = np.asarray(r.xy, float)
-                beta, rmse = _solve(r.n, r.yy, xy, np.asarray(r.xx, float).reshape(len(xy), -1), penalty, smoothing,
-                                    ridge)
-                fits.append((*[getattr(r, k) for k in keys], int(r.n), rmse, beta))
-            yield pd.DataFrame(fits, columns=[*keys, "n_train", "rmse_train", "beta"])
-    return grams.mapInPandas(solve, f"{_key_fields(grams, keys)}, {BETA_FIELDS}")
-
-
-def fit_rolling(grams: DataFrame, keys: Sequence[str], sizes: Sequence[tuple[int, bool]], periods: int,
-                smoothing: float = 1.0, ridge: float = 1e-3) -> DataFrame:
-    """One fit per key and origin period on the ``periods`` periods before it -> (keys, origin, n_train, ...).
-
-    Origins are worked on in blocks as long as the window: a block reads its own matrices and those of the window
-    before it, so every matrix is copied at most twice. Origins before the first full window are left out.
-    """
-    keys = list(keys)
-    penalty = difference_penalty(sizes)
-    at = [F.floor((F.col("period") + k) / F.lit(periods)).cast("int") for k in (1, periods)]
-    framed = grams.withColumn("_origins", F.explode(F.sequence(*at)))
-
-    def fit_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("period")
-        period, block = pdf["period"].to_numpy(), int(pdf["_origins"].iloc[0])
-        n, yy = pdf["n"].to_numpy(float), pdf["yy"].to_numpy(float)
-        xy, xx = np.stack(pdf["xy"].to_numpy()), np.stack(pdf["xx"].to_numpy())
-        out = []
-        for origin in range(max(block * periods, periods), (block + 1) * periods):
-            lo, hi = np.searchsorted(period, [origin - periods, origin])
-            if lo == hi:
-                continue
-            q = xy.shape[1]
-            beta, rmse = _solve(n[lo:hi].sum(), yy[lo:hi].sum(), xy[lo:hi].sum(axis=0),
-                                xx[lo:hi].sum(axis=0).reshape(q, q), penalty, smoothing, ridge)
-            out.append((*pdf.iloc[0][keys], origin, int(n[lo:hi].sum()), rmse, beta))
-        return pd.DataFrame(out, columns=[*keys, "origin", "n_train", "rmse_train", "beta"])
-
-    return framed.groupBy(*keys, "_origins").applyInPandas(
-        fit_block, f"{_key_fields(grams, keys)}, origin int, {BETA_FIELDS}")
-
-
 def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda acc, v: acc + v)
 
 
 def additive_forecast(design: DataFrame, sizes: Sequence[tuple[int, bool]], train_days: int, refit_days: int = 7,
-                      target: str = "y", keys: Sequence[str] = KEYS, smoothing: float = 1.0, ridge: float = 1e-3
-                      ) -> DataFrame:
-    """Rolling additive model: refitted every ``refit_days`` days on the last ``train_days`` days.
-
-    ``design`` holds (keys, local_date, hour, target, x). Every period of days is reduced to cross products once; an
-    origin period sums those of the periods in its window, so overlapping windows share the work. Add ``hour`` to
-    ``keys`` for one model per hour.
+                      target: str = "y", keys: Sequence[str] = KEYS, smoothing: float = 1.0, ridge: float = 1e-3,
+                      block_days: int | None = None) -> DataFrame:
+    """Rolling additive model: refitted every ``refit_days`` days on the ``train_days`` days before.
+
+    ``design`` holds (keys, local_date, hour, target, x). A group is one key and block of days with the history of its
+    first day, so its size is bounded and each row is copied at most a few times. Inside a group every refit period is
+    reduced to cross products once; overlapping windows add them up. Refit periods count from 1970-01-01, and days
+    before the first full window get no forecast. Add ``hour`` to ``keys`` for one model per hour.
     """
+    keys = list(keys)
     periods = max(1, -(-train_days // refit_days))
-    first = design.groupBy(*keys).agg(F.min(DATE).alias("_first"))
-    placed = design.join(first, list(keys)).withColumn(
-        "period", F.floor(F.datediff(DATE, "_first") / refit_days).cast("int")).drop("_first")
-    grams = cross_products(placed, [*keys, "period"], target)
-    fits = fit_rolling(grams, keys, sizes, periods, smoothing, ridge)
-    rows = placed.filter(F.col("period") >= periods).withColumnRenamed("period", "origin")
+    reach = periods * refit_days
+    block_days = -(-(block_days or max(90, reach)) // refit_days) * refit_days  # blocks begin with a refit period
     others = [k for k in CELL if k not in keys]
-    return rows.join(fits, [*keys, "origin"]).select(
-        *keys, *others, F.col(target).alias("y_true"), dot("x", "beta").alias("y_pred"), "n_train", "rmse_train")
+    rows = design.filter(F.col("x").isNotNull()).select(*keys, *others, target, "x")
+    framed = blocks.with_history(rows, DATE, reach, block_days).withColumn(
+        "_period", F.floor(F.unix_date(DATE) / F.lit(refit_days)).cast("int"))
+    penalty = difference_penalty(sizes)
+
+    def fit_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_period", kind="stable")
+        period, own = pdf["_period"].to_numpy(), pdf[blocks.OWN].to_numpy()
+        x, y = np.stack(pdf["x"].to_numpy()), pdf[target].to_numpy(float)
+        first, last = int(period[0]), int(period[-1])
+        edges = np.searchsorted(period, np.arange(first, last + 2))
+        q = x.shape[1]
+        sums = np.zeros((last - first + 1, 2 + q + q * q))  # n, y'y, X'y, X'X per period
+        for i in range(len(sums)):
+            part = slice(edges[i], edges[i + 1])
+            known = ~np.isnan(y[part])
+            xs, ys = x[part][known], y[part][known]
+            sums[i] = np.concatenate(([len(ys), ys @ ys], xs.T @ ys, (xs.T @ xs).ravel()))
+        y_pred, rmse, n = np.full(len(y), np.nan), np.full(len(y), np.nan), np.zeros(len(y), dtype="int64")
+        for i in range(periods, len(sums)):
+            part = slice(edges[i], edges[i + 1])
+            window = sums[i - periods:i].sum(axis=0)
+            if not own[part].any() or window[0] == 0:
+                continue
+            beta, rmse[part] = _solve(window[0], window[1], window[2:2 + q], window[2 + q:].reshape(q, q), penalty,
+                                      smoothing, ridge)
+            y_pred[part], n[part] = x[part] @ beta, int(window[0])
+        out = pdf[[*keys, *others]].assign(y_true=y, y_pred=y_pred, n_train=n, rmse_train=rmse)
+        return out[own & (n > 0)]
+
+    types = dict(design.dtypes)
+    fields = ", ".join(f"{k} {types[k]}" for k in [*keys, *others])
+    by = [*keys, blocks.BLOCK]
+    return blocks.spread(framed, by).groupBy(*by).applyInPandas(
+        fit_block, f"{fields}, y_true double, y_pred double, n_train long, rmse_train double")
 
 
 def long_short_forecast(design: DataFrame, sizes: Sequence[tuple[int, bool]], target: str = "y", split: str = "split",
@@ -260,27 +240,36 @@ def long_short_forecast(design: DataFrame, sizes: Sequence[tuple[int, bool]], ta
     """Two models, one on the long and one on the short history, mixed by inverse validation loss.
 
     Both are validated on the validation days, then refitted with them, and forecast the forecast day. ``split`` holds
-    long, short, validation or forecast; the long model also trains on the short days.
+    long, short, validation or forecast; the long model also trains on the short days. Fits and validation losses
+    follow from the cross products of the three parts alone, and as forecasts are linear in the coefficients, the
+    mixed forecast is the forecast of the mixed coefficients.
     """
-    labelled = design.filter(F.col(split).isNotNull())
-    grams = cross_products(labelled.filter(F.col(split) != "forecast").withColumnRenamed(split, "part"),
-                           [*keys, "part"], target)
-    # each part feeds the fits that use it: (model, with or without the validation days)
-    uses = (F.when(F.col("part") == "long", F.array(F.lit("long/check"), F.lit("long/final")))
-            .when(F.col("part") == "short", F.array(*[F.lit(f"{m}/{s}") for m in ("long", "short")
-                                                       for s in ("check", "final")]))
-            .otherwise(F.array(F.lit("long/final"), F.lit("short/final"))))
-    fed = grams.withColumn("fit", F.explode(uses)).drop("part")
-    fits = fit_additive(add_matrices(fed, [*keys, "fit"]), [*keys, "fit"], sizes, smoothing, ridge)
-    fits = fits.select(*keys, F.split("fit", "/")[0].alias("model"), F.split("fit", "/")[1].alias("stage"), "beta")
-    scored = labelled.filter(F.col(split).isin("validation", "forecast")).withColumn(
-        "stage", F.when(F.col(split) == "validation", "check").otherwise("final"))
-    preds = scored.join(fits, [*keys, "stage"]).select(
-        *CELL, "model", "stage", F.col(target).alias("y_true"), dot("x", "beta").alias("y_pred"))
-    error = F.col("y_pred") - F.col("y_true")
-    losses = preds.filter("stage = 'check'").groupBy(*keys, "model").agg(F.avg(error * error).alias("loss"))
-    final = preds.filter("stage = 'final'").join(losses, [*keys, "model"])
-    return final.groupBy(*CELL).agg(
-        F.max("y_true").alias("y_true"),
-        (F.sum(F.try_divide(F.col("y_pred"), F.col("loss")))
-         / F.sum(F.try_divide(F.lit(1.0), F.col("loss")))).alias("y_pred"))
+    keys = list(keys)
+    penalty = difference_penalty(sizes)
+    history = design.filter(F.col(split).isin("long", "short", "validation"))
+    grams = cross_products(history.withColumnRenamed(split, "part"), [*keys, "part"], target)
+
+    def mix(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        q = len(pdf["xy"].iloc[0])
+        zero = (0.0, 0.0, np.zeros(q), np.zeros((q, q)))
+        parts = {name: (g["n"].sum(), g["yy"].sum(), sum(g["xy"]), sum(g["xx"]).reshape(q, q))
+                 for name, g in pdf.groupby("part")}
+
+        def total(*names: str) -> tuple:
+            return tuple(map(sum, zip(*(parts.get(n, zero) for n in names))))
+        check = parts.get("validation", zero)
+        betas, shares = [], []
+        for names in (("long", "short"), ("short",)):
+            if total(*names)[0] == 0 or check[0] == 0:
+                continue
+            beta, _ = _solve(*total(*names), penalty, smoothing, ridge)
+            loss = (check[1] - 2 * beta @ check[2] + beta @ check[3] @ beta) / check[0]
+            betas.append(_solve(*total(*names, "validation"), penalty, smoothing, ridge)[0])
+            shares.append(1.0 / max(loss, 1e-300))
+        if not betas:
+            return pd.DataFrame([], columns=[*keys, "beta"])
+        return pd.DataFrame([(*key, np.average(betas, axis=0, weights=shares))])
+
+    mixed = grams.groupBy(*keys).applyInPandas(mix, f"{_key_fields(grams, keys)}, beta array<double>")
+    return design.filter((F.col(split) == "forecast") & F.col("x").isNotNull()).join(mixed, keys).select(
+        *CELL, F.col(target).alias("y_true"), dot("x", "beta").alias("y_pred"))

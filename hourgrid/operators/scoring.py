@@ -230,6 +230,15 @@ def unit_root_stat(series: DataFrame, value: str, lags: int = 0, keys: Sequence[
 
 # ---- tail index -----------------------------------------------------------------------------------------------------
 
+def _bucket(value: Column, cuts: list[float], first: int) -> Column:
+    """Number of descending ``cuts`` above the value, by halving the list."""
+    if not cuts:
+        return F.lit(first)
+    half = len(cuts) // 2
+    return F.when(value >= cuts[half], _bucket(value, cuts[:half], first)).otherwise(
+        _bucket(value, cuts[half + 1:], first + half + 1))
+
+
 def hill_index(df: DataFrame, value: str, start: int = 14, end: int | None = None, ci: float = 0.95,
                buckets: int = 200) -> DataFrame:
     """Hill estimate at every number k of upper order statistics in (start, end], with its band.
@@ -239,10 +248,9 @@ def hill_index(df: DataFrame, value: str, start: int = 14, end: int | None = Non
     """
     counted = df.filter(F.col(value) > 0).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
     counted = counted.withColumn("s", F.log("v") * F.col("c"))
-    cuts = counted.agg(F.percentile_approx("v", F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)]),
-                                           F.lit(10000))).scalar()
-    counted = counted.withColumn("_cuts", cuts).withColumn("b", F.size(F.filter("_cuts", lambda cut: cut > F.col("v"))))
-    counted = counted.drop("_cuts")
+    steps = F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)])
+    cuts = counted.agg(F.percentile_approx("v", steps, F.lit(10000))).first()[0] or []
+    counted = counted.withColumn("b", _bucket(F.col("v"), sorted(set(cuts), reverse=True), 0))
     above = blocks.Window.orderBy("b").rowsBetween(blocks.Window.unboundedPreceding, -1)
     per_bucket = counted.groupBy("b").agg(F.sum("c").alias("_c"), F.sum("s").alias("_s"))
     carry = per_bucket.select("b", F.coalesce(F.sum("_c").over(above), F.lit(0)).alias("_c0"),

@@ -149,9 +149,13 @@ def frame_sum(total: str, n: int, w: WindowSpec) -> Column:
     return F.col(total) - F.coalesce(F.lag(total, n).over(w), F.lit(0.0))
 
 
-def rolling_regression(df: DataFrame, y: str, x: str, window: int, name: str = "y_pred",
-                       keys: Sequence[str] = KEYS, order: Sequence[str] = ("local_date",)) -> DataFrame:
-    """Forecast of ``y`` by a line in ``x`` fitted on the complete pairs of the ``window`` rows before the current one."""
+def rolling_regression(df: DataFrame, y: str, x: str, windows: Sequence[int], keys: Sequence[str] = KEYS,
+                       order: Sequence[str] = ("local_date",)) -> DataFrame:
+    """Forecasts of ``y`` by a line in ``x`` fitted on the complete pairs of the D rows before the current one.
+
+    One output row per input row and window length D (column ``window``); all lengths share one sort and one set of
+    running totals.
+    """
     sums = ("_n", "_x", "_y", "_xx", "_xy")
 
     def centre(w: WindowSpec) -> dict[str, Column]:
@@ -165,23 +169,18 @@ def rolling_regression(df: DataFrame, y: str, x: str, window: int, name: str = "
         return running_totals({"_n": F.when(pair, 1.0), "_x": u, "_y": v, "_xx": u * u, "_xy": u * v}, w)
 
     def frames(w: WindowSpec) -> dict[str, Column]:
-        return {f"{c}_f": frame_sum(c, window, w) for c in sums}
-
-    def fit(w: WindowSpec) -> dict[str, Column]:
-        n, sx, sy, sxx, sxy = (F.col(f"{c}_f") for c in sums)
-        spread = n * sxx - sx * sx
-        flat = (n < 2) | (spread <= 1e-12 * n * sxx)
-        return {"slope": F.when(~flat, (n * sxy - sx * sy) / spread)}
-
-    def line(w: WindowSpec) -> dict[str, Column]:
-        n, sx, sy = (F.col(f"{c}_f") for c in sums[:3])
-        return {"intercept": F.col("_my") + F.try_divide(sy, n) - F.col("slope") * (F.col("_mx") + F.try_divide(sx, n))}
-
-    def forecast(w: WindowSpec) -> dict[str, Column]:
-        return {name: F.col("intercept") + F.col("slope") * F.col(x)}
-
-    out = blocks.windowed(df, window, centre, totals, frames, fit, line, forecast, keys=keys, order=order)
-    return out.select(*df.columns, "intercept", "slope", name)
+        return {f"_f{d}": F.struct(*[frame_sum(c, d, w).alias(c) for c in sums]) for d in windows}
+
+    framed = blocks.windowed(df, max(windows), centre, totals, frames, keys=keys, order=order)
+    fits = F.array(*[F.struct(F.lit(int(d)).alias("window"), F.col(f"_f{d}").alias("f")) for d in windows])
+    rows = framed.withColumn("_fit", F.explode(fits))
+    n, sx, sy, sxx, sxy = (F.col(f"_fit.f.{c}") for c in sums)
+    spread = n * sxx - sx * sx
+    flat = (n < 2) | (spread <= 1e-12 * n * sxx)
+    rows = rows.withColumn("slope", F.when(~flat, (n * sxy - sx * sy) / spread))
+    level = F.col("_my") + F.try_divide(sy, n) - F.col("slope") * (F.col("_mx") + F.try_divide(sx, n))
+    return rows.select(*df.columns, F.col("_fit.window").alias("window"), level.alias("intercept"), "slope").withColumn(
+        "y_pred", F.col("intercept") + F.col("slope") * F.col(x))
 
 
 def decay_weights(df: DataFrame, alpha: float, name: str = "weight", keys: Sequence[str] = KEYS,

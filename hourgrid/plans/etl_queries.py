@@ -26,6 +26,13 @@ def _merged(spark, d, how="left"):
                               st.wide_quotes(spark, d), how)
 
 
+def _market(spark, d):
+    """The merged table from one scan of the facts."""
+    market = etl.prepare_market(st.spec(spark, d), st.vals(spark, d), Y0, Y1, [f"NO{i}" for i in range(1, 6)],
+                                st.PRODUCTS)
+    return etl.join_quotes(market, st.wide_quotes(spark, d))
+
+
 GEN = {f"{p.replace(' ', '_')}_{s}": (k, p) for k, s in (("Actual", "A"), ("DayAhead", "DA")) for p in st.PRODUCTS}
 GEN_SQL = f"""generation AS (
   SELECT MapCode, date_trunc('hour', DateTime) AS time_utc, {', '.join(f'sum({c}) AS {c}' for c in GEN)}
@@ -170,11 +177,12 @@ SELECT zone AS MapCode, local_date + to_hours(hour) AS time_local, Temp, Solar,
 SELECT MapCode AS zone, time_utc, Price, Load_A, Load_DA, Wind_Onshore_DA AS WindOn_DA, Wind_Offshore_DA AS WindOff_DA,
        Solar_DA, coal_fM_01_EUR AS Coal, gas_fM_01 AS NGas, oil_fM_01_EUR AS Oil, EUA_fM_01 AS EUA FROM merged""",
           "Price Load_A Load_DA WindOn_DA WindOff_DA Solar_DA Coal NGas Oil EUA", "time_utc"),
-    Query("training_table", lambda s, d: etl.build_training_table(_merged(s, d)), MERGE_SQL + """
+    Query("training_table", lambda s, d: etl.build_training_table(_market(s, d)), MERGE_SQL + """
 SELECT MapCode AS zone, time_utc, Price, Load_A, Load_DA, Wind_Onshore_DA AS WindOn_DA, Wind_Offshore_DA AS WindOff_DA,
        Solar_DA, last_value(coal_fM_01_EUR IGNORE NULLS) OVER w AS Coal, last_value(gas_fM_01 IGNORE NULLS) OVER w AS NGas,
        last_value(oil_fM_01_EUR IGNORE NULLS) OVER w AS Oil, last_value(EUA_fM_01 IGNORE NULLS) OVER w AS EUA
-FROM merged WINDOW w AS (PARTITION BY MapCode ORDER BY time_utc ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+FROM merged WHERE MapCode IS NOT NULL
+WINDOW w AS (PARTITION BY MapCode ORDER BY time_utc ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
           "Price Load_A Load_DA WindOn_DA WindOff_DA Solar_DA Coal NGas Oil EUA", "time_utc"),
     Query("fx_convert", fx_convert, f"WITH {st.QUOTES_SQL}\nSELECT * FROM wide_quotes", " ".join(QUOTE_COLUMNS), "Date"),
     Query("row_total", row_total, f"""WITH {st.GRID_SQL}

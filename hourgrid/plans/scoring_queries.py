@@ -82,9 +82,9 @@ def level_from_diff(spark, d):
 
 
 def multiwindow_experts(spark, d):
-    parts = [regression(spark, d, w).select("zone", "local_date", F.lit(f"D{w}").alias("model"),
-                                            F.col("value").alias("y_true"), "y_pred") for w in WINDOWS]
-    return combine.stack_models(*parts)
+    return regression(spark, d, WINDOWS).select(
+        "zone", "local_date", F.concat(F.lit("D"), F.col("window").cast("string")).alias("model"),
+        F.col("value").alias("y_true"), "y_pred")
 
 
 def expert_sql_part(w: int) -> str:

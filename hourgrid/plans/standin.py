@@ -122,21 +122,25 @@ def filled_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.forward_fill(cells, ["Price"], ["zone"], "at").drop("at")
 
 
+def _wide_forecasts(spark: SparkSession, sf_dir: str, filled: bool) -> DataFrame:
+    prices = filled_grid(spark, sf_dir) if filled else grid(spark, sf_dir, ["Price"])
+    return blocks.windowed(prices, max(NAIVE_DAYS),
+                           lambda w: {f"naive_{k}": F.lag("Price", 24 * k).over(w) for k in NAIVE_DAYS})
+
+
+def _long_forecasts(wide: DataFrame) -> DataFrame:
+    return wide.unpivot(["zone", "local_date", "hour", "Price"], [f"naive_{k}" for k in NAIVE_DAYS], "model",
+                        "y_pred").withColumnRenamed("Price", "y_true")
+
+
 def forecasts(spark: SparkSession, sf_dir: str, filled: bool = False) -> DataFrame:
     """Naive experts: the price of the same hour 1, 2 and 7 days ago."""
-    prices = filled_grid(spark, sf_dir) if filled else grid(spark, sf_dir, ["Price"])
-    framed = blocks.windowed(
-        prices, max(NAIVE_DAYS),
-        lambda w: {f"naive_{k}": F.lag("Price", 24 * k).over(w) for k in NAIVE_DAYS})
-    return framed.unpivot(["zone", "local_date", "hour", "Price"], [f"naive_{k}" for k in NAIVE_DAYS], "model",
-                          "y_pred").withColumnRenamed("Price", "y_true")
+    return _long_forecasts(_wide_forecasts(spark, sf_dir, filled))
 
 
 def whole_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells in which the truth and all experts are known."""
-    return etl.complete_groups(
-        forecasts(spark, sf_dir).withColumn("_e", F.col("y_pred") - F.col("y_true")),
-        ["zone", "local_date", "hour"], "_e").drop("_e")
+    return _long_forecasts(etl.complete_rows(_wide_forecasts(spark, sf_dir, False)))
 
 
 FILLED_SQL = GRID_SQL + """,

@@ -38,10 +38,10 @@ def cyclic_daily(spark, d):
     return st.daily(spark, d).select("zone", "local_date", *[c.alias(n) for n, c in parts.items()])
 
 
-def regression(spark, d, window):
+def regression(spark, d, lengths):
     lagged = blocks.windowed(st.daily(spark, d).select("zone", "local_date", "value"), 1,
                              lambda w: {"x": F.lag("value", 1).over(w)}, order=("local_date",))
-    return windows.rolling_regression(lagged, "value", "x", window)
+    return windows.rolling_regression(lagged, "value", "x", lengths)
 
 
 def regression_sql(window):
@@ -163,6 +163,6 @@ FROM grid""", "", "local_date"),
           f"""WITH {st.GRID_SQL}, x AS (SELECT *, CASE WHEN count(Price) OVER p = 24 THEN avg(Price) OVER p END AS m FROM grid
 WINDOW p AS (PARTITION BY zone, local_date))
 SELECT {CELLS}, Price, m AS P_daily_mean, Price - m AS P_center FROM x""", "Price P_daily_mean P_center", "local_date"),
-    Query("rolling_regression", lambda s, d: regression(s, d, 365), regression_sql(365),
+    Query("rolling_regression", lambda s, d: regression(s, d, [365]).drop("window"), regression_sql(365),
           "value x intercept slope y_pred", "local_date", 3),
 ]

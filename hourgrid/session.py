@@ -1,6 +1,8 @@
 """Session settings the library relies on."""
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # Settings that change results or plan quality, independent of cluster size.
@@ -24,3 +26,18 @@ def local_session(cores: str = "8", app: str = "hourgrid", shuffle_partitions: i
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def use_checkpoint_folder(spark: SparkSession) -> None:
+    """Let long iterations cut their lineage in the shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    A folder of our own is set only in local mode, where there is no other machine that would have to read it.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        context.setCheckpointDir(shared)
+    elif context.master.startswith("local"):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="hourgrid-"))
