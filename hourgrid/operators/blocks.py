@@ -17,6 +17,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from hourgrid.session import computed_once
+
 BLOCK = "_block"
 OWN = "_own"
 DEFAULT_BLOCK_DAYS = 360
@@ -81,10 +83,11 @@ def carried(df: DataFrame, summary: dict[str, Column], before: Callable[[WindowS
     """Attach to every row a block number and the accumulated ``summary`` of all earlier blocks of its series.
 
     ``before`` receives the window over the earlier block summaries and returns the carried columns. The summary has
-    one row per series and block, so its windows stay small however long the raw series is.
+    one row per series and block, so its windows stay small however long the raw series is. Rows and summary both come
+    from ``df``, which is therefore worked out once and kept.
     """
     block_days = block_days or DEFAULT_BLOCK_DAYS
-    placed = df.withColumn(BLOCK, block_number(F.col(date).cast("date"), block_days))
+    placed = computed_once(df.withColumn(BLOCK, block_number(F.col(date).cast("date"), block_days)))
     summaries = placed.groupBy(*keys, BLOCK).agg(*[c.alias(name) for name, c in summary.items()])
     earlier = (Window.partitionBy(*keys).orderBy(BLOCK)
                .rowsBetween(Window.unboundedPreceding, -1))

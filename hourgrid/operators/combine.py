@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourgrid.operators import blocks
+from hourgrid.session import computed_once
 
 CELL = ("zone", "local_date", "hour")
 # Learning rates tried by default.
@@ -84,12 +85,13 @@ def validation_choice_losses(current: DataFrame, previous: DataFrame, days: int
 def _expert_arrays(forecasts: DataFrame) -> DataFrame:
     """Per cell an array of experts (model, loss so far, prediction), ordered by model.
 
-    The loss so far is a running sum per (zone, hour, model) that stops the day before.
+    The loss so far is a running sum per (zone, hour, model) that stops the day before. Such a key has one row per
+    day, the same number for every key, so these windows are short and even.
     """
     error = F.col("y_pred") - F.col("y_true")
-    scored = forecasts.withColumn("_loss", error * error)
-    summed = blocks.running_sum(scored, {"_loss": "_so_far"}, ["zone", "hour", "model"], ["local_date"],
-                                include_current=False)
+    before = (blocks.Window.partitionBy("zone", "hour", "model").orderBy("local_date")
+              .rowsBetween(blocks.Window.unboundedPreceding, -1))
+    summed = forecasts.withColumn("_so_far", F.coalesce(F.sum(error * error).over(before), F.lit(0.0)))
     expert = F.struct("model", F.col("_so_far").alias("so_far"), F.col("y_pred").alias("pred"))
     return summed.groupBy(*CELL).agg(F.max("y_true").alias("y_true"),
                                      F.array_sort(F.collect_list(expert)).alias("experts"))
@@ -132,52 +134,85 @@ def ewa_tune(forecasts: DataFrame, etas: Sequence[float] = tuple(ETA_GRID), keys
                                      F.min("loss").alias("loss"))
 
 
+def keep_last_days(combined: DataFrame, burn_fraction: float) -> DataFrame:
+    """Keep the last int(N - N * burn_fraction) of the N days of each zone."""
+    combined = computed_once(combined)
+    days = blocks.position(combined.select("zone", "local_date").distinct(), ["zone"], ["local_date"], "_pos")
+    n = F.col("_pos_count")
+    keep = days.filter(F.col("_pos") > n - F.floor(n - n * F.lit(burn_fraction))).select("zone", "local_date")
+    return combined.join(keep, ["zone", "local_date"], "left_semi")
+
+
 def ewa_apply(forecasts: DataFrame, etas: DataFrame, burn_fraction: float = 1 / 9,
               keys: Sequence[str] = ("zone", "hour")) -> DataFrame:
-    """Combine with the rate of each key and keep the last int(N - N * burn_fraction) days of each zone."""
+    """Combine with the rate of each key and keep the days after the burn-in."""
     cells = _expert_arrays(forecasts).join(etas.select(*keys, "eta"), list(keys))
     combined = cells.withColumn("_w", _raw_weights(F.col("eta"))).select(
         *CELL, "y_true", _combined("_w").alias("y_pred"))
-    days = forecasts.select("zone", "local_date").distinct()
-    days = blocks.position(days, ["zone"], ["local_date"], "_pos")
-    keep = days.filter(F.col("_pos") > F.col("_pos_count") - F.floor(
-        F.col("_pos_count") - F.col("_pos_count") * F.lit(burn_fraction))).select("zone", "local_date")
-    return combined.join(keep, ["zone", "local_date"], "left_semi")
+    return keep_last_days(combined, burn_fraction)
+
+
+# The update step by step. A reset makes each weight depend on the one before it, so a (zone, hour) is walked in order;
+# it holds one row per day.
+
+def _walk(x: np.ndarray, y: np.ndarray, eta: float, start: np.ndarray) -> np.ndarray:
+    """Weights before every step and after the last; vanished weights return to 1/K."""
+    weights = np.empty((len(y) + 1, x.shape[1]))
+    weights[0] = start
+    for t in range(len(y)):
+        step = weights[t] * np.exp(-eta * (x[t] - y[t]) ** 2)
+        total = step.sum()
+        weights[t + 1] = step / total if total > RESET_BELOW else 1.0 / x.shape[1]
+    return weights
+
 
+def _expert_columns(forecasts: DataFrame, names: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    columns = [f"_p{i}" for i in range(len(names))]
+    preds = [F.max(F.when(F.col("model") == m, F.col("y_pred"))).alias(c) for c, m in zip(columns, names)]
+    return forecasts.groupBy(*CELL).agg(F.max("y_true").alias("y_true"), *preds), columns
 
-def ewa_with_reset(forecasts: DataFrame, eta: float, models: Sequence[str],
+
+def ewa_with_reset(forecasts: DataFrame, eta: float | DataFrame, names: Sequence[str],
                    start: Sequence[float] | None = None) -> DataFrame:
-    """The update step by step: when the new weights vanish they return to 1/K.
+    """Combined forecast, its squared loss and the weights before and after each step.
 
-    The reset makes each weight depend on the one before it, so a (zone, hour) is walked in order; it holds one row
-    per day. Returns the combined forecast, its squared loss and the weights before and after the step.
+    ``eta`` is one rate, or a table (zone, hour, eta).
     """
-    preds = [F.max(F.when(F.col("model") == m, F.col("y_pred"))).alias(f"_p{i}") for i, m in enumerate(models)]
-    cells = forecasts.groupBy(*CELL).agg(F.max("y_true").alias("y_true"), *preds)
-    k = len(models)
-    w0 = np.full(k, 1.0 / k) if start is None else np.asarray(start, dtype=float)
-    names = [f"_p{i}" for i in range(k)]
+    cells, columns = _expert_columns(forecasts, names)
+    cells = (cells.join(eta.select("zone", "hour", "eta"), ["zone", "hour"]) if isinstance(eta, DataFrame)
+             else cells.withColumn("eta", F.lit(float(eta))))
+    w0 = np.full(len(names), 1.0 / len(names)) if start is None else np.asarray(start, dtype=float)
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("local_date")
-        x, y = pdf[names].to_numpy(float), pdf["y_true"].to_numpy(float)
-        before = np.empty((len(y) + 1, k))
-        before[0] = w0
-        for t in range(len(y)):
-            step = before[t] * np.exp(-eta * (x[t] - y[t]) ** 2)
-            total = step.sum()
-            before[t + 1] = step / total if total > RESET_BELOW else 1.0 / k
-        combined = (before[:-1] * x).sum(axis=1)
-        return pd.DataFrame({"zone": pdf["zone"].to_numpy(), "local_date": pdf["local_date"].to_numpy(),
-                             "hour": pdf["hour"].to_numpy(), "y_true": y, "y_pred": combined,
-                             "squared_loss": (combined - y) ** 2, "weights": list(before[:-1]),
-                             "next_weights": list(before[1:])})
+        x, y = pdf[columns].to_numpy(float), pdf["y_true"].to_numpy(float)
+        weights = _walk(x, y, float(pdf["eta"].iloc[0]), w0)
+        combined = (weights[:-1] * x).sum(axis=1)
+        return pdf[[*CELL]].assign(y_true=y, y_pred=combined, squared_loss=(combined - y) ** 2,
+                                   weights=list(weights[:-1]), next_weights=list(weights[1:]))
 
     return blocks.spread(cells, ["zone", "hour"]).groupBy("zone", "hour").applyInPandas(
         walk, "zone string, local_date date, hour int, y_true double, y_pred double, squared_loss double, "
               "weights array<double>, next_weights array<double>")
 
 
+def ewa_tune_with_reset(forecasts: DataFrame, names: Sequence[str], etas: Sequence[float] = tuple(ETA_GRID)
+                        ) -> DataFrame:
+    """Rate per (zone, hour) with the smallest total squared loss of the walk; the earlier of equal ones wins."""
+    cells, columns = _expert_columns(forecasts, names)
+    w0 = np.full(len(names), 1.0 / len(names))
+
+    def try_rates(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("local_date")
+        x, y = pdf[columns].to_numpy(float), pdf["y_true"].to_numpy(float)
+        losses = [float((((_walk(x, y, e, w0)[:-1] * x).sum(axis=1) - y) ** 2).sum()) for e in etas]
+        best = int(np.argmin(losses))
+        return pd.DataFrame([(*key, float(etas[best]), losses[best])])
+
+    return blocks.spread(cells, ["zone", "hour"]).groupBy("zone", "hour").applyInPandas(
+        try_rates, "zone string, hour int, eta double, loss double")
+
+
 def level_from_difference(diff_forecast: DataFrame, grid: DataFrame, price: str, rows: int) -> DataFrame:
     """Price forecast = forecast difference + the price ``rows`` hours earlier."""
     lagged = blocks.windowed(grid.select(*CELL, price), -(-rows // 24),

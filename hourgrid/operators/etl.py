@@ -4,7 +4,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourgrid.functions.clock import hour_floor, seconds_of
@@ -98,7 +98,7 @@ def pivot_strict(df: DataFrame, index: str, names: Sequence[str], name: str = "n
     """Pivot that fails when an (index, name) pair occurs twice."""
     def cell(n: str) -> Column:
         hit = F.col(name) == n
-        message = F.concat(F.lit(f"duplicate entry for {n} at "), F.max(F.col(index).cast("string")))
+        message = F.concat(F.lit(f"duplicate entry for {n} at "), F.col(index).cast("string"))
         return F.when(F.count_if(hit) > 1, F.raise_error(message).cast("double")).otherwise(
             F.max(F.when(hit, F.col(value)))).alias(n)
     return df.filter(F.col(name).isin(*names)).groupBy(index).agg(*[cell(n) for n in names])
@@ -243,6 +243,11 @@ def join_quotes(hourly: DataFrame, quotes: DataFrame, how: str = "left", ts: str
     return hourly.withColumn("_day", F.col(ts).cast("date")).join(daily, "_day", how).drop("_day")
 
 
+def join_series(left: DataFrame, right: DataFrame, on: Sequence[str] = ("time_utc",), how: str = "left") -> DataFrame:
+    """Put two series next to each other by time; the right one has a row per time stamp."""
+    return left.join(right, list(on), how)
+
+
 def merge_datasets(price: DataFrame, load: DataFrame, generation: DataFrame, quotes: DataFrame,
                    how: str = "left") -> DataFrame:
     """Price, load and generation by (zone, hour), then the quotes of the day.
@@ -282,9 +287,9 @@ def unpivot(df: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> DataFr
 
 
 def complete_groups(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Rows of the groups in which ``value`` is never missing (for example whole days)."""
-    whole = df.groupBy(*keys).agg(F.count_if(F.col(value).isNull()).alias("_missing")).filter("_missing = 0")
-    return df.join(whole.select(*keys), list(keys), "left_semi")
+    """Rows of the groups in which ``value`` is never missing. Groups are days or cells, that is a few dozen rows."""
+    whole = F.count_if(F.col(value).isNull()).over(Window.partitionBy(*keys)) == 0
+    return df.withColumn("_whole", whole).filter("_whole").drop("_whole")
 
 
 def distinct_gate(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("zone",),
@@ -321,7 +326,7 @@ def modal_step(df: DataFrame, keys: Sequence[str] = ("zone",), ts: str = "time_u
     """Most frequent distance between neighbouring time stamps in seconds; the smallest wins a tie."""
     rows = blocks.carried(df.select(*keys, ts, seconds_of(ts).alias("_s")), {"_top": F.max("_s")},
                           lambda w: {"_carry": F.max("_top").over(w)}, keys, ts)
-    before = F.lag("_s").over(blocks.Window.partitionBy(*keys, blocks.BLOCK).orderBy(ts))
+    before = F.lag("_s").over(Window.partitionBy(*keys, blocks.BLOCK).orderBy(ts))
     steps = rows.select(*keys, (F.col("_s") - F.coalesce(before, F.col("_carry"))).alias("step"))
     counts = steps.filter("step is not null").groupBy(*keys, "step").agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy(*keys).agg(F.max_by("step", F.struct("n", -F.col("step"))).alias("step_seconds"))

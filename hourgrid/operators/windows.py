@@ -198,10 +198,12 @@ def tail_rows(df: DataFrame, n: int, keys: Sequence[str] = KEYS, order: Sequence
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)
 
 
-def base_index(df: DataFrame, c: str, ts: str, base_from: str, base_to: str, keys: Sequence[str] = KEYS,
-               name: str = "indexed") -> DataFrame:
-    """Series relative to its first value in the base period [base_from, base_to)."""
-    in_base = (F.col(ts) >= F.lit(base_from).cast("timestamp_ntz")) & (
-        F.col(ts) < F.lit(base_to).cast("timestamp_ntz"))
-    base = df.filter(in_base).groupBy(*keys).agg(F.min_by(c, ts).alias("_base"))
-    return df.join(base, list(keys), "left").withColumn(name, F.try_divide(F.col(c), F.col("_base"))).drop("_base")
+def base_index(df: DataFrame, columns: Sequence[str], ts: str, base_from: str, base_to: str,
+               keys: Sequence[str] = KEYS, suffix: str = "_index") -> DataFrame:
+    """Series relative to their first known value in the base period [base_from, base_to)."""
+    at = F.col(ts)
+    in_base = (at >= F.lit(base_from).cast("timestamp_ntz")) & (at < F.lit(base_to).cast("timestamp_ntz"))
+    base = df.filter(in_base).groupBy(*keys).agg(*[
+        F.min_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_base_{c}") for c in columns])
+    indexed = {f"{c}{suffix}": F.try_divide(F.col(c), F.col(f"_base_{c}")) for c in columns}
+    return df.join(base, list(keys), "left").withColumns(indexed).drop(*[f"_base_{c}" for c in columns])

@@ -211,8 +211,9 @@ AND ProductionType IN ('Solar', 'Wind Onshore') AND MapCode IN ('NO1', 'NO2', 'N
           f"WITH {st.SPEC_SQL} SELECT DISTINCT MapCode FROM spec WHERE starts_with(coalesce(MapCode, ''), 'NO')"),
     Query("distinct_codes", lambda s, d: etl.distinct_values(st.spec(s, d), "ResolutionCode"),
           f"WITH {st.SPEC_SQL} SELECT DISTINCT ResolutionCode FROM spec"),
-    Query("date_range", lambda s, d: etl.in_dates(st.table(s, d, "orders").select(
-        "o_orderkey", F.col("o_orderdate").cast("date").alias("Date"), "o_totalprice"), "1996-03-01", "1999-01-01"),
+    Query("date_range", lambda s, d: etl.in_dates(
+        st.table(s, d, "orders"), "1996-03-01", "1999-01-01", "o_orderdate").select(
+        "o_orderkey", F.col("o_orderdate").cast("date").alias("Date"), "o_totalprice"),
           """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS Date, o_totalprice FROM orders
 WHERE o_orderdate >= DATE '1996-03-01' AND o_orderdate < DATE '1999-01-01'""", "o_totalprice", "Date"),
     Query("coerce_dates", coerce_dates, """SELECT o_orderkey, Date FROM (

@@ -5,10 +5,11 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from hourgrid.operators import boosting, features, models
+from hourgrid.operators import boosting, combine, etl, features, models, scoring
 from hourgrid.operators.features import HourlySpec
 from hourgrid.plans import standin as st
 from hourgrid.plans.registry import Query
+from hourgrid.session import computed_once
 
 SPEC = HourlySpec(last_price=True)
 DAYS = 21            # history length of the experts on the 30 hourly days
@@ -46,6 +47,22 @@ def expert_single(spark, d):
     return fits.select("zone", "local_date", "hour", "y_true", "y_pred", "n_train")
 
 
+def combined_experts(spark, d):
+    """Experts of several history lengths, rates tuned on the first days, combined on the later ones, all scored."""
+    fits = expert(CANDIDATES)(spark, d)
+    experts = computed_once(etl.complete_groups(
+        models.as_experts(fits).withColumn("_e", F.col("y_pred") - F.col("y_true")),
+        ["zone", "local_date", "hour"], "_e").drop("_e"))
+    cut = experts.agg(F.date_add(F.min("local_date"), 14)).scalar()
+    names = [f"D{w}" for w in CANDIDATES]
+    etas = combine.ewa_tune_with_reset(experts.filter(F.col("local_date") < cut), names)
+    late = experts.filter(F.col("local_date") >= cut)
+    combined = combine.keep_last_days(combine.ewa_with_reset(late, etas, names), 1 / 9).select(
+        "zone", "local_date", "hour", F.lit("ewa").alias("model"), "y_true", "y_pred")
+    shared = late.join(combined.select("zone", "local_date", "hour"), ["zone", "local_date", "hour"], "left_semi")
+    return scoring.error_table(combine.stack_models(shared, combined), ["zone", "model"])
+
+
 def smooth_rows(spark, d):
     """Design vectors of the hourly table; the spline ranges come from the first 14 days of each zone."""
     table = design_table(spark, d).withColumn("hour_d", F.col("hour").cast("double"))
@@ -116,6 +133,7 @@ f AS (SELECT *, regr_count(Price, p) OVER r AS n, regr_intercept(Price, p) OVER
 SELECT zone, local_date, hour, Price AS y_true, CASE WHEN n > 1 THEN a + b * p END AS y_pred,
 CAST(n AS INTEGER) AS n_train FROM f""", "y_true y_pred", "local_date"),
     Query("expert_coefs", expert_coefs),
+    Query("combined_experts", combined_experts),
     Query("weighted_ols", lambda s, d: shown(expert([DAYS], 0.002)(s, d))),
     Query("tune_window", lambda s, d: models.tune_window(expert(CANDIDATES)(s, d))),
     Query("additive_model", additive(["zone"])),

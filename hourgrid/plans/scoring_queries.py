@@ -7,6 +7,7 @@ from hourgrid.operators import blocks, combine, scoring, windows
 from hourgrid.plans import standin as st
 from hourgrid.plans.registry import Query
 from hourgrid.plans.window_queries import regression, regression_sql
+from hourgrid.session import computed_once
 
 ETA = 0.0005
 ETAS = [2.0 ** -i for i in range(14, 6, -1)]  # small enough for the size of the errors
@@ -45,7 +46,7 @@ def pick_best(spark, d):
 
 
 def ewa_apply(spark, d):
-    experts = st.whole_forecasts(spark, d)
+    experts = computed_once(st.whole_forecasts(spark, d))
     return combine.ewa_apply(experts, combine.ewa_tune(experts, ETAS))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from hourgrid.functions.clock import daily_cycles, hourly_cycles, rush_hour, weekday_dummies
 from hourgrid.functions.numeric import pct_change
-from hourgrid.operators import blocks, features, windows
+from hourgrid.operators import blocks, etl, features, windows
 from hourgrid.plans import standin as st
 from hourgrid.plans.registry import Query
 
@@ -38,6 +38,15 @@ def cyclic_daily(spark, d):
     return st.daily(spark, d).select("zone", "local_date", *[c.alias(n) for n, c in parts.items()])
 
 
+def base_index(spark, d):
+    """Order values and shipped values side by side, relative to January 1996."""
+    orders = st.daily(spark, d).select("zone", F.col("local_date").cast("timestamp_ntz").alias("time_utc"), "value")
+    shipped = st.table(spark, d, "lineitem").groupBy(F.col("l_shipdate").alias("time_utc")).agg(
+        F.avg("l_extendedprice").alias("shipped"))
+    return windows.base_index(etl.join_series(orders, shipped), ["value", "shipped"], "time_utc", "1996-01-01",
+                              "1996-02-01").select("zone", "time_utc", "value", "shipped", "value_index", "shipped_index")
+
+
 def regression(spark, d, lengths):
     lagged = blocks.windowed(st.daily(spark, d).select("zone", "local_date", "value"), 1,
                              lambda w: {"x": F.lag("value", 1).over(w)}, order=("local_date",))
@@ -116,14 +125,15 @@ y AS (SELECT {CELLS}, {frame('stddev_samp({})', 24)} AS vol_24h_lag1,
       {frame('stddev_samp({})', 24, 0, 'pct')} AS volpct_24h_lag1 FROM x)
 SELECT zone, local_date, vol_24h_lag1, volpct_24h_lag1 FROM y WHERE hour = 0""",
           "vol_24h_lag1 volpct_24h_lag1", "local_date"),
-    Query("base_index", lambda s, d: windows.base_index(
-        st.daily(s, d).select("zone", F.col("local_date").cast("timestamp_ntz").alias("time_utc"), "value").filter(
-            "value is not null"), "value", "time_utc", "1996-01-01", "1996-02-01"),
-          f"""WITH {st.DAILY_SQL}, k AS (SELECT * FROM daily WHERE value IS NOT NULL),
-b AS (SELECT zone, arg_min(value, local_date) AS base FROM k
+    Query("base_index", base_index, f"""WITH {st.DAILY_SQL},
+s AS (SELECT CAST(l_shipdate AS DATE) AS local_date, avg(l_extendedprice) AS shipped FROM lineitem GROUP BY 1),
+k AS (SELECT d.zone, d.local_date, d.value, s.shipped FROM daily d LEFT JOIN s ON s.local_date = d.local_date),
+b AS (SELECT zone, arg_min(value, local_date) FILTER (value IS NOT NULL) AS bv,
+             arg_min(shipped, local_date) FILTER (shipped IS NOT NULL) AS bs FROM k
       WHERE local_date >= DATE '1996-01-01' AND local_date < DATE '1996-02-01' GROUP BY 1)
-SELECT k.zone, CAST(k.local_date AS TIMESTAMP) AS time_utc, k.value, k.value / nullif(b.base, 0) AS indexed
-FROM k LEFT JOIN b ON b.zone = k.zone""", "value indexed", "time_utc"),
+SELECT k.zone, CAST(k.local_date AS TIMESTAMP) AS time_utc, k.value, k.shipped, k.value / nullif(b.bv, 0) AS value_index,
+k.shipped / nullif(b.bs, 0) AS shipped_index FROM k LEFT JOIN b ON b.zone = k.zone""",
+          "value shipped value_index shipped_index", "time_utc"),
     Query("rolling_median_low", on_price(1, lambda w: {"median": windows.rolling_median_low("Price", 4, w)}),
           f"""WITH {st.GRID_SQL} SELECT {CELLS}, Price, {frame('quantile_disc({}, 0.5)', 4)} AS median FROM grid""",
           "Price median", "local_date"),

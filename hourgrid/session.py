@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that change results or plan quality, independent of cluster size.
 SETTINGS = {
@@ -28,16 +28,27 @@ def local_session(cores: str = "8", app: str = "hourgrid", shuffle_partitions: i
     return spark
 
 
-def use_checkpoint_folder(spark: SparkSession) -> None:
-    """Let long iterations cut their lineage in the shared folder the cluster names in ``spark.checkpoint.dir``.
+def use_checkpoint_folder(spark: SparkSession) -> bool:
+    """Make sure checkpoints go to the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    A folder of our own is set only in local mode, where there is no other machine that would have to read it.
+    A folder of our own is set only in local mode, where there is no other machine that would have to read it. False
+    if there is no folder to use.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
-        return
+        return True
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and context.master.startswith("local"):
+        shared = tempfile.mkdtemp(prefix="hourgrid-")
     if shared:
         context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="hourgrid-"))
+    return bool(shared)
+
+
+def computed_once(df: DataFrame) -> DataFrame:
+    """``df`` for use in several branches of a plan, worked out only once.
+
+    It is written to the checkpoint folder, so a lost executor costs a read and not another scan of the facts. Without
+    a folder the branches each compute it.
+    """
+    return df.checkpoint() if use_checkpoint_folder(df.sparkSession) else df

@@ -141,6 +141,23 @@ def test_ewa_tune_prefers_the_earlier_of_equal_rates(spark):
     assert combine.ewa_tune(df, [0.5, 0.25]).first()["eta"] == 0.5
 
 
+def test_tuning_with_and_without_reset_agree_for_small_errors(spark):
+    df = forecasts(spark, [1, 2, 3, 2], [(1.1, .5), (2.2, 1.5), (2.5, 3.1), (2.0, 2.4)])
+    etas = [0.1, 2.0, 0.5]
+    a, b = combine.ewa_tune(df, etas).first(), combine.ewa_tune_with_reset(df, ["m0", "m1"], etas).first()
+    assert a["eta"] == b["eta"] and a["loss"] == pytest.approx(b["loss"])
+    table = spark.createDataFrame([("Z", 0, 0.5)], "zone string, hour int, eta double")
+    one = [r["y_pred"] for r in combine.ewa_with_reset(df, 0.5, ["m0", "m1"]).orderBy("local_date").collect()]
+    two = [r["y_pred"] for r in combine.ewa_with_reset(df, table, ["m0", "m1"]).orderBy("local_date").collect()]
+    assert one == two
+
+
+def test_weights_sum_to_one(spark):
+    df = forecasts(spark, range(30), [(i + .5, i - 2, i + 40) for i in range(30)])
+    sums = combine.ewa_weights(df, 2.0).groupBy("local_date").agg(F.sum("weight").alias("s")).collect()
+    assert len(sums) == 30 and all(r["s"] == pytest.approx(1.0) for r in sums)
+
+
 def test_burn_in_keeps_the_last_days(spark):
     n = 821
     df = forecasts(spark, [0] * n, [(0, 1)] * n)
