@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourgrid.functions.clock import hour_floor, seconds_of
+from hourgrid.functions.clock import day_hour, seconds_of
 from hourgrid.functions.numeric import null_safe_total
 from hourgrid.operators import blocks
 
@@ -81,8 +81,20 @@ def roll_up_hourly(df: DataFrame, keys: Sequence[str], values: Sequence[str], ho
                    ts: str = "time_utc") -> DataFrame:
     """Floor to the hour and aggregate; an all-null group stays null."""
     fn = {"sum": F.sum, "mean": F.avg}[how]
-    others = [k for k in keys if k != ts]
-    return df.groupBy(*others, hour_floor(ts).alias(ts)).agg(*[fn(c).alias(c) for c in values])
+    return by_hour(df, [k for k in keys if k != ts], ts, {c: fn(c) for c in values})
+
+
+def by_hour(df: DataFrame, keys: Sequence[str], ts: str, values: Mapping[str, Column]) -> DataFrame:
+    """Aggregate by key and hour; rows without a time stamp do not count.
+
+    Date and hour number are the cheap key of the many input rows; the stamp is put together for the few result rows.
+    It is marked as never null, because a later join would otherwise infer a null check on it and Catalyst would push
+    that check, with the whole expression, down to every input row.
+    """
+    out = df.filter(F.col(ts).isNotNull()).groupBy(*keys, F.col(ts).cast("date").alias("_day"), F.hour(ts).alias("_hour"))
+    hours = out.agg(*[c.alias(name) for name, c in values.items()])
+    never_null = F.coalesce(day_hour("_day", "_hour"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return hours.select(*keys, never_null.alias(ts), *values)
 
 
 def pivot_mean(df: DataFrame, index: Sequence[str], columns: Mapping[str, Column], value: str) -> DataFrame:
@@ -191,9 +203,8 @@ def prepare_market(spec: DataFrame, values: DataFrame, start_year: int, end_year
                     for k, suffix in TYPE_SUFFIX.items() for p in products})
     cells = facts.groupBy(*ZONE_HOUR).agg(F.count_if(name == "Price").alias("_prices"), *[
         F.avg(F.when(cond, F.col("Value"))).alias(c) for c, cond in columns.items()])
-    hours = cells.groupBy("MapCode", hour_floor("time_utc").alias("time_utc")).agg(
-        F.sum("_prices").alias("_prices"), F.avg("Price").alias("Price"),
-        *[F.sum(c).alias(c) for c in columns if c != "Price"])
+    hours = by_hour(cells, ["MapCode"], "time_utc", {
+        "_prices": F.sum("_prices"), "Price": F.avg("Price"), **{c: F.sum(c) for c in columns if c != "Price"}})
     return hours.filter("_prices > 0").drop("_prices")
 
 

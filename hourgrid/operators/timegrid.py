@@ -104,15 +104,21 @@ def change_free(df: DataFrame, values: Sequence[str], slots: int = 24, keys: Seq
 
 def local_grid(df: DataFrame, values: Sequence[str], tz: str = "CET", slots: int = 24,
                keys: Sequence[str] = ("zone",), ts: str = "time_utc", date: str = "local_date", hour: str = "hour",
-               first_day: str | None = None, last_day: str | None = None) -> DataFrame:
+               first_day: str | None = None, last_day: str | None = None, bounds: DataFrame | None = None) -> DataFrame:
     """Exactly ``slots`` rows per series and local day: regular UTC series -> change-free local grid, gaps as null.
 
     The first and last local day may be partial and then start or end with nulls; ``first_day``/``last_day`` cut the
-    result to whole days.
+    result to whole days. ``bounds`` (keys, first, last as UTC stamps) spares a second pass over ``df`` when the facts
+    it was rolled up from can tell them by a scan of two columns.
     """
     local = with_local_time(df.select(*keys, ts, *values), tz, slots, ts, date, hour)
-    # the local bounds need two columns of the input only, and no shuffle beyond one row per series
-    bounds = local.groupBy(*keys).agg(F.min(date).alias("first"), F.max(date).alias("last"))
+    # never null: else the grid join infers a null check, and the time-zone conversion in it is pushed to every input row
+    local = local.withColumns({date: F.coalesce(date, F.lit("0001-01-01").cast("date")),
+                               hour: F.coalesce(hour, F.lit(-1))})
+    # dates keep the order of the stamps, so only the first and last stamp of a series are put on the local clock
+    if bounds is None:
+        bounds = df.groupBy(*keys).agg(F.min(ts).alias("first"), F.max(ts).alias("last"))
+    bounds = bounds.select(*keys, *[to_local(c, tz).cast("date").alias(c) for c in ("first", "last")])
     if tz == "UTC":
         cells = local.select(*keys, date, hour, *values)
     else:

@@ -20,8 +20,14 @@ def utc_grid(spark, d):
     return timegrid.utc_grid(hourly, steps=etl.modal_step(hourly))
 
 
+def _bounds(spark, d, days):
+    shift = F.make_dt_interval(F.lit(days))
+    return st.table(spark, d, "events").groupBy(F.col("event_type").alias("zone")).agg(
+        (F.min("ts") + shift).alias("first"), (F.max("ts") + shift).alias("last"))
+
+
 def local_grid(days):
-    return lambda spark, d: timegrid.local_grid(_shifted(spark, d, days), VARS)
+    return lambda spark, d: timegrid.local_grid(_shifted(spark, d, days), VARS, bounds=_bounds(spark, d, days))
 
 
 def dst_edges(spark, d):

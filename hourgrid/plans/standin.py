@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrid.functions.clock import day_hour, hour_floor
+from hourgrid.functions.clock import day_hour
 from hourgrid.operators import blocks, etl, timegrid
 from hourgrid.sources.tables import read_parquet
 
@@ -24,15 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def hourly(spark: SparkSession, sf_dir: str, shift_days: int = 0) -> DataFrame:
     """One row per zone and hour that has events, all modelling columns."""
-    events = table(spark, sf_dir, "events")
+    events = table(spark, sf_dir, "events").withColumnRenamed("event_type", "zone")
     ts = F.col("ts") + F.make_dt_interval(F.lit(shift_days)) if shift_days else F.col("ts")
     k = F.get_json_object("props", "$.k").cast("double")
     user = F.col("user_id").cast("double")
-    return events.groupBy(F.col("event_type").alias("zone"), hour_floor(ts).alias("time_utc")).agg(
-        F.avg("value").alias("Price"), F.sum("value").alias("Load_A"),
-        F.count(F.lit(1)).cast("double").alias("Load_DA"), F.avg(k).alias("WindOn_DA"),
-        F.max("value").alias("WindOff_DA"), F.min("value").alias("Solar_DA"), F.avg(user).alias("Coal"),
-        F.max(user).alias("NGas"), F.min(user).alias("Oil"), F.sum(user).alias("EUA"))
+    return etl.by_hour(events.withColumn("time_utc", ts), ["zone"], "time_utc", {
+        "Price": F.avg("value"), "Load_A": F.sum("value"), "Load_DA": F.count(F.lit(1)).cast("double"),
+        "WindOn_DA": F.avg(k), "WindOff_DA": F.max("value"), "Solar_DA": F.min("value"), "Coal": F.avg(user),
+        "NGas": F.max(user), "Oil": F.min(user), "EUA": F.sum(user)})
 
 
 def hourly_sql(shift_days: int = 0) -> str:
@@ -55,9 +54,8 @@ def hourly_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grid(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
     """Complete (zone, local_date, hour) grid of the hourly series; hours without events are null."""
     cells = hourly_cells(spark, sf_dir).select("zone", "local_date", "hour", *(columns or REGRESSORS))
-    day = F.col("ts").cast("date")
     bounds = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("zone")).agg(
-        F.min(day).alias("first"), F.max(day).alias("last"))
+        F.min("ts").cast("date").alias("first"), F.max("ts").cast("date").alias("last"))
     return timegrid.complete_days(cells, bounds=bounds)
 
 
@@ -93,9 +91,8 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     rows = orders.groupBy(F.col("o_orderpriority").alias("zone"), F.col("o_orderdate").cast("date").alias("local_date"))
     cells = rows.agg(F.avg("o_totalprice").alias("value"), F.count(F.lit(1)).cast("double").alias("n"))
-    day = F.col("o_orderdate").cast("date")
-    bounds = orders.groupBy(F.col("o_orderpriority").alias("zone")).agg(F.min(day).alias("first"),
-                                                                        F.max(day).alias("last"))
+    bounds = orders.groupBy(F.col("o_orderpriority").alias("zone")).agg(
+        F.min("o_orderdate").cast("date").alias("first"), F.max("o_orderdate").cast("date").alias("last"))
     return timegrid.complete_days(cells.withColumn("hour", F.lit(0)), slots=1, bounds=bounds).drop("hour")
 
 
