@@ -5,7 +5,9 @@ import pytest
 
 from compare import differences, oracle_connection
 from hourgrid.plans.catalog import QUERIES
+
 SF_DIR = "/root/testdata/sf0.001"
+FULLER = "/root/testdata/sf0.01"  # the fits need more whole hours than the smallest tables have
 
 WITH_SQL = [n for n, q in QUERIES.items() if q.sql is not None]
 ROWS_ONLY = [n for n, q in QUERIES.items() if q.sql is None]
@@ -24,4 +26,4 @@ def test_matches_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", ROWS_ONLY)
 def test_gives_rows(spark, name):
-    assert QUERIES[name].spark(spark, SF_DIR).limit(1).count() == 1
+    assert QUERIES[name].spark(spark, FULLER).count() > 0
