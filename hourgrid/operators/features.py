@@ -41,7 +41,7 @@ def holiday_dummy(grid: DataFrame, holidays: DataFrame, country: str = "NO", yea
 
 
 def join_weather(grid: DataFrame, weather: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Weather by its own (zone, local_date, hour); the reference position never matters."""
+    """Weather by its own (zone, local_date, hour); row positions never matter."""
     return grid.join(weather.select(*CELL, *names), list(CELL), "left")
 
 
