@@ -1,7 +1,9 @@
 """Session settings the library relies on."""
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +54,14 @@ def computed_once(df: DataFrame) -> DataFrame:
     a folder the branches each compute it.
     """
     return df.checkpoint() if use_checkpoint_folder(df.sparkSession) else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which import it when they unpack our functions; once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_hourgrid_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='hourgrid-ship-')}/hourgrid", "zip", root.parent, root.name)
+    context.addPyFile(archive)
+    context._hourgrid_shipped = True
