@@ -5,21 +5,43 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrid.llm import bpe_tree, shards, simhash_trie
+from hourgrid.llm import (bpe_tree, decontaminate, huffman_ids, langid, license_index, mtree, shards, simhash_trie,
+                          toxicity)
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(MULTI_RANKS), public_tokenizers.PATTERN
     tokens = bpe_tree.encoded(table(spark, sf_dir, "documents"), path, pattern)
     return bpe_tree.digests(bpe_tree.decoded(tokens, path, pattern))
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman_ids.written_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_index.scanned(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.sharded(table(spark, sf_dir, "documents"), 16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
@@ -30,5 +52,19 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op7_sharding": op7_sharding, "op9_simhash": op9_simhash}
+def op10_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_bpe": op2_bpe,
+    "op3_langid": op3_langid,
+    "op4_decontamination": op4_decontamination,
+    "op5_huffman": op5_huffman,
+    "op6_licenses": op6_licenses,
+    "op7_sharding": op7_sharding,
+    "op9_simhash": op9_simhash,
+    "op10_mtree": op10_mtree,
+}
 SQL: dict[str, str] = {}
