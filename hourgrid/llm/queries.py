@@ -5,8 +5,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrid.llm import (bpe_tree, decontaminate, huffman_ids, langid, license_index, mtree, shards, simhash_trie,
-                          toxicity)
+from hourgrid.llm import (bpe_tree, decontaminate, huffman_ids, langid, license_index, line_dedup, mtree, shards,
+                          simhash_trie, toxicity)
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
 TOKENIZER = "byte_bpe_50k.json"
@@ -48,6 +48,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("position").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op5_huffman": op5_huffman,
     "op6_licenses": op6_licenses,
     "op7_sharding": op7_sharding,
+    "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
     "op10_mtree": op10_mtree,
 }

@@ -220,3 +220,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGE
     named = of.join(names, "component").select("fp", "component_id")
     return marks.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                                           "component_id")
+
+
+def first_of_each(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
+    """The rows of ``docs`` that stand for their component: those whose doc_id is its smallest.
+
+    A component in which no row has an id keeps its rows without one; rows repeated under the kept id stay, as one
+    document.
+    """
+    found = near_duplicates(docs, shingle, budget)
+    gone = found.where("doc_id != component_id or doc_id is null and component_id is not null").select("doc_id")
+    gone = stored(gone.withColumnRenamed("doc_id", "_gone").distinct(), "near-copies")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")

@@ -19,6 +19,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from hourgrid.llm.common import fold, rows_mapped, stored, texts_of, to_batch
 
@@ -32,6 +33,8 @@ NEAR = 5
 TREES, DEPTH, LEAST_ROWS = 20, 3, 20
 THRESHOLD = 0.3
 PARTS = 3
+ROWS = 256
+FEATURES, SCORE = "_tox_features", "_tox_score"
 MEMO = 200_000
 
 # General insults and second-person words of several languages.
@@ -160,42 +163,56 @@ def labelled(docs: DataFrame, labels: DataFrame, parts: int, held: int, toxic: i
     return texts_of(docs).join(F.broadcast(drawn), "doc_id")
 
 
-def scored(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, toxic: int = TOXIC_SAMPLE,
-           clean: int = CLEAN_SAMPLE) -> DataFrame:
-    """``doc_id, score, features`` for each row of ``docs`` (doc_id, text); score is a calibrated probability.
+def _measured(lexicon: Lexicon):
+    """For ``mapInArrow`` over rows whose last column is a text: the other columns and the text's features."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                found = [features(lexicon, text.as_py()) for text in part.column(part.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.list_(pa.float64()))],
+                                                 names=[*part.schema.names[:-1], FEATURES])
+    return run
 
-    Learns from ``labels`` (doc_id, toxic 0/1) of rows whose ``crc32(doc_id) mod parts`` is not ``held``, on a sample of
-    about ``toxic`` and ``clean`` rows. Null and empty texts are scored like a text without hits. Repeated rows and null
-    ids stay. With no toxic or no clean row to learn from, every score is 0.
-    """
+
+def with_scores(docs: DataFrame, labels: DataFrame, parts: int, held: int, toxic: int, clean: int) -> DataFrame:
+    """``docs`` with its columns and the columns ``FEATURES`` and ``SCORE``; rows never leave their partition."""
     sample = stored(labelled(docs, labels, parts, held, toxic, clean), "toxicity-sample")
     sizes = {(r["part"], r["label"]): r["count"] for r in sample.groupBy("part", "label").count().collect()}
     *without, lexicon = learned_lexicons(sample)
-
-    def one(_, doc_id, text):
-        return doc_id, features(lexicon, text)
-    schema = pa.schema([("doc_id", pa.int64()), ("features", pa.list_(pa.float64()))])
-    run = rows_mapped(schema, one, ["doc_id", "text"])
-    every = texts_of(docs).mapInArrow(run, "doc_id long, features array<double>")
+    texts = docs.withColumn("_tox_text", F.coalesce(docs["text"].cast("string"), F.lit("")))
+    every = texts.mapInArrow(_measured(lexicon), StructType([*docs.schema.fields, StructField(FEATURES, ArrayType(DoubleType()))]))
     if any(not sizes.get((part, label)) for part in range(PARTS) for label in (0, 1)):
-        return every.select("doc_id", F.lit(0.0).alias("score"), "features")
+        return every.withColumn(SCORE, F.lit(0.0))
 
     def measure(_, doc_id, text, label, part):
         return features(without[part], text), float(label), part
-    schema = pa.schema([("features", pa.list_(pa.float64())), ("label", pa.float64()), ("part", pa.int64())])
-    train = (sample.mapInArrow(rows_mapped(schema, measure, ["doc_id", "text", "label", "part"]),
-                                                 "features array<double>, label double, part long"))
-    train = stored(train.coalesce(4), "toxicity-features").withColumn("vector", array_to_vector("features"))
-    trees = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=TREES, maxDepth=DEPTH, maxBins=64,
-                          stepSize=0.2, minInstancesPerNode=LEAST_ROWS, seed=1).fit(train.where("part > 0"))
-    margin = vector_to_array("probability")[1]
-    level = IsotonicRegression(featuresCol="margin", labelCol="label").fit(
-        trees.transform(train.where("part = 0")).select(margin.alias("margin"), "label"))
-    guessed = trees.transform(every.withColumn("vector", array_to_vector("features"))).withColumn("margin", margin)
+    schema = pa.schema([(FEATURES, pa.list_(pa.float64())), ("label", pa.float64()), ("part", pa.int64())])
+    train = sample.mapInArrow(rows_mapped(schema, measure, ["doc_id", "text", "label", "part"]),
+                              f"{FEATURES} array<double>, label double, part long")
+    train = stored(train.coalesce(4), "toxicity-features").withColumn("_tox_vector", array_to_vector(FEATURES))
+    trees = GBTClassifier(featuresCol="_tox_vector", labelCol="label", predictionCol="_tox_class", probabilityCol="_tox_share",
+                          rawPredictionCol="_tox_raw", maxIter=TREES, maxDepth=DEPTH, maxBins=64, stepSize=0.2,
+                          minInstancesPerNode=LEAST_ROWS, seed=1).fit(train.where("part > 0"))
+    margin = vector_to_array("_tox_share")[1]
+    level = IsotonicRegression(featuresCol="_tox_margin", labelCol="label", predictionCol="_tox_level").fit(
+        trees.transform(train.where("part = 0")).select(margin.alias("_tox_margin"), "label"))
+    guessed = trees.transform(every.withColumn("_tox_vector", array_to_vector(FEATURES))).withColumn("_tox_margin", margin)
     # A hundredth of the margin keeps the order inside the steps of the calibration.
-    score = 0.99 * F.col("prediction") + 0.01 * F.col("margin")
-    return (level.transform(guessed.select("doc_id", "features", "margin"))
-            .select("doc_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)).alias("score"), "features"))
+    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.99 * F.col("_tox_level") + 0.01 * F.col("_tox_margin")))
+    return level.transform(guessed).select(*docs.columns, FEATURES, score.alias(SCORE))
+
+
+def scored(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, toxic: int = TOXIC_SAMPLE,
+           clean: int = CLEAN_SAMPLE) -> DataFrame:
+    """``doc_id, score, features`` for each row of ``docs`` (doc_id, text); score is a calibrated probability.
+
+    Learns from ``labels`` (doc_id, toxic 0/1) of rows whose ``crc32(doc_id) mod parts`` is not ``held``, on a sample of
+    about ``toxic`` and ``clean`` rows. Null and empty texts are scored like a text without hits. Repeated rows and null
+    ids stay. With no toxic or no clean row to learn from, every score is 0.
+    """
+    return (with_scores(texts_of(docs), labels, parts, held, toxic, clean)
+            .select("doc_id", F.col(SCORE).alias("score"), F.col(FEATURES).alias("features")))
 
 
 def judged(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, threshold: float = THRESHOLD) -> DataFrame:
@@ -203,3 +220,9 @@ def judged(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, th
     return scored(docs, labels, parts, held).select(
         "doc_id", (fold(F.col("doc_id"), parts) == held).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with their columns; no text is shuffled."""
+    judged_rows = with_scores(docs, labels, parts, held, TOXIC_SAMPLE, CLEAN_SAMPLE)
+    return judged_rows.where(F.col(SCORE) < threshold).select(*docs.columns)
