@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 from hourgrid.llm.common import stored, to_batch
 
 SCALE = 64
-PIVOTS = 64
+PIVOTS = 16
 SUBTREE = 8192
-PAGE = 64
-FANOUT = 12
+PAGE = 512
+FANOUT = 8
+BLOCK = 256  # queries that go down a tree together
 MARGIN = 1e-7
 QUERY_PART = 50_000
 WIDEST = 1 << 62
@@ -60,16 +61,17 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Integer inner products; exact also where 64 bits would not hold them (then cut to the range of a long)."""
-    if not x.size:
-        return np.zeros(len(x), np.int64)
+    """Integer inner products of the rows of ``x`` with those of ``q``; exact also where 64 bits would not hold them
+    (then cut to the range of a long)."""
+    if not x.size or not q.size:
+        return np.zeros((len(x), len(q)), np.int64)
     most = max(abs(int(x.max())), abs(int(x.min()))) * max(abs(int(q.max())), abs(int(q.min())))
-    if most * x.shape[1] < 1 << 53:
-        return (x.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
+    if most * x.shape[1] < 1 << 53:  # then doubles are exact
+        return (x.astype(np.float64) @ q.astype(np.float64).T).astype(np.int64)
     if most * x.shape[1] < 1 << 62:
-        return x @ q
-    exact = x.astype(object) @ q.astype(object)
-    return np.array([max(-(1 << 63), min((1 << 63) - 1, s)) for s in exact], np.int64)
+        return x @ q.T
+    exact = x.astype(object) @ q.astype(object).T
+    return np.clip(exact, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
 class Subtree:
@@ -94,19 +96,15 @@ class Subtree:
             self.to_parent.append(0.0 if parent is None else float(_distances(centre, parent)))
             self.children.append([])
             self.span.append((0, 0))
-            seeds = [int(rows[int(np.argmin(away))])]
-            nearest = _distances(lifted[rows], lifted[seeds[0]])
-            if len(rows) > page and nearest.max() > 0:
-                best = np.zeros(len(rows), np.int64)
-                while len(seeds) < fanout and nearest.max() > 0:
-                    seeds.append(int(rows[int(np.argmax(nearest))]))
-                    d = _distances(lifted[rows], lifted[seeds[-1]])
-                    best[d < nearest] = len(seeds) - 1
-                    nearest = np.minimum(nearest, d)
-                for k, seed in enumerate(seeds):
-                    if (best == k).any():
-                        self.children[node].append(build(rows[best == k], lifted[seed], centre))
-                return node
+            if len(rows) > page and away.max() > 0:
+                # Routing objects: rows spread evenly over the order by distance, which gives pages of like sizes.
+                spread = rows[np.argsort(away, kind="stable")][np.linspace(0, len(rows) - 1, fanout).astype(np.int64)]
+                apart = np.stack([_distances(lifted[rows], lifted[s]) for s in spread])
+                best = apart.argmin(axis=0)
+                if (best != best[0]).any():
+                    for s in np.unique(best).tolist():
+                        self.children[node].append(build(rows[best == s], lifted[spread[s]], centre))
+                    return node
             rows = rows[np.argsort(away, kind="stable")]  # equal vectors stay one page, whatever their number
             order.append(rows)
             self.span[node] = (self.filled, self.filled + len(rows))
@@ -122,55 +120,82 @@ class Subtree:
         self.slack = MARGIN * (1.0 + np.sqrt(longest))
         self.longest = longest
 
-    def search(self, own: int, q: np.ndarray, k: int, least: int | None) -> list[tuple[int, int]]:
-        """At most ``k`` (score, vec_id) with a score of at least ``least``, best first, ties to the smaller id.
+    def search(self, own: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray) -> "Answers":
+        """The ``k`` best entries of each query whose score reaches its floor, ties to the smaller id, not its own.
 
-        Pages are visited best first. A node is set aside without computing its distance when the stored distance to its
-        parent shows that it lies too far; in a page, the stored distances to the centre leave a run of entries.
+        Queries go down the tree together. Nodes are taken best first (by the least bound of any query); a query takes
+        part in a node only if the node's ball reaches into its own search ball. For a child that is first asked of the
+        stored distance to the parent, without computing a distance; in a page, the stored distances to the centre leave
+        a run of entries.
         """
-        lifted = np.append(q.astype(np.float64), 0.0)
-        square = float((lifted * lifted).sum()) + self.longest
-        best: list[tuple[int, int]] = []  # a heap of (score, -id): the worst is first
-
-        def reach() -> float:
-            floor = best[0][0] if len(best) == k else least
-            if floor is None:
-                return np.inf
-            return float(np.sqrt(max(0.0, square - 2.0 * floor))) + self.slack + MARGIN * np.sqrt(square)
-        root = float(_distances(lifted, self.centres[0]))
-        queue = [(max(0.0, root - self.radius[0]), 0, root)]
+        best = Answers(own, k, floors)
+        lifted = np.hstack([queries.astype(np.float64), np.zeros((len(queries), 1))])
+        square = (lifted * lifted).sum(axis=1) + self.longest
+        slack = self.slack + MARGIN * np.sqrt(square)
+
+        def reach(rows: np.ndarray) -> np.ndarray:
+            floor = best.floors[rows]
+            r = np.sqrt(np.maximum(0.0, square[rows] - 2.0 * np.where(np.isinf(floor), 0.0, floor))) + slack[rows]
+            return np.where(np.isinf(floor), np.inf, r)
+        every = np.arange(len(queries))
+        root = _distances(lifted, self.centres[0])
+        low = np.maximum(0.0, root - self.radii[0])
+        queue = [(float(low.min()), 0, every, root, low)]
         while queue:
-            bound, node, d = heapq.heappop(queue)
-            r = reach()
-            if bound > r:
-                break
-            if self.children[node]:
-                kids = np.array(self.children[node])
-                kids = kids[np.abs(d - self.parents[kids]) - self.radii[kids] <= r]
-                if len(kids):
-                    away = _distances(self.centres[kids], lifted)
-                    lows = np.maximum(0.0, away - self.radii[kids])
-                    for low, kid, a in zip(lows.tolist(), kids.tolist(), away.tolist()):
-                        if low <= r:
-                            heapq.heappush(queue, (low, kid, a))
+            _, node, rows, d, low = heapq.heappop(queue)
+            r = reach(rows)
+            stay = low <= r
+            if not stay.any():
                 continue
-            lo, hi = self.span[node]
-            a, b = np.searchsorted(self.away[lo:hi], (d - r, d + r)) if r < np.inf else (0, hi - lo)
-            while b < hi - lo and self.away[lo + b] <= d + r:
-                b += 1
-            scores = products(self.vectors[lo + a:lo + b], q)
-            floor = best[0][0] if len(best) == k else (least if least is not None else None)
-            keep = np.nonzero(self.ids[lo + a:lo + b] != own)[0] if floor is None else \
-                np.nonzero((scores >= floor) & (self.ids[lo + a:lo + b] != own))[0]
-            if len(keep) > k:
-                keep = keep[np.lexsort((self.ids[lo + a + keep], -scores[keep]))[:k]]
-            for i in keep.tolist():
-                entry = (int(scores[i]), -int(self.ids[lo + a + i]))
-                if len(best) < k:
-                    heapq.heappush(best, entry)
-                elif entry > best[0]:
-                    heapq.heapreplace(best, entry)
-        return [(s, -i) for s, i in sorted(best, reverse=True)]
+            rows, d, r = rows[stay], d[stay], r[stay]
+            for kid in self.children[node]:
+                near = np.abs(d - self.to_parent[kid]) - self.radius[kid] <= r
+                if not near.any():
+                    continue
+                away = _distances(lifted[rows[near]], self.centres[kid])
+                bound = np.maximum(0.0, away - self.radius[kid])
+                inside = bound <= r[near]
+                if inside.any():
+                    heapq.heappush(queue, (float(bound[inside].min()), kid, rows[near][inside], away[inside], bound[inside]))
+            if not self.children[node]:
+                lo, hi = self.span[node]
+                a = lo + int(np.searchsorted(self.away[lo:hi], (d - r).min()))
+                b = lo + int(np.searchsorted(self.away[lo:hi], (d + r).max(), side="right"))
+                if a < b:
+                    best.offer(rows, self.ids[a:b], products(self.vectors[a:b], queries[rows]))
+        return best
+
+
+def as_floor(score: np.ndarray) -> np.ndarray:
+    """Scores as doubles that are not above them."""
+    f = score.astype(np.float64)
+    return np.where(np.abs(f) < 1 << 53, f, np.nextafter(f, -np.inf))
+
+
+class Answers:
+    """The best entries of a block of queries; ``floors``: the score an entry must reach, -inf for any."""
+
+    def __init__(self, own: np.ndarray, k: int, floors: np.ndarray):
+        self.own, self.k, self.floors = own, k, floors.copy()
+        self.query, self.id, self.score = (np.zeros(0, np.int64) for _ in range(3))
+
+    def offer(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """``scores``: an entry's row for each of ``ids`` and a column for each query of ``rows``."""
+        keep = (scores >= self.floors[rows]) & (ids[:, None] != self.own[rows])
+        entry, column = np.nonzero(keep)
+        if not len(entry):
+            return
+        query = np.concatenate([self.query, rows[column]])
+        id_ = np.concatenate([self.id, ids[entry]])
+        score = np.concatenate([self.score, scores[entry, column]])
+        order = np.lexsort((id_, -score, query))
+        query, id_, score = query[order], id_[order], score[order]
+        starts = np.concatenate([[0], np.nonzero(np.diff(query))[0] + 1])
+        place = np.arange(len(query)) - np.repeat(starts, np.diff(np.append(starts, len(query))))
+        full = np.nonzero(place == self.k - 1)[0]
+        self.floors[query[full]] = np.maximum(self.floors[query[full]], as_floor(score[full]))
+        within = place < self.k
+        self.query, self.id, self.score = query[within], id_[within], score[within]
 
 
 class Directory:
@@ -253,29 +278,38 @@ def _searched(longest: float, k: int):
     """For ``mapInArrow`` over rows sorted by subtree, its vectors first: builds each tree once, then answers queries."""
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, rows, tree, found = None, [], [], None, []
+    def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+        """(key, kind, dim, ids, matrix, floors) of rows that follow one another, at most ``BLOCK`` queries at a time."""
         for batch in batches:
-            kinds, dims, owner = (batch.column(n).to_numpy(zero_copy_only=False) for n in (1, 2, 3))
-            keys = batch.column(0).to_pylist()
-            for i in range(batch.num_rows):
-                if keys[i] != key:
-                    key, ids, rows, tree = keys[i], [], [], None
-                v = np.asarray(batch.column(4)[i].as_py(), np.int64)
-                if kinds[i] == 0:
-                    ids.append(owner[i])
-                    rows.append(v)
-                    continue
-                if rows and tree is None:
-                    tree = Subtree(np.array(ids, np.int64), np.array(rows, np.int64).reshape(len(rows), int(dims[i])), longest)
-                if tree is not None:
-                    own, least = int(owner[i]), batch.column(5)[i].as_py()
-                    found += [(own, x, s) for s, x in tree.search(own, v, k, least)]
-                if len(found) > 20_000:
-                    yield to_batch(found, schema)
-                    found = []
-        if found:
-            yield to_batch(found, schema)
+            keys = batch.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            kinds, dims, ids = (batch.column(n).to_numpy(zero_copy_only=False) for n in (1, 2, 3))
+            least = batch.column(5)
+            floors = np.where(least.is_valid().to_numpy(zero_copy_only=False),
+                              as_floor(least.fill_null(0).to_numpy(zero_copy_only=False)), -np.inf)
+            change = np.nonzero((np.diff(keys) != 0) | (np.diff(kinds) != 0))[0] + 1
+            cuts = [0, *change.tolist(), batch.num_rows] if batch.num_rows else []
+            for lo, hi in zip(cuts, cuts[1:]):
+                step = BLOCK if kinds[lo] else hi - lo
+                for at in range(lo, hi, step):
+                    n = min(step, hi - at)
+                    yield (batch.column(0)[at].as_py(), kinds[at], ids[at:at + n], _matrix(batch.column(4).slice(at, n), int(dims[at])),
+                           floors[at:at + n])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, tree = None, [], None
+        for now, kind, ids, matrix, floors in runs(batches):
+            if now != key:
+                key, held, tree = now, [], None
+            if kind == 0:
+                held.append((ids, matrix))
+                continue
+            if held and tree is None:
+                tree = Subtree(np.concatenate([i for i, _ in held]), np.concatenate([m for _, m in held]), longest)
+                held = []
+            if tree is not None:
+                found = tree.search(ids, matrix, k, floors)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[found.query]), pa.array(found.id), pa.array(found.score)],
+                                                 schema=schema)
     return run
 
 

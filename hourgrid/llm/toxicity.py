@@ -191,9 +191,9 @@ def with_scores(docs: DataFrame, labels: DataFrame, parts: int, held: int, toxic
     train = sample.mapInArrow(rows_mapped(schema, measure, ["doc_id", "text", "label", "part"]),
                               f"{FEATURES} array<double>, label double, part long")
     train = stored(train.coalesce(4), "toxicity-features").withColumn("_tox_vector", array_to_vector(FEATURES))
-    trees = GBTClassifier(featuresCol="_tox_vector", labelCol="label", predictionCol="_tox_class", probabilityCol="_tox_share",
-                          rawPredictionCol="_tox_raw", maxIter=TREES, maxDepth=DEPTH, maxBins=64, stepSize=0.2,
-                          minInstancesPerNode=LEAST_ROWS, seed=1).fit(train.where("part > 0"))
+    trees = GBTClassifier(featuresCol="_tox_vector", labelCol="label", predictionCol="_tox_class", maxIter=TREES,
+                          maxDepth=DEPTH, maxBins=64, stepSize=0.2, minInstancesPerNode=LEAST_ROWS, seed=1)
+    trees = trees.setProbabilityCol("_tox_share").setRawPredictionCol("_tox_raw").fit(train.where("part > 0"))
     margin = vector_to_array("_tox_share")[1]
     level = IsotonicRegression(featuresCol="_tox_margin", labelCol="label", predictionCol="_tox_level").fit(
         trees.transform(train.where("part = 0")).select(margin.alias("_tox_margin"), "label"))
