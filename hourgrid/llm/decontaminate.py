@@ -144,6 +144,16 @@ def _counted(number: dict[bytes, int]):
     return run
 
 
+def _row_sums(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``values`` that go to the same one of ``n`` rows."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    starts = np.concatenate([[0], np.nonzero(np.diff(rows))[0] + 1])
+    out = np.zeros((n, values.shape[1]), values.dtype)
+    out[rows[starts]] = np.add.reduceat(values[order], starts, axis=0)
+    return out
+
+
 def _stacked(texts: Iterable[str], dim: dict[bytes, int], stride: int) -> Iterator[tuple]:
     """For some documents at a time: (term, window) occurrences, number of windows, and where each window is."""
     dims, at, where, n = [], [], [], 0
@@ -153,19 +163,15 @@ def _stacked(texts: Iterable[str], dim: dict[bytes, int], stride: int) -> Iterat
         if not len(pos):
             continue
         windows = max(1, -(-(len(words) - PASSAGE) // stride) + 1)
-        used: dict[int, int] = {}
-        for back in range(PASSAGE // stride):
-            w = pos // stride - back
-            ok = (w >= 0) & (w < windows)
-            names = w[ok].tolist()
-            for x in names:
-                if x not in used:
-                    used[x] = n + len(used)
-            dims.append(terms[ok])
-            at.append(np.fromiter((used[x] for x in names), np.int64, len(names)))
-        where += [(k, x * stride, words) for x in used]
+        overlaps = PASSAGE // stride
+        w = np.concatenate([pos // stride - back for back in range(overlaps)])
+        ok = (w >= 0) & (w < windows)
+        used, of = np.unique(w[ok], return_inverse=True)
+        dims.append(np.tile(terms, overlaps)[ok])
+        at.append(n + of)
+        where += [(k, x * stride, words) for x in used.tolist()]
         n += len(used)
-        if n >= 256:
+        if n >= 1024:
             yield np.concatenate(dims), np.concatenate(at), n, where
             dims, at, where, n = [], [], [], 0
     if n:
@@ -185,9 +191,8 @@ def _sketched(space: Space, sketch: int):
                 weight = space.idf[dims]
                 length = np.sqrt(np.bincount(at, weight * weight, minlength=n))  # repeats are rare; they only scale a row
                 weight = weight / length[at]
-                image = np.zeros((n, noise.shape[1]))
-                np.add.at(image, at, weight[:, None] * noise[dims])
-                np.add.at(total, dims, weight[:, None] * image[at])
+                image = _row_sums(weight[:, None] * noise[dims], at, n)
+                total += _row_sums(weight[:, None] * image[at], dims, len(total))
         task = TaskContext.get().partitionId()
         for lo in range(0, len(total), 1024):
             rows = np.nonzero(total[lo:lo + 1024].any(axis=1))[0] + lo
@@ -239,8 +244,7 @@ def _matched(space: Space):
                 best: dict[tuple[int, int], tuple] = {}
                 for dims, at, n, where in _stacked((t.as_py() for t in part.column(1)), space.dim, STRIDE):
                     weight = space.idf[dims]
-                    latent = np.zeros((n, space.basis.shape[1]), np.float32)
-                    np.add.at(latent, at, weight[:, None] * space.basis[dims])
+                    latent = _row_sums(weight[:, None] * space.basis[dims], at, n)
                     length = np.linalg.norm(latent, axis=1, keepdims=True)
                     cosine = latent / np.maximum(length, 1e-9) @ space.latent.T
                     if len(space.direct):

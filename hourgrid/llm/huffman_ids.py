@@ -8,6 +8,7 @@ which decoding can start. A block needs nothing but the code table to be read.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -24,43 +25,89 @@ STEP = 256
 BLOCK_IDS = 1 << 18
 BUCKET_BYTES = 64 << 20
 END_ID = 2
-MEMO = 400_000
-BATCH = 256
+MEMO, MEMO_CHARS = 200_000, 12
+BATCH = 64
+# Fixed value: the split pattern of byte-level tokenizers.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # A stretch ends where a space or line feed follows another character: the split pattern always ends a match there.
 STRETCH = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-OTHER_SPACE = re.compile(r"[^\S \n]")
+OTHER_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 BLOCK_SCHEMA = ("bucket int, block int, doc_ids array<long>, sizes array<long>, n_ids long, offsets binary, payload binary")
 
 
 class Encoder:
-    """Encodes with the tokenizers library; stretches that were met before are looked up.
+    """The ids that the tokenizers library gives with the tokenizer file at ``path``.
 
     A text is cut where a space or line feed follows a character that is not white space. No match of the byte-level
-    split pattern crosses such a place, so the ids of a text are those of its stretches. Texts with other white space or
-    with the beginning of a special token are handed to the library whole.
+    split pattern crosses such a place, so the ids of a text are those of its stretches, and stretches met before are
+    looked up. New ones are merged by rank: in a byte-level BPE file whose merges make ids in their own order, which is
+    checked, that is what the library does. Texts with other white space or a special token, and all texts of other
+    files, are handed to the library itself.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.memo: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in found]
+        import json
+
+        import tiktoken
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        vocabulary, merges = spec["model"]["vocab"], spec["model"].get("merges") or []
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
+        made = [vocabulary.get(a + b, -1) for a, b in pairs]
+        added = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
+        self.path, self.special, self.library = path, list(added), None
+        self.size = max([*vocabulary.values(), *added.values()]) + 1
+        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
+        self.code = self.kind[1:].replace("u2", "H").replace("u4", "I")
+        byte = {c: b for b, c in byte_letters().items()}
+        plain = {t: i for t, i in vocabulary.items() if t not in added}
+        first = spec.get("pre_tokenizer") or {}
+        by_rank = (spec["model"]["type"] == "BPE" and first.get("type") == "ByteLevel" and not first.get("add_prefix_space")
+                   and not spec.get("normalizer") and all(a < b for a, b in zip(made, made[1:]))
+                   and set(byte) <= set(plain) and (not made or made[0] > max(plain[c] for c in byte)) and made[:1] != [-1])
+        ranks = {bytes(byte[c] for c in t): i for t, i in plain.items()} if by_rank else {}
+        self.merge = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if by_rank else None
+        self.memo = Memo(self.merge, self.code) if by_rank else None
+
+    def _whole(self, text: str) -> bytes:
+        if self.library is None:
+            from tokenizers import Tokenizer
+            self.library = Tokenizer.from_file(self.path)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def encode(self, texts: list[str], end: int | None) -> list[bytes]:
-        memo, tail = self.memo, b"" if end is None else np.array([end], self.kind).tobytes()
-        if len(memo) > MEMO:
-            memo.clear()
-        whole = [bool(OTHER_SPACE.search(t)) or any(s in t for s in self.special) for t in texts]
-        parts = [[t] if w else STRETCH.findall(t) for t, w in zip(texts, whole)]
-        missing = list({p for ps, w in zip(parts, whole) if not w for p in ps if p not in memo})
-        memo.update(zip(missing, self._library(missing)))
-        direct = iter(self._library([t for t, w in zip(texts, whole) if w]))
-        return [(next(direct) if w else b"".join([memo[p] for p in ps])) + tail for ps, w in zip(parts, whole)]
+        tail = b"" if end is None else np.array([end], self.kind).tobytes()
+        out = []
+        for text in texts:
+            if self.memo is None or any(s in text for s in self.special) or any(c in text for c in OTHER_SPACES):
+                out.append(self._whole(text) + tail)
+            else:
+                out.append(b"".join(map(self.memo.__getitem__, STRETCH.findall(text))) + tail)
+            if self.memo is not None and len(self.memo) > MEMO:
+                self.memo.clear()
+        return out
+
+
+class Memo(dict):
+    """Stretch -> ids as bytes; short ones, which come again, are kept."""
+
+    def __init__(self, merge, code: str):
+        super().__init__()
+        self.merge, self.code = merge, code
+
+    def __missing__(self, stretch: str) -> bytes:
+        found = array(self.code, self.merge(stretch)).tobytes()
+        if len(stretch) <= MEMO_CHARS:
+            self[stretch] = found
+        return found
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, the others
+    numbered on from 256 in order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {**{b: chr(b) for b in printable}, **{b: chr(256 + k) for k, b in enumerate(rest)}}
 
 
 @lru_cache(maxsize=2)
@@ -257,7 +304,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end: int | None = END_
     """
     spark = docs.sparkSession
     own = encoder(tokenizer)
-    kind, width = own.kind, max(own.tokenizer.get_vocab_size(), (end or 0) + 1)
+    kind, width = own.kind, max(own.size, (end or 0) + 1)
     raw = (in_buckets(docs, bucket_bytes).mapInArrow(_raw(tokenizer, end), "bucket int, doc_id long, n long, ids binary")
            .repartition("bucket").sortWithinPartitions("bucket", "doc_id"))
     blocks = stored(raw.mapInArrow(_blocks(kind, BLOCK_IDS), "bucket int, block int, doc_ids array<long>, sizes array<long>, "
@@ -287,7 +334,7 @@ def read_ids(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = decoding_table(lengths)
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 ids = unpacked(r["offsets"], r["payload"], r["n_ids"], table).astype("<u4")
                 ends = np.cumsum(r["sizes"]).tolist()
                 yield to_batch([(r["bucket"], r["block"], d, e - n, n, ids[e - n:e].tobytes())
