@@ -24,10 +24,6 @@ def null_safe_total(columns: list[str], digits: int = 2) -> Column:
     return F.round(F.round(total, digits + 6), digits)
 
 
-def clamp(value: Column, low: Column, high: Column) -> Column:
-    return F.least(F.greatest(value, low), high)
-
-
 def standardise(value: Column, mean: Column, std: Column) -> Column:
     """z-score; a zero (or undefined) deviation counts as 1 so constants become 0."""
     return (value - mean) / F.coalesce(F.nullif(std, F.lit(0.0)), F.lit(1.0))

@@ -17,11 +17,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from hourgrid.session import computed_once
-
 BLOCK = "_block"
 OWN = "_own"
 DEFAULT_BLOCK_DAYS = 360
+SMALL_ROWS = 50_000  # a table of at most so many rows is joined without shuffling the long side
 
 Stage = Callable[[WindowSpec], dict[str, Column]]
 
@@ -78,25 +77,37 @@ def whole_day(keys: Sequence[str], date: str) -> WindowSpec:
     return Window.partitionBy(*keys, BLOCK, date)
 
 
+def beside(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Join a table of statistics to a long series; null keys match.
+
+    The statistics are worked out first. If they turn out to have at most ``SMALL_ROWS`` rows, they are sent to the tasks
+    and the series stays where it is; a shuffle by a key like the zone would bring whole series together. With more
+    rows it is an ordinary join.
+    """
+    rows = small.limit(SMALL_ROWS + 1).collect()
+    if len(rows) <= SMALL_ROWS:
+        small = F.broadcast(df.sparkSession.createDataFrame(rows, small.schema))
+    small = small.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    matches = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on]
+    return df.join(small, matches, how).drop(*[f"_on_{c}" for c in on])
+
+
 def carried(df: DataFrame, summary: dict[str, Column], before: Callable[[WindowSpec], dict[str, Column]],
             keys: Sequence[str], date: str, block_days: int | None = None) -> DataFrame:
     """Attach to every row a block number and the accumulated ``summary`` of all earlier blocks of its series.
 
     ``before`` receives the window over the earlier block summaries and returns the carried columns. The summary has
-    one row per series and block, so its windows stay small however long the raw series is. Rows and summary both come
-    from ``df``, which is therefore worked out once and kept.
+    one row per series and block, so its windows stay small however long the raw series is. ``df`` is read twice, the
+    first time only for the columns of the summary.
     """
     block_days = block_days or DEFAULT_BLOCK_DAYS
-    placed = computed_once(df.withColumn(BLOCK, block_number(F.col(date).cast("date"), block_days)))
+    placed = df.withColumn(BLOCK, block_number(F.col(date).cast("date"), block_days))
     summaries = placed.groupBy(*keys, BLOCK).agg(*[c.alias(name) for name, c in summary.items()])
     earlier = (Window.partitionBy(*keys).orderBy(BLOCK)
                .rowsBetween(Window.unboundedPreceding, -1))
     carry = before(earlier)
-    on = [*keys, BLOCK]
-    summaries = summaries.select(*[F.col(c).alias(f"_on_{c}") for c in on],
-                                 *[c.alias(name) for name, c in carry.items()])
-    matches = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on]  # a null key is a series like any other
-    return placed.join(summaries, matches, "left").drop(*[f"_on_{c}" for c in on])
+    summaries = summaries.select(*keys, BLOCK, *[c.alias(name) for name, c in carry.items()])
+    return beside(placed, summaries, [*keys, BLOCK])  # a null key is a series like any other
 
 
 def inside(keys: Sequence[str], order: Sequence[str | Column]) -> WindowSpec:
@@ -117,22 +128,6 @@ def forward_fill(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("
     return out.withColumns(filled).select(*df.columns)
 
 
-def running_sum(df: DataFrame, columns: dict[str, str], keys: Sequence[str], order: Sequence[str],
-                include_current: bool = True, block_days: int | None = None) -> DataFrame:
-    """Running totals per series; ``columns`` maps an input column to its output name. Nulls count as 0."""
-    summary = {f"_sum_{c}": F.sum(c) for c in columns}
-    out = carried(df, summary,
-                  lambda w: {f"_carry_{c}": F.sum(f"_sum_{c}").over(w) for c in columns},
-                  keys, order[0], block_days)
-    w = inside(keys, order)
-    if not include_current:
-        w = w.rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0.0)
-    totals = {name: F.coalesce(F.sum(c).over(w), zero) + F.coalesce(F.col(f"_carry_{c}"), zero)
-              for c, name in columns.items()}
-    return out.withColumns(totals).select(*df.columns, *totals)
-
-
 def position(df: DataFrame, keys: Sequence[str] = ("zone",), order: Sequence[str] = ("local_date", "hour"),
              name: str = "position", block_days: int | None = None) -> DataFrame:
     """1-based row position in each series plus its length (``<name>_count``)."""

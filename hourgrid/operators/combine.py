@@ -27,7 +27,7 @@ def stack_models(*forecasts: DataFrame) -> DataFrame:
 
 def inverse_loss_mix(forecasts: DataFrame, losses: DataFrame, loss_keys: Sequence[str] = ("zone", "model")) -> DataFrame:
     """Mean of the models weighted by 1/loss."""
-    joined = forecasts.join(losses, list(loss_keys))
+    joined = blocks.beside(forecasts, losses, list(loss_keys), "inner")
     return joined.groupBy(*CELL).agg(
         F.max("y_true").alias("y_true"),
         F.try_divide(F.sum(F.try_divide(F.col("y_pred"), F.col("loss"))),

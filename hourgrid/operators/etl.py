@@ -210,10 +210,16 @@ def prepare_market(spec: DataFrame, values: DataFrame, start_year: int, end_year
 
 # ---- daily quotes ---------------------------------------------------------------------------------------------------
 
+# Fixed value: what counts as a date in text.
+DATE_TEXT = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}([.]\d+)?)?Z?)?$"
+
+
 def coerce_date(value: str | Column) -> Column:
-    """Text to date; text that is no date becomes null (and then fails every range check)."""
+    """Dates, time stamps and their usual texts to a date; text that is neither becomes null (and then fails every range
+    check). A text is year, month and day, with a time of day after a space or ``T`` or without."""
     value = F.col(value) if isinstance(value, str) else value
-    return F.try_to_date(value.cast("string"), "yyyy-MM-dd")
+    text = F.trim(value.cast("string"))
+    return F.when(text.rlike(DATE_TEXT), F.substring_index(F.substring_index(text, " ", 1), "T", 1).try_cast("date"))
 
 
 def in_dates(df: DataFrame, start: str, end: str, date: str = "Date") -> DataFrame:

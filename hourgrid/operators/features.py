@@ -21,20 +21,23 @@ CELL = ("zone", "local_date", "hour")
 
 # ---- holidays -------------------------------------------------------------------------------------------------------
 
-def holiday_hours(holidays: DataFrame, country: str, years: tuple[int, int], after_days: float = 1.5,
+def holiday_hours(holidays: DataFrame, country: str, years: tuple[int, int] | None = None, after_days: float = 1.5,
                   before_days: float = 0.5) -> DataFrame:
-    """Distinct (date, hour) cells within ``before_days`` before and ``after_days`` after a holiday.
+    """Distinct (date, hour) cells within ``before_days`` before and ``after_days`` after a holiday, of all years unless
+    ``years`` (first, last) are given.
 
     The effect of a holiday is a fixed run of hours, so the interval join becomes an equi join.
     """
     run = F.sequence(F.lit(math.ceil(-24 * before_days)), F.lit(math.floor((86399 + 86400 * after_days) / 3600)))
-    chosen = holidays.filter((F.col("CountryCode") == country) & F.year("Date").between(*years))
+    chosen = holidays.filter(F.col("CountryCode") == country)
+    if years is not None:
+        chosen = chosen.filter(F.year("Date").between(*years))
     hours = chosen.select("Date", F.explode(run).alias("_h"))
     return hours.select(F.date_add("Date", F.floor(F.col("_h") / 24).cast("int")).alias(DATE),
                         F.pmod("_h", F.lit(24)).alias(HOUR)).distinct()
 
 
-def holiday_dummy(grid: DataFrame, holidays: DataFrame, country: str = "NO", years: tuple[int, int] = (2019, 2024),
+def holiday_dummy(grid: DataFrame, holidays: DataFrame, country: str = "NO", years: tuple[int, int] | None = None,
                   after_days: float = 1.5, before_days: float = 0.5, name: str = "is_holiday") -> DataFrame:
     hours = holiday_hours(holidays, country, years, after_days, before_days).withColumn("_hit", F.lit(1))
     return grid.join(hours, [DATE, HOUR], "left").withColumn(name, F.coalesce("_hit", F.lit(0))).drop("_hit")
@@ -127,7 +130,7 @@ def hourly_features(grid: DataFrame, spec: HourlySpec) -> DataFrame:
     names = [*CELL, target, *spec.regressors()] + (["price_last"] if spec.last_price else [])
     if spec.extras:
         first = grid.groupBy(*KEYS).agg(F.min(DATE).alias("_first"))
-        out = out.join(first, list(KEYS))
+        out = blocks.beside(out, first, list(KEYS))
         running = F.datediff(DATE, "_first") * slots + F.col(HOUR)
         cycles = hourly_cycles(HOUR, running)
         out = out.withColumns({**cycles, "rush_hour": rush_hour(HOUR)})
@@ -254,7 +257,7 @@ def zscore(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS, tr
     stats = train.groupBy(*keys).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns],
                                      *[F.stddev_samp(c).alias(f"_s_{c}") for c in columns])
     scaled = {f"{c}{suffix}": standardise(F.col(c), F.col(f"_m_{c}"), F.col(f"_s_{c}")) for c in columns}
-    return df.join(stats, list(keys), "left").withColumns(scaled).drop(
+    return blocks.beside(df, stats, list(keys)).withColumns(scaled).drop(
         *[f"_m_{c}" for c in columns], *[f"_s_{c}" for c in columns])
 
 
@@ -368,25 +371,27 @@ def periodic_basis(day_number: str | Column, period: float = 365.24, functions:
     return F.concat(F.slice(basis, shift + 1, functions - shift), F.slice(basis, 1, shift))
 
 
-def smooth_design(df: DataFrame, smooth: Mapping[str, int], cyclic: Mapping[str, int], linear: Sequence[str],
+def smooth_design(df: DataFrame, smooth: Mapping[str, int], cyclic: Mapping[str, tuple[int, float]], linear: Sequence[str],
                   interactions: Sequence[tuple[str, str]] = (), training: Column | None = None,
                   keys: Sequence[str] = KEYS) -> DataFrame:
     """Design vector ``x`` = [1, linear terms, spline terms, cyclic terms, products of pairs].
 
-    The ranges of the splines come from the training rows of each key.
+    ``cyclic`` gives the number of intervals and the period, so that 23 and 0 o'clock are neighbours and not the same.
+    Linear terms are standardised with mean and deviation, and splines ranged, on the ``training`` rows of each key (all
+    rows by default).
     """
-    ranged = [*smooth, *cyclic]
     train = df if training is None else df.filter(training)
-    ranges = train.groupBy(*keys).agg(*[F.min(c).alias(f"_lo_{c}") for c in ranged],
-                                      *[F.max(c).alias(f"_hi_{c}") for c in ranged])
+    stats = train.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.min(c).alias(f"_lo_{c}") for c in smooth], *[F.max(c).alias(f"_hi_{c}") for c in smooth],
+        *[F.avg(c).alias(f"_m_{c}") for c in linear], *[F.stddev_samp(c).alias(f"_s_{c}") for c in linear])
     bases = {f"_b_{c}": spline_basis(c, f"_lo_{c}", f"_hi_{c}", n) for c, n in smooth.items()}
-    bases.update({f"_b_{c}": spline_basis(c, f"_lo_{c}", f"_hi_{c}", n, True) for c, n in cyclic.items()})
-    out = df.join(ranges, list(keys)).withColumns(bases)
-    terms = [F.array(F.lit(1.0), *[F.col(c).cast("double") for c in linear])]
+    bases.update({f"_b_{c}": spline_basis(c, F.lit(0.0), F.lit(float(period)), n, True) for c, (n, period) in cyclic.items()})
+    out = blocks.beside(df, stats, list(keys), "inner").withColumns(bases)
+    terms = [F.array(F.lit(1.0), *[standardise(F.col(c).cast("double"), F.col(f"_m_{c}"), F.col(f"_s_{c}")) for c in linear])]
     terms += [F.col(b) for b in bases]
     terms += [tensor_basis(f"_b_{a}", f"_b_{b}") for a, b in interactions]
     complete = F.lit(True)
-    for c in [*linear, *ranged]:
+    for c in [*linear, *smooth, *cyclic]:
         complete = complete & F.col(c).isNotNull()
     return (out.withColumn("x", F.when(complete, F.concat(*terms)))
-            .drop(*bases, *[f"_lo_{c}" for c in ranged], *[f"_hi_{c}" for c in ranged]))
+            .drop(*bases, *[c for c in stats.columns if c not in keys]))

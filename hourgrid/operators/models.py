@@ -6,7 +6,8 @@ cross-product matrices first, and only those are shuffled and added up.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -48,19 +49,21 @@ def walk_forward_ols(features: DataFrame, target: str, regressors: Sequence[str]
     """One fit per (zone, hour, day, window length D).
 
     A fit uses the complete rows among the D - lag_days days before the origin (the first ``lag_days`` days of a
-    D-day window only feed lags). The origin row itself must be complete except for the target, else the forecast is
-    null. ``last_price`` is left out at ``last_hour``. ``alpha`` weights the training rows by exp(-alpha * age).
+    D-day window only feed lags). There is no fit, and the forecast is null, where the series does not reach back over
+    the whole window, where it has too few complete rows for the regressors and a mean, or where the origin row itself lacks a
+    regressor. ``last_price`` is left out at ``last_hour``. ``alpha`` weights the training rows by exp(-alpha * age).
+    ``first_origin`` starts the evaluation block; put it where the longest window is first full to compare lengths.
+    All lengths of a day are fitted in one group, so rows are shuffled once.
     """
     reach = max(windows)
     block_days = block_days or max(90, reach // 2)
     columns = [target, *regressors] + ([last_price] if last_price else [])
     framed = blocks.with_history(features.select(*CELL, *columns), DATE, reach, block_days)
-    framed = framed.withColumn("window", F.explode(F.array(*[F.lit(int(d)) for d in windows])))
     start = None if first_origin is None else pd.Timestamp(first_origin).date()
 
     def fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(DATE)
-        d, hour = int(pdf["window"].iloc[0]), int(pdf[HOUR].iloc[0])
+        hour = int(pdf[HOUR].iloc[0])
         used = [c for c in columns if not (c == last_price and hour == last_hour)]
         xy = pdf[used].to_numpy(float)
         whole, known = ~np.isnan(xy).any(axis=1), ~np.isnan(xy[:, 1:]).any(axis=1)
@@ -69,11 +72,11 @@ def walk_forward_ols(features: DataFrame, target: str, regressors: Sequence[str]
         if start is not None:
             own = own & (day >= np.datetime64(start, "D").astype(int))
         out = []
-        for i in np.flatnonzero(own):
+        for i, d in ((i, int(d)) for i in np.flatnonzero(own) for d in windows):
             lo = np.searchsorted(day, day[i] - (d - lag_days))
             rows = lo + np.flatnonzero(whole[lo:i])
             y_pred = rmse = coef = None
-            if known[i] and len(rows) > 1:
+            if known[i] and day[0] <= day[i] - (d - lag_days) and len(rows) >= len(used) + 1:
                 weights = None if alpha is None else np.exp(-alpha * (day[i] - 1 - day[rows]))
                 y_pred, rmse, coef = _fit_last(xy[np.append(rows, i)], weights)
             y = xy[i, 0]
@@ -82,9 +85,9 @@ def walk_forward_ols(features: DataFrame, target: str, regressors: Sequence[str]
         return pd.DataFrame(out, columns=["zone", DATE, HOUR, "window", "y_true", "y_pred", "n_train", "rmse_train",
                                           "coefficients"])
 
-    by = ["zone", HOUR, "window", blocks.BLOCK]
+    by = ["zone", HOUR, blocks.BLOCK]
     return blocks.spread(framed, by).groupBy(*by).applyInPandas(
-        fit_group, f"zone string, {DATE} date, {HOUR} int, window int, {FIT_FIELDS}")
+        fit_group, f"{_key_fields(framed, CELL)}, window int, {FIT_FIELDS}")
 
 
 def coefficient_table(fits: DataFrame, regressors: Sequence[str]) -> DataFrame:
@@ -111,7 +114,7 @@ def as_experts(fits: DataFrame, prefix: str = "D") -> DataFrame:
 # ---- additive models ------------------------------------------------------------------------------------------------
 
 SALTS = 16
-FLUSH_GROUPS = 64  # cross-product matrices a map task holds before it writes them out
+FLUSH_BYTES = 64 << 20  # cross-product matrices a map task holds before it writes them out
 GRAM_FIELDS = "n double, yy double, xy array<double>, xx array<double>"
 
 
@@ -137,7 +140,7 @@ def cross_products(design: DataFrame, keys: Sequence[str], target: str = "y", x:
                 xs, ys = np.stack(part[x].to_numpy()), part[target].to_numpy(float)
                 sums = [float(len(ys)), float(ys @ ys), xs.T @ ys, xs.T @ xs]
                 held[key] = [a + b for a, b in zip(held[key], sums)] if key in held else sums
-            if len(held) >= FLUSH_GROUPS:
+            if held and len(held) * next(iter(held.values()))[3].nbytes >= FLUSH_BYTES:
                 yield flush()
         if held:
             yield flush()
@@ -183,58 +186,152 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def additive_forecast(design: DataFrame, sizes: Sequence[tuple[int, bool]], train_days: int, refit_days: int = 7,
-                      target: str = "y", keys: Sequence[str] = KEYS, smoothing: float = 1.0, ridge: float = 1e-3,
-                      block_days: int | None = None) -> DataFrame:
-    """Rolling additive model: refitted every ``refit_days`` days on the ``train_days`` days before.
+@dataclass(frozen=True)
+class AdditiveTerms:
+    """Terms of an additive model: linear columns, splines (column -> intervals), cyclic splines (column -> intervals and
+    period) and products of two spline terms. A spline column with fewer than ``gate`` different training values becomes
+    a linear one."""
+    linear: Sequence[str] = ()
+    smooth: Mapping[str, int] = field(default_factory=dict)
+    cyclic: Mapping[str, tuple[int, float]] = field(default_factory=dict)
+    products: Sequence[tuple[str, str]] = ()
+    gate: int = 5
+
+    @property
+    def inputs(self) -> list[str]:
+        return [*self.linear, *self.smooth, *self.cyclic]
+
+
+def basis_matrix(x: np.ndarray, low: float, high: float, intervals: int, cyclic: bool = False) -> np.ndarray:
+    """Cubic B-splines on equal intervals, as ``features.spline_basis`` has them."""
+    u = (x - low) / (high - low) * intervals if high > low else np.zeros(len(x))
+    u = u % intervals if cyclic else np.clip(u, 0.0, intervals)
+    i = np.minimum(np.floor(u).astype(int), intervals - 1)
+    t = u - i
+    pieces = [(1 - t) ** 3 / 6, (3 * t ** 3 - 6 * t ** 2 + 4) / 6, (-3 * t ** 3 + 3 * t ** 2 + 3 * t + 1) / 6, t ** 3 / 6]
+    out = np.zeros((len(x), intervals if cyclic else intervals + 3))
+    for k, piece in enumerate(pieces):
+        np.add.at(out, (np.arange(len(x)), (i + k) % out.shape[1]), piece)
+    return out
+
 
-    ``design`` holds (keys, local_date, hour, target, x). A group is one key and block of days with the history of its
-    first day, so its size is bounded and each row is copied at most a few times. Inside a group every refit period is
-    reduced to cross products once; overlapping windows add them up. Refit periods count from 1970-01-01, and days
-    before the first full window get no forecast. Add ``hour`` to ``keys`` for one model per hour.
+def additive_design(terms: AdditiveTerms, train: np.ndarray, *rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The penalty and a design matrix for each of ``rows`` (columns in the order of ``terms.inputs``); ranges, the gate
+    and the scale of linear columns come from ``train``."""
+    at = {c: k for k, c in enumerate(terms.inputs)}
+    plain = [c for c in terms.smooth if len(np.unique(train[:, at[c]])) < terms.gate]
+    linear = [*terms.linear, *plain]
+    mean = {c: train[:, at[c]].mean() for c in linear}
+    std = {c: train[:, at[c]].std(ddof=1) if len(train) > 1 else 0.0 for c in linear}
+    penalty: list[tuple[int, bool]] = [(1 + len(linear), False)]
+    made = []
+    for x in rows:
+        bases = {c: basis_matrix(x[:, at[c]], train[:, at[c]].min(), train[:, at[c]].max(), n)
+                 for c, n in terms.smooth.items() if c not in plain}
+        bases.update({c: basis_matrix(x[:, at[c]], 0.0, period, n, True) for c, (n, period) in terms.cyclic.items()})
+        pairs = [bases[a][:, :, None] * bases[b][:, None, :] for a, b in terms.products if a in bases and b in bases]
+        blocks_of = [*bases.values(), *[p.reshape(len(x), -1) for p in pairs]]
+        scaled = [(x[:, at[c]] - mean[c]) / (std[c] if std[c] > 0 else 1.0) for c in linear]
+        made.append(np.column_stack([np.ones(len(x)), *scaled, *blocks_of]))
+        penalty = [(1 + len(linear), False), *[(b.shape[1], True) for b in bases.values()],
+                   *[(p.shape[1] * p.shape[2], False) for p in pairs]]
+    return difference_penalty(penalty), made
+
+
+def _fit_additive(terms: AdditiveTerms, x: np.ndarray, y: np.ndarray, ahead: np.ndarray, smoothing: float, ridge: float):
+    """Forecasts of the rows ``ahead`` and the in-sample RMSE; None with fewer training rows than columns."""
+    if not len(y):
+        return None
+    penalty, (train, new) = additive_design(terms, x, x, ahead)
+    if len(y) < train.shape[1]:
+        return None
+    beta, rmse = _solve(float(len(y)), float(y @ y), train.T @ y, train.T @ train, penalty, smoothing, ridge)
+    return new @ beta, rmse
+
+
+def _rolling(rows: DataFrame, inputs: Sequence[str], target: str, train_days: int, refit_days: int, keys: Sequence[str],
+             block_days: int | None, fit) -> DataFrame:
+    """Forecast every row from a fit on the ``train_days`` days before its refit period.
+
+    A group is one key and block of days with the history of its first day, so its size is bounded and each row is
+    copied at most a few times. ``fit(x, y, age, ahead)`` gets the complete rows of the window, their age in days at
+    the beginning of the period, and the inputs to forecast from; it returns forecasts and RMSE, or None. Refit periods
+    count from 1970-01-01; periods before the first full window get no forecast.
     """
     keys = list(keys)
     periods = max(1, -(-train_days // refit_days))
     reach = periods * refit_days
     block_days = -(-(block_days or max(90, reach)) // refit_days) * refit_days  # blocks begin with a refit period
     others = [k for k in CELL if k not in keys]
-    rows = design.filter(F.col("x").isNotNull()).select(*keys, *others, target, "x")
-    framed = blocks.with_history(rows, DATE, reach, block_days).withColumn(
-        "_period", F.floor(F.unix_date(DATE) / F.lit(refit_days)).cast("int"))
-    penalty = difference_penalty(sizes)
+    wanted = [c for c in dict.fromkeys(inputs) if c not in (*keys, *others, target)]
+    framed = blocks.with_history(rows.select(*keys, *others, target, *wanted), DATE, reach, block_days).withColumn(
+        "_day", F.unix_date(DATE))
 
     def fit_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_period", kind="stable")
-        period, own = pdf["_period"].to_numpy(), pdf[blocks.OWN].to_numpy()
-        x, y = np.stack(pdf["x"].to_numpy()), pdf[target].to_numpy(float)
-        first, last = int(period[0]), int(period[-1])
-        edges = np.searchsorted(period, np.arange(first, last + 2))
-        q = x.shape[1]
-        sums = np.zeros((last - first + 1, 2 + q + q * q))  # n, y'y, X'y, X'X per period
-        for i in range(len(sums)):
-            part = slice(edges[i], edges[i + 1])
-            known = ~np.isnan(y[part])
-            xs, ys = x[part][known], y[part][known]
-            sums[i] = np.concatenate(([len(ys), ys @ ys], xs.T @ ys, (xs.T @ xs).ravel()))
+        pdf = pdf.sort_values("_day", kind="stable")
+        day, own = pdf["_day"].to_numpy(), pdf[blocks.OWN].to_numpy()
+        x, y = pdf[list(inputs)].to_numpy(float), pdf[target].to_numpy(float)
+        usable = ~np.isnan(x).any(axis=1)
+        complete = usable & ~np.isnan(y)
         y_pred, rmse, n = np.full(len(y), np.nan), np.full(len(y), np.nan), np.zeros(len(y), dtype="int64")
-        for i in range(periods, len(sums)):
-            part = slice(edges[i], edges[i + 1])
-            window = sums[i - periods:i].sum(axis=0)
-            if not own[part].any() or window[0] == 0:
+        for first in range(int(day[0]) // refit_days * refit_days + reach, int(day[-1]) + 1, refit_days):
+            now = slice(*np.searchsorted(day, [first, first + refit_days]))
+            if first - reach < day[0] or not own[now].any():
                 continue
-            beta, rmse[part] = _solve(window[0], window[1], window[2:2 + q], window[2 + q:].reshape(q, q), penalty,
-                                      smoothing, ridge)
-            y_pred[part], n[part] = x[part] @ beta, int(window[0])
+            before = np.arange(*np.searchsorted(day, [first - reach, first]))
+            before, ahead = before[complete[before]], np.arange(now.start, now.stop)[usable[now]]
+            found = fit(x[before], y[before], first - day[before], x[ahead])
+            if found is not None:
+                y_pred[ahead], rmse[ahead], n[ahead] = found[0], found[1], len(before)
         out = pdf[[*keys, *others]].assign(y_true=y, y_pred=y_pred, n_train=n, rmse_train=rmse)
         return out[own & (n > 0)]
 
-    types = dict(design.dtypes)
+    types = dict(rows.dtypes)
     fields = ", ".join(f"{k} {types[k]}" for k in [*keys, *others])
     by = [*keys, blocks.BLOCK]
     return blocks.spread(framed, by).groupBy(*by).applyInPandas(
         fit_block, f"{fields}, y_true double, y_pred double, n_train long, rmse_train double")
 
 
+def additive_forecast(rows: DataFrame, terms: AdditiveTerms, train_days: int, refit_days: int = 7, target: str = "y",
+                      keys: Sequence[str] = KEYS, smoothing: float = 1.0, ridge: float = 1e-3,
+                      block_days: int | None = None) -> DataFrame:
+    """Rolling additive model: refitted every ``refit_days`` days on the ``train_days`` days before.
+
+    ``rows`` holds (keys, local_date, hour, target, the inputs of ``terms``). Spline ranges, the gate and the scale of
+    linear terms come from the training window alone. Add ``hour`` to ``keys`` for one model per hour. No forecast
+    before the first full window, from a row that lacks an input, or with fewer training rows than columns.
+    """
+    return _rolling(rows, terms.inputs, target, train_days, refit_days, keys, block_days,
+                    lambda x, y, age, ahead: _fit_additive(terms, x, y, ahead, smoothing, ridge))
+
+
+def long_short_walk(rows: DataFrame, terms: AdditiveTerms, long_days: int, short_days: int, validation_days: int,
+                    refit_days: int = 1, target: str = "y", keys: Sequence[str] = KEYS, smoothing: float = 1.0,
+                    ridge: float = 1e-3, block_days: int | None = None) -> DataFrame:
+    """Long- and short-history pair for every forecast day, mixed by inverse validation loss.
+
+    Both models are validated on the ``validation_days`` days before the origin, then refitted with them. One that has
+    too few rows for its columns is left out.
+    """
+    def pair(x, y, age, ahead):
+        check = age <= validation_days
+        preds, shares, errors = [], [], []
+        for reach in (long_days, short_days):
+            own = ~check & (age <= reach)
+            tried = _fit_additive(terms, x[own], y[own], x[check], smoothing, ridge) if check.any() else None
+            final = _fit_additive(terms, x[own | check], y[own | check], ahead, smoothing, ridge)
+            if tried is not None and final is not None:
+                loss = float(np.mean((tried[0] - y[check]) ** 2))
+                preds.append(final[0])
+                errors.append(final[1])
+                shares.append(1.0 / max(loss, 1e-300))
+        if not preds:
+            return None
+        return np.average(preds, axis=0, weights=shares), float(np.average(errors, weights=shares))
+    return _rolling(rows, terms.inputs, target, long_days, refit_days, keys, block_days, pair)
+
+
 def long_short_forecast(design: DataFrame, sizes: Sequence[tuple[int, bool]], target: str = "y", split: str = "split",
                         keys: Sequence[str] = KEYS, smoothing: float = 1.0, ridge: float = 1e-3) -> DataFrame:
     """Two models, one on the long and one on the short history, mixed by inverse validation loss.

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from hourgrid.operators import blocks
 
 CELL = ("zone", "local_date", "hour")
+RUN = 65536  # equal values written out at a time
+BUCKET_ROWS, MOST_BUCKETS = 1_000_000, 1000
 
 
 def with_error(forecasts: DataFrame) -> DataFrame:
@@ -164,7 +166,7 @@ def error_acf(errors: DataFrame, max_lag: int = 50, value: str = "error", slots:
               keys: Sequence[str] = ("zone",)) -> DataFrame:
     """Autocorrelation of the hourly errors at lags 1..max_lag; pairs with a gap do not count."""
     mean = errors.groupBy(*keys).agg(F.avg(value).alias("_mean"))
-    centred = errors.join(mean, list(keys)).withColumn("_e", F.col(value) - F.col("_mean"))
+    centred = blocks.beside(errors, mean, list(keys)).withColumn("_e", F.col(value) - F.col("_mean"))
     lags = range(1, max_lag + 1)
     framed = blocks.windowed(centred, -(-max_lag // slots),
                              lambda w: {f"_l{k}": F.lag("_e", k).over(w) for k in lags}, keys=keys)
@@ -189,7 +191,8 @@ def error_pacf(errors: DataFrame, max_lag: int = 50, value: str = "error", slots
             phi = np.append(phi - last * phi[::-1], last)
             out.append(last)
         return pdf.assign(pacf=out)[[*keys, "lag", "pacf"]]
-    fields = ", ".join(f"{k} string" for k in keys)
+    types = dict(acf.dtypes)
+    fields = ", ".join(f"{k} {types[k]}" for k in keys)
     return acf.groupBy(*keys).applyInPandas(levinson, f"{fields}, lag int, pacf double")
 
 
@@ -224,7 +227,8 @@ def unit_root_stat(series: DataFrame, value: str, lags: int = 0, keys: Sequence[
         se = math.sqrt(max(s2, 0.0) * np.linalg.pinv(cov[1:, 1:])[0, 0]) if free > 0 else np.nan
         return pd.DataFrame({**{k: [row[k]] for k in keys}, "n": [n],
                              "statistic": [beta[0] / se if se and se > 0 else np.nan]})
-    fields = ", ".join(f"{k} string" for k in keys)
+    types = dict(moments.dtypes)
+    fields = ", ".join(f"{k} {types[k]}" for k in keys)
     return moments.groupBy(*keys).applyInPandas(solve, f"{fields}, n long, statistic double")
 
 
@@ -240,12 +244,17 @@ def _bucket(value: Column, cuts: list[float], first: int) -> Column:
 
 
 def hill_index(df: DataFrame, value: str, start: int = 14, end: int | None = None, ci: float = 0.95,
-               buckets: int = 200) -> DataFrame:
+               buckets: int | None = None) -> DataFrame:
     """Hill estimate at every number k of upper order statistics in (start, end], with its band.
 
     Equal values are counted first, ranks and running log sums come from value-range buckets plus what lies above
-    them, and only then are the order statistics written out; no task sees the whole sample.
+    them, and only then are the order statistics written out; no task sees the whole sample. Buckets follow the number
+    of rows; those that lie beyond ``end`` are left out before ranking. A value that occurs very often is written out
+    in runs of bounded length.
     """
+    if buckets is None:
+        rows = df.filter(F.col(value) > 0).count()
+        buckets = max(20, min(MOST_BUCKETS, rows // BUCKET_ROWS))
     counted = df.filter(F.col(value) > 0).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
     counted = counted.withColumn("s", F.log("v") * F.col("c"))
     steps = F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)])
@@ -257,16 +266,23 @@ def hill_index(df: DataFrame, value: str, start: int = 14, end: int | None = Non
                               F.coalesce(F.sum("_s").over(above), F.lit(0.0)).alias("_s0"))
     before = (blocks.Window.partitionBy("b").orderBy(F.col("v").desc())
               .rowsBetween(blocks.Window.unboundedPreceding, -1))
-    ranked = (counted.join(carry, "b")
+    if end is not None:
+        carry = carry.filter(F.col("_c0") <= end + 1)
+    ranked = (blocks.beside(counted, carry, ["b"], "inner")
               .withColumn("_k0", F.col("_c0") + F.coalesce(F.sum("c").over(before), F.lit(0)))
               .withColumn("_l0", F.col("_s0") + F.coalesce(F.sum("s").over(before), F.lit(0.0))))
-    rows = ranked.select("v", "_k0", "_l0", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))).alias("_j"))
+    if end is not None:
+        ranked = ranked.filter(F.col("_k0") <= end + 1)
+    runs = ranked.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("c") - 1) / RUN))))
+    run = F.sequence(F.col("_run") * RUN + 1, F.least(F.col("c"), (F.col("_run") + 1) * RUN))
+    rows = runs.select("v", "_k0", "_l0", F.explode(run).alias("_j"))
     log_v = F.log("v")
     k = F.col("_k0") + F.col("_j")
     out = rows.select(k.alias("k"), ((F.col("_l0") + F.col("_j") * log_v) / k - log_v).alias("_xi"))
     out = out.filter(F.col("k") > start + 1)
     if end is not None:
         out = out.filter(F.col("k") <= end + 1)
-    alpha = F.try_divide(F.lit(1.0), F.col("_xi"))
+    # equal largest values have no tail; what rounding leaves of their zero is no estimate either
+    alpha = F.when(F.abs("_xi") > 1e-12, 1 / F.col("_xi"))
     band = alpha / F.sqrt("k") * F.lit(NormalDist().inv_cdf(1 - (1 - ci) / 2))
     return out.select("k", alpha.alias("alpha"), (alpha - band).alias("low"), (alpha + band).alias("high"))

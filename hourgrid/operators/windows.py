@@ -206,4 +206,4 @@ def base_index(df: DataFrame, columns: Sequence[str], ts: str, base_from: str, b
     base = df.filter(in_base).groupBy(*keys).agg(*[
         F.min_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_base_{c}") for c in columns])
     indexed = {f"{c}{suffix}": F.try_divide(F.col(c), F.col(f"_base_{c}")) for c in columns}
-    return df.join(base, list(keys), "left").withColumns(indexed).drop(*[f"_base_{c}" for c in columns])
+    return blocks.beside(df, base, list(keys)).withColumns(indexed).drop(*[f"_base_{c}" for c in columns])

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from hourgrid.functions.clock import calendar_parts, day_hour, hour_floor
 from hourgrid.functions.numeric import null_safe_total
-from hourgrid.operators import blocks, combine, etl, features, scoring
+from hourgrid.operators import blocks, etl, features, scoring
 from hourgrid.plans import standin as st
 from hourgrid.plans.registry import Query
 from hourgrid.sources.tables import hourly_arrays_to_rows
@@ -80,12 +80,10 @@ def soa_to_rows(spark, d):
 
 
 def zone_union(spark, d):
-    """One table per zone, tagged and put below each other."""
-    orders = st.table(spark, d, "orders")
-    parts = [orders.filter(F.col("o_orderpriority") == p).select(
-        F.lit(f"NO{i + 1}").alias("MapCode"), F.col("o_orderdate").alias("time_utc"), F.col("o_totalprice").alias("Price"))
-        for i, p in enumerate(st.QUOTE_OF)]
-    return combine.stack_models(*parts)
+    """All zones in one scan, each row tagged with the zone its own key names."""
+    zone = F.concat(F.lit("NO"), F.substring_index("o_orderpriority", "-", 1))
+    return st.table(spark, d, "orders").select(zone.alias("MapCode"), F.col("o_orderdate").alias("time_utc"),
+                                               F.col("o_totalprice").alias("Price"))
 
 
 def fx_convert(spark, d):
@@ -98,9 +96,12 @@ def row_total(spark, d):
 
 
 def coerce_dates(spark, d):
-    """Every seventh order number carries a malformed date text, which must drop out of the range."""
-    text = F.when(F.pmod("o_orderkey", F.lit(7)) == 0, F.concat(F.lit("n/a "), F.col("o_orderdate").cast("string"))
-                  ).otherwise(F.substring(F.col("o_orderdate").cast("string"), 1, 10))
+    """Every seventh order number carries a malformed date text, which must drop out of the range; others have the texts
+    of dates and time stamps."""
+    day, kind = F.date_format("o_orderdate", "yyyy-MM-dd"), F.pmod("o_orderkey", F.lit(7))
+    text = (F.when(kind == 0, F.concat(F.lit("n/a "), day)).when(kind == 1, F.concat(day, F.lit(" 00:00:00")))
+            .when(kind == 2, F.concat(day, F.lit("T13:30:00.5"))).when(kind == 3, F.date_format("o_orderdate", "yyyy-M-d"))
+            .otherwise(day))
     rows = st.table(spark, d, "orders").select("o_orderkey", text.alias("Date"))
     return etl.in_dates(rows.withColumn("Date", etl.coerce_date("Date")), "1996-01-01", "1999-01-01")
 
@@ -112,7 +113,7 @@ def merge_time_only(spark, d):
 
 
 def holiday_query(spark, d):
-    return features.holiday_dummy(st.grid(spark, d, ["Price"]).drop("Price"), st.holidays(spark))
+    return features.holiday_dummy(st.grid(spark, d, ["Price"]).drop("Price"), st.holidays(spark), years=(2019, 2024))
 
 
 def weather_join(spark, d):
@@ -170,9 +171,8 @@ WHERE s.Name = 'Load' AND s.Type IN ('Actual', 'DayAhead') AND s.MapTypeCode = '
     Query("soa_to_rows", soa_to_rows, f"""WITH {st.WEATHER_SQL}
 SELECT zone AS MapCode, local_date + to_hours(hour) AS time_local, Temp, Solar, WindS FROM weather""",
           "Temp Solar WindS", "time_local"),
-    Query("zone_union", zone_union, """SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'NO1' WHEN '2-HIGH' THEN 'NO2'
-  WHEN '3-MEDIUM' THEN 'NO3' WHEN '4-NOT SPECIFIED' THEN 'NO4' ELSE 'NO5' END AS MapCode, o_orderdate AS time_utc,
-  o_totalprice AS Price FROM orders""", "Price", "time_utc"),
+    Query("zone_union", zone_union, """SELECT 'NO' || split_part(o_orderpriority, '-', 1) AS MapCode,
+  o_orderdate AS time_utc, o_totalprice AS Price FROM orders""", "Price", "time_utc"),
     Query("model_columns", lambda s, d: etl.build_training_table(_merged(s, d), fill=False), MERGE_SQL + """
 SELECT MapCode AS zone, time_utc, Price, Load_A, Load_DA, Wind_Onshore_DA AS WindOn_DA, Wind_Offshore_DA AS WindOff_DA,
        Solar_DA, coal_fM_01_EUR AS Coal, gas_fM_01 AS NGas, oil_fM_01_EUR AS Oil, EUA_fM_01 AS EUA FROM merged""",

@@ -49,7 +49,7 @@ EXTRA_NAMES = ["pct_chg_Load_DA", "lag168_Load_DA", "lag1_price_2nd_diff", "vola
 
 
 def hourly_extras(spark, d):
-    return features.holiday_dummy(features.hourly_features(st.grid(spark, d), EXTRA), st.holidays(spark))
+    return features.holiday_dummy(features.hourly_features(st.grid(spark, d), EXTRA), st.holidays(spark), years=(2019, 2024))
 
 
 def _gated(fn: str, col: str, n: int) -> str:
@@ -166,7 +166,7 @@ def periodic_basis(spark, d):
 def spline_basis(spark, d):
     g = st.grid(spark, d, ["Price"]).filter("Price is not null")
     ranges = g.groupBy("zone").agg(F.min("Price").alias("lo"), F.max("Price").alias("hi"))
-    return g.join(ranges, "zone").select("zone", "local_date", "hour", F.posexplode(features.spline_basis(
+    return blocks.beside(g, ranges, ["zone"]).select("zone", "local_date", "hour", F.posexplode(features.spline_basis(
         "Price", "lo", "hi", 5)).alias("j", "basis"))
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hourgrid.functions.clock import to_local
 from hourgrid.operators import etl, timegrid
 from hourgrid.plans import standin as st
 from hourgrid.plans.registry import Query
@@ -26,15 +27,15 @@ def _bounds(spark, d, days):
         (F.min("ts") + shift).alias("first"), (F.max("ts") + shift).alias("last"))
 
 
-def local_grid(days):
-    return lambda spark, d: timegrid.local_grid(_shifted(spark, d, days), VARS, bounds=_bounds(spark, d, days))
+def local_grid(days, tz="CET"):
+    return lambda spark, d: timegrid.local_grid(_shifted(spark, d, days), VARS, tz, bounds=_bounds(spark, d, days))
 
 
 def dst_edges(spark, d):
     """The first and last local day are partial; the result is cut to the days between them."""
-    first = spark.read.parquet(f"{d}/events.parquet").agg(F.min("ts").cast("date")).scalar()
-    full = timegrid.local_grid(_shifted(spark, d, 0), VARS)
-    return full.filter((F.col("local_date") > first) & (F.col("local_date") < F.date_add(first, 29)))
+    ends = st.table(spark, d, "events").agg(F.date_add(to_local(F.min("ts"), "CET").cast("date"), 1).cast("string"),
+                                            F.date_sub(to_local(F.max("ts"), "CET").cast("date"), 1).cast("string")).first()
+    return timegrid.local_grid(_shifted(spark, d, 0), VARS, first_day=ends[0], last_day=ends[1])
 
 
 def dst_days(spark, d):
@@ -53,8 +54,8 @@ def half_hourly(spark, d):
     return timegrid.local_grid(rows, ["Price"], slots=48)
 
 
-def local_sql(days: int, slots: int = 24) -> str:
-    """Complete UTC grid first, then the rules of the two change days cell by cell."""
+def local_sql(days: int, slots: int = 24, tz: str = "CET", missing: int = 2) -> str:
+    """Complete UTC grid first, then the rules of the two change days cell by cell; ``missing``: the hour that March lacks."""
     per = slots // 24
     step, shift = f"INTERVAL {60 // per} MINUTE", f"INTERVAL {days} DAY"
     values = ["Price"] if slots > 24 else VARS
@@ -68,12 +69,12 @@ def local_sql(days: int, slots: int = 24) -> str:
     spring = "month(c.local_date) = 3 AND isodow(c.local_date) = 7 AND day(c.local_date) >= 25"
 
     def value(v: str) -> str:
-        return (f"CASE WHEN {spring} AND c.hour // {per} = 2 THEN a.{v} + (c.hour - {2 * per - 1}) "
+        return (f"CASE WHEN {spring} AND c.hour // {per} = {missing} THEN a.{v} + (c.hour - {missing * per - 1}) "
                 f"* (b.{v} - a.{v}) / {per + 1} ELSE x.{v} END AS {v}")
     return f"""WITH {series},
 utc AS (SELECT z.zone, t.t AS time_utc FROM (SELECT zone, min(time_utc) AS lo, max(time_utc) AS hi FROM hourly GROUP BY 1) z,
         unnest(generate_series(z.lo, z.hi, {step})) AS t(t)),
-loc AS (SELECT u.zone, timezone('CET', timezone('UTC', u.time_utc)) AS lt, {picked}
+loc AS (SELECT u.zone, timezone('{tz}', timezone('UTC', u.time_utc)) AS lt, {picked}
         FROM utc u LEFT JOIN hourly g ON g.zone = u.zone AND g.time_utc = u.time_utc),
 cell AS (SELECT zone, CAST(lt AS DATE) AS local_date,
                 CAST(hour(lt) * {per} + minute(lt) * {per} // 60 AS INTEGER) AS hour, {means} FROM loc GROUP BY 1, 2, 3),
@@ -82,8 +83,8 @@ full_days AS (SELECT z.zone, CAST(z.lo + to_days(CAST(n.n AS INTEGER)) AS DATE)
        unnest(range(0, CAST(z.hi - z.lo AS BIGINT) + 1)) AS n(n), range({slots}) AS h(h))
 SELECT c.zone, c.local_date, c.hour, {', '.join(value(v) for v in values)}
 FROM full_days c LEFT JOIN cell x ON x.zone = c.zone AND x.local_date = c.local_date AND x.hour = c.hour
-LEFT JOIN cell a ON a.zone = c.zone AND a.local_date = c.local_date AND a.hour = {2 * per - 1}
-LEFT JOIN cell b ON b.zone = c.zone AND b.local_date = c.local_date AND b.hour = {3 * per}"""
+LEFT JOIN cell a ON a.zone = c.zone AND a.local_date = c.local_date AND a.hour = {missing * per - 1}
+LEFT JOIN cell b ON b.zone = c.zone AND b.local_date = c.local_date AND b.hour = {(missing + 1) * per}"""
 
 
 GRID_QUERIES = [
@@ -91,9 +92,11 @@ GRID_QUERIES = [
     Query("dst_spring", local_grid(SPRING + 5), local_sql(SPRING + 5), "Price Load_A", "local_date"),
     Query("dst_fall", local_grid(FALL), local_sql(FALL), "Price Load_A", "local_date"),
     Query("dst_subhourly", half_hourly, local_sql(SPRING, 48), "Price", "local_date"),
-    Query("dst_edges", dst_edges, f"""SELECT * FROM ({local_sql(0)}) AS g
-WHERE local_date > (SELECT CAST(min(ts) AS DATE) FROM events)
-  AND local_date < (SELECT CAST(min(ts) AS DATE) + 29 FROM events)""", "Price Load_A", "local_date"),
+    Query("dst_london", local_grid(SPRING, "Europe/London"), local_sql(SPRING, 24, "Europe/London", 1), "Price Load_A", "local_date"),
+    Query("dst_helsinki", local_grid(FALL, "Europe/Helsinki"), local_sql(FALL, 24, "Europe/Helsinki", 3), "Price Load_A", "local_date"),
+    Query("dst_edges", dst_edges, f"""WITH g AS ({local_sql(0)}) SELECT * FROM g
+WHERE local_date > (SELECT CAST(timezone('CET', timezone('UTC', min(ts))) AS DATE) FROM events)
+  AND local_date < (SELECT CAST(timezone('CET', timezone('UTC', max(ts))) AS DATE) FROM events)""", "Price Load_A", "local_date"),
     Query("utc_grid", utc_grid, f"""WITH {st.hourly_sql()}
 SELECT z.zone, t.t AS time_utc, h.Price
 FROM (SELECT zone, min(time_utc) AS lo, max(time_utc) AS hi FROM hourly GROUP BY 1) z,

@@ -5,18 +5,18 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from hourgrid.operators import boosting, combine, etl, features, models, scoring
+from hourgrid.operators import blocks, boosting, combine, etl, features, models, scoring
 from hourgrid.operators.features import HourlySpec
 from hourgrid.plans import standin as st
 from hourgrid.plans.registry import Query
 from hourgrid.session import computed_once
 
 SPEC = HourlySpec(last_price=True)
-DAYS = 21            # history length of the experts on the 30 hourly days
-CANDIDATES = [14, 18, 21]
+DAYS = 21            # history length of the one-regressor fits on the 30 hourly days
+WINDOWS = [186, 365, 730]
 SINGLE = HourlySpec(price_lags=(1,), load="", forecasts=(), fuels=(), weekdays=[0])
 LINEAR = ["Price_lag_1", "Price_lag_7", "WD_1", "WD_6", "WD_7"]
-SMOOTH, CYCLIC = {"Load_DA_lag_0": 5}, {"hour_d": 6}
+SMOOTH, CYCLIC = {"Load_DA_lag_0": 5}, {"hour_d": (6, 24.0)}
 # Columns of the design vector in order: (number, smooth); pairs of terms are products of their columns.
 SIZES = [(1 + len(LINEAR), False), (8, True), (6, True), (48, False)]
 
@@ -25,10 +25,33 @@ def design_table(spark, d):
     return features.hourly_features(st.grid(spark, d), SPEC)
 
 
-def expert(windows, alpha=None):
+def expert_single(spark, d):
+    table = features.hourly_features(st.grid(spark, d), SINGLE)
+    fits = models.walk_forward_ols(table, "Price", ["Price_lag_1"], [DAYS], lag_days=7)
+    return fits.select("zone", "local_date", "hour", "y_true", "y_pred", "n_train")
+
+
+# ---- experts on the daily series of several years -------------------------------------------------------------------
+
+LAGS = ["lag_1", "lag_7"]
+
+
+def daily_table(spark, d):
+    """Daily value in thousands and its lags of a day and a week."""
+    series = st.daily(spark, d).select("zone", "local_date", (F.col("value") / 1000).alias("y"))
+    lagged = blocks.windowed(series, 7, lambda w: {"lag_1": F.lag("y", 1).over(w), "lag_7": F.lag("y", 7).over(w)},
+                             order=("local_date",))
+    return lagged.withColumn("hour", F.lit(0))
+
+
+def first_day(spark, d):
+    return st.table(spark, d, "orders").agg(F.min(F.col("o_orderdate").cast("date"))).first()[0]
+
+
+def expert(windows, regressors=LAGS, alpha=None, since=None):
     def run(spark, d):
-        return models.walk_forward_ols(design_table(spark, d), "Price", SPEC.regressors(), windows,
-                                       last_price="price_last", alpha=alpha)
+        start = None if since is None else str(first_day(spark, d) + timedelta(days=since))
+        return models.walk_forward_ols(daily_table(spark, d), "y", regressors, windows, alpha=alpha, first_origin=start)
     return run
 
 
@@ -38,23 +61,20 @@ def shown(fits):
 
 
 def expert_coefs(spark, d):
-    return models.coefficient_table(expert([DAYS])(spark, d), [*SPEC.regressors(), "price_last"])
+    return models.coefficient_table(expert([365])(spark, d), LAGS)
 
 
-def expert_single(spark, d):
-    table = features.hourly_features(st.grid(spark, d), SINGLE)
-    fits = models.walk_forward_ols(table, "Price", ["Price_lag_1"], [DAYS], lag_days=7)
-    return fits.select("zone", "local_date", "hour", "y_true", "y_pred", "n_train")
+def whole_experts(spark, d):
+    """Cells in which the truth and the forecasts of all history lengths are known."""
+    fits = expert(WINDOWS)(spark, d).withColumn("_e", F.col("y_pred") - F.col("y_true"))
+    return models.as_experts(etl.complete_groups(fits, ["zone", "local_date", "hour"], "_e"))
 
 
 def combined_experts(spark, d):
-    """Experts of several history lengths, rates tuned on the first days, combined on the later ones, all scored."""
-    fits = expert(CANDIDATES)(spark, d)
-    experts = computed_once(etl.complete_groups(
-        models.as_experts(fits).withColumn("_e", F.col("y_pred") - F.col("y_true")),
-        ["zone", "local_date", "hour"], "_e").drop("_e"))
-    cut = experts.agg(F.date_add(F.min("local_date"), 14)).scalar()
-    names = [f"D{w}" for w in CANDIDATES]
+    """Experts of several history lengths, rates tuned on the first year, combined on the later days, all scored."""
+    experts = computed_once(whole_experts(spark, d))
+    cut = experts.agg(F.date_add(F.min("local_date"), 365)).scalar()
+    names = [f"D{w}" for w in WINDOWS]
     etas = combine.ewa_tune_with_reset(experts.filter(F.col("local_date") < cut), names)
     late = experts.filter(F.col("local_date") >= cut)
     combined = combine.keep_last_days(combine.ewa_with_reset(late, etas, names), 1 / 9).select(
@@ -63,39 +83,157 @@ def combined_experts(spark, d):
     return scoring.error_table(combine.stack_models(shared, combined), ["zone", "model"])
 
 
-def smooth_rows(spark, d):
-    """Design vectors of the hourly table; the spline ranges come from the first 14 days of each zone."""
-    table = design_table(spark, d).withColumn("hour_d", F.col("hour").cast("double"))
-    first = st.table(spark, d, "events").agg(F.min(F.col("ts").cast("date"))).scalar()
-    rows = features.smooth_design(table, SMOOTH, CYCLIC, LINEAR, [("Load_DA_lag_0", "hour_d")],
-                                  F.col("local_date") < F.date_add(first, 14))
-    return rows.withColumnRenamed("Price", "y").select("zone", "local_date", "hour", "y", "x")
-
-
-def additive(keys):
-    return lambda spark, d: models.additive_forecast(smooth_rows(spark, d), SIZES, 14, 1, keys=keys)
+DAILY_X = f"""{st.DAILY_SQL},
+x AS (SELECT zone, local_date, y, lag(y, 1) OVER w AS a, lag(y, 7) OVER w AS b, row_number() OVER w AS pos
+      FROM (SELECT zone, local_date, value / 1000 AS y FROM daily) WINDOW w AS (PARTITION BY zone ORDER BY local_date))"""
+
+
+def frame_sql(d: int, name: str = "fits", two: bool = True) -> str:
+    """Least squares over the frame before each day, from its variances and covariances: one or two regressors."""
+    ok = "y + a + b IS NOT NULL" if two else "y + a IS NOT NULL"
+    columns = ["y", "a", "b"] if two else ["y", "a"]
+    parts = [f"count(*) FILTER ({ok}) OVER f AS n"]
+    parts += [f"avg({c}) FILTER ({ok}) OVER f AS m{c}" for c in columns]
+    parts += [f"covar_pop({c}, {e}) FILTER ({ok}) OVER f AS {c}{e}" for i, c in enumerate(columns) for e in columns[i:]]
+    first = "(ya * bb - yb * ab) / (aa * bb - ab * ab)" if two else "ya / aa"
+    second = "(yb * aa - ya * ab) / (aa * bb - ab * ab)" if two else "0.0"
+    fit = f"pos > {d - 7} AND n >= {len(columns) + 1} AND {'a + b' if two else 'a'} IS NOT NULL"
+    line = "my + s1 * (a - ma)" + (" + s2 * (b - mb)" if two else "")
+    rest = "yy - s1 * ya" + (" - s2 * yb" if two else "")
+    return f"""{name}_m AS (SELECT x.*, {', '.join(parts)} FROM x WINDOW f AS (PARTITION BY zone ORDER BY local_date
+  ROWS BETWEEN {d - 7} PRECEDING AND 1 PRECEDING)),
+{name} AS (SELECT zone, local_date, CAST(0 AS INTEGER) AS hour, CAST({d} AS INTEGER) AS "window", y AS y_true,
+  CASE WHEN {fit} THEN {line} END AS y_pred, CAST(n AS INTEGER) AS n_train,
+  CASE WHEN {fit} THEN sqrt(greatest({rest}, 0)) END AS rmse_train,
+  CASE WHEN {fit} THEN s1 * sqrt(aa / yy) END AS c1{f", CASE WHEN {fit} THEN s2 * sqrt(bb / yy) END AS c2" if two else ""}
+  FROM (SELECT *, {first} AS s1, {second} AS s2 FROM {name}_m))"""
+
+
+FIT_COLUMNS = "zone, local_date, hour, \"window\", y_true, y_pred, n_train, rmse_train"
+ALPHA = 0.002
+WEIGHTED_SQL = f"""WITH {DAILY_X},
+u AS (SELECT *, exp({ALPHA} * (local_date - DATE '1998-01-01')) AS w FROM x),
+m AS (SELECT u.*, {', '.join(f"{fn}({arg}) FILTER (y + a IS NOT NULL) OVER f AS {name}" for name, fn, arg in [
+    ('n', 'count', '*'), ('my', 'avg', 'y'), ('ma', 'avg', 'a'), ('yy', 'var_pop', 'y'), ('aa', 'var_pop', 'a'),
+    ('sw', 'sum', 'w'), ('sy', 'sum', 'w * y'), ('sa', 'sum', 'w * a'), ('say', 'sum', 'w * a * y'), ('saa', 'sum', 'w * a * a')])},
+  covar_pop(y, a) FILTER (y + a IS NOT NULL) OVER f AS ya
+  FROM u WINDOW f AS (PARTITION BY zone ORDER BY local_date ROWS BETWEEN 358 PRECEDING AND 1 PRECEDING)),
+s AS (SELECT *, (say - ma * sy - my * sa + ma * my * sw) / (saa - 2 * ma * sa + ma * ma * sw) AS b1,
+             pos > 358 AND n >= 3 AND a IS NOT NULL AS fit FROM m)
+SELECT zone, local_date, CAST(0 AS INTEGER) AS hour, CAST(365 AS INTEGER) AS "window", y AS y_true,
+  CASE WHEN fit THEN my + b1 * (a - ma) END AS y_pred, CAST(n AS INTEGER) AS n_train,
+  CASE WHEN fit THEN sqrt(greatest(yy - 2 * b1 * ya + b1 * b1 * aa, 0)) END AS rmse_train FROM s"""
+
+TUNE_SQL = f"""WITH {DAILY_X}, {', '.join(frame_sql(w, f'f{w}') for w in WINDOWS)},
+every AS ({' UNION ALL '.join(f'SELECT {FIT_COLUMNS} FROM f{w}' for w in WINDOWS)}),
+r AS (SELECT zone, "window", sqrt(avg((y_pred - y_true) ** 2)) AS rmse FROM every
+      WHERE local_date >= (SELECT CAST(min(o_orderdate) AS DATE) + {max(WINDOWS)} FROM orders) GROUP BY 1, 2)
+SELECT zone, "window", rmse FROM r WHERE rmse IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY zone ORDER BY rmse, "window") = 1"""
+
+
+def walk_sql(cells: str, name: str, experts: int = 3) -> str:
+    """Weights before each step t of ``cells`` (zone, hour, i, eta, t, y, p1..), by the update with the return to 1/K."""
+    ks = range(1, experts + 1)
+    return f"""{name}(zone, hour, i, eta, t, {', '.join(f'w{k}' for k in ks)}) AS (
+  SELECT zone, hour, i, eta, t, {', '.join(f'1e0 / {experts}' for _ in ks)} FROM {cells} WHERE t = 1
+  UNION ALL
+  SELECT zone, hour, i, eta, t + 1, {', '.join(f'CASE WHEN s > 1e-15 THEN u{k} / s ELSE 1e0 / {experts} END' for k in ks)}
+  FROM (SELECT *, {' + '.join(f'u{k}' for k in ks)} AS s FROM (
+    SELECT w.zone, w.hour, w.i, w.eta, w.t, {', '.join(f'w.w{k} * exp(greatest(-700.0, -w.eta * (c.p{k} - c.y) ** 2)) AS u{k}' for k in ks)}
+    FROM {name} w JOIN {cells} c ON c.zone = w.zone AND c.hour = w.hour AND c.i = w.i AND c.t = w.t)))"""
+
+
+def mixed_sql(cells: str, walk: str, experts: int = 3) -> str:
+    """Combined forecast of every step."""
+    mix = " + ".join(f"w.w{k} * c.p{k}" for k in range(1, experts + 1))
+    return f"""SELECT c.zone, c.local_date, c.hour, c.i, c.eta, c.t, c.y AS y_true, {mix} AS y_pred
+  FROM {cells} c JOIN {walk} w ON c.zone = w.zone AND c.hour = w.hour AND c.i = w.i AND c.t = w.t"""
+
+
+ETA_SQL = "etas AS (SELECT i, power(2.0, i - 10) AS eta FROM range(12) r(i))"
+COMBINED_SQL = f"""WITH RECURSIVE {DAILY_X}, {', '.join(frame_sql(w, f'f{w}') for w in WINDOWS)},
+whole AS (SELECT zone, local_date, f186.hour, f186.y_true AS y, f186.y_pred AS p1, f365.y_pred AS p2, f730.y_pred AS p3
+          FROM f186 JOIN f365 USING (zone, local_date) JOIN f730 USING (zone, local_date)
+          WHERE f186.y_true + f186.y_pred + f365.y_pred + f730.y_pred IS NOT NULL),
+cut AS (SELECT min(local_date) + 365 AS day FROM whole), {ETA_SQL},
+early AS (SELECT *, row_number() OVER (PARTITION BY zone, i ORDER BY local_date) AS t FROM whole, etas
+          WHERE local_date < (SELECT day FROM cut)),
+{walk_sql('early', 'ew')},
+tuned AS (SELECT zone, hour, eta FROM (SELECT zone, hour, i, eta, sum((y_pred - y_true) ** 2) AS loss
+          FROM ({mixed_sql('early', 'ew')}) GROUP BY ALL)
+          QUALIFY row_number() OVER (PARTITION BY zone ORDER BY loss, i) = 1),
+late AS (SELECT w.*, 0 AS i, u.eta, row_number() OVER (PARTITION BY w.zone ORDER BY local_date) AS t,
+                count(*) OVER (PARTITION BY w.zone) AS n
+         FROM whole w JOIN tuned u ON u.zone = w.zone WHERE local_date >= (SELECT day FROM cut)),
+{walk_sql('late', 'lw')},
+kept AS (SELECT m.zone, m.y_true, m.y_pred, l.p1, l.p2, l.p3 FROM ({mixed_sql('late', 'lw')}) m
+         JOIN late l ON l.zone = m.zone AND l.t = m.t WHERE l.t > l.n - floor(l.n - l.n * (1.0 / 9))),
+rows_ AS (SELECT zone, 'ewa' AS model, y_true, y_pred FROM kept UNION ALL SELECT zone, 'D186', y_true, p1 FROM kept
+          UNION ALL SELECT zone, 'D365', y_true, p2 FROM kept UNION ALL SELECT zone, 'D730', y_true, p3 FROM kept)
+SELECT zone, model, sqrt(avg((y_pred - y_true) ** 2)) AS rmse, avg(abs(y_pred - y_true)) AS mae FROM rows_ GROUP BY 1, 2"""
+
+
+# ---- additive models ------------------------------------------------------------------------------------------------
+
+TERMS = models.AdditiveTerms(["lag_1", "lag_7"], {"orders": 5}, {"day_of_year": (6, 366.0), "weekday": (4, 7.0)})
+BY_HOUR = models.AdditiveTerms(["Price_lag_1"], {"Load_DA_lag_0": 2})
+TRAIN_DAYS = 365
+
+
+def additive_rows(spark, d):
+    """Daily value with lags, yesterday's number of orders and the calendar."""
+    counts = st.daily(spark, d).select("zone", F.date_add("local_date", 1).alias("local_date"), F.col("n").alias("orders"))
+    return daily_table(spark, d).join(counts, ["zone", "local_date"], "left").withColumns({
+        "day_of_year": F.dayofyear("local_date").cast("double"), "weekday": F.weekday("local_date").cast("double")})
+
+
+def additive(spark, d):
+    return models.additive_forecast(additive_rows(spark, d), TERMS, TRAIN_DAYS)
+
+
+def additive_by_hour(spark, d):
+    rows = design_table(spark, d).withColumnRenamed("Price", "y")
+    return models.additive_forecast(rows, BY_HOUR, 20, 1, keys=["zone", "hour"])
+
+
+def additive_difference(spark, d):
+    """The model of the daily change, its forecasts put back on the level, and the level's error by zone."""
+    rows = additive_rows(spark, d).withColumn("change", F.col("y") - F.col("lag_1"))
+    fits = models.additive_forecast(rows, TERMS, TRAIN_DAYS, target="change")
+    base = rows.select("zone", "local_date", "y", "lag_1")
+    level = fits.join(base, ["zone", "local_date"]).select(
+        "zone", F.lit("difference").alias("model"), F.col("y").alias("y_true"), (F.col("y_pred") + F.col("lag_1")).alias("y_pred"))
+    return scoring.error_table(level, ["zone", "model"])
 
 
 def rmse_in_sample(spark, d):
-    fits = additive(["zone"])(spark, d)
+    fits = additive(spark, d)
     return fits.groupBy("zone", "local_date").agg(F.max("rmse_train").alias("rmse_train"), F.max("n_train").alias("n_train"))
 
 
 def long_short(spark, d):
-    last = st.table(spark, d, "events").agg(F.max(F.col("ts").cast("date"))).scalar()
-    rows = features.split_labels(smooth_rows(spark, d).withColumn("origin", last), "origin").drop("origin")
-    return models.long_short_forecast(rows, SIZES)
+    return models.long_short_walk(additive_rows(spark, d), TERMS, TRAIN_DAYS, 90, 28, 7)
+
+
+def long_short_origin(spark, d):
+    """One origin over the whole history, from cross products alone: the last hourly day."""
+    table = design_table(spark, d).withColumn("hour_d", F.col("hour").cast("double"))
+    last = st.table(spark, d, "events").agg(F.max(F.col("ts").cast("date"))).first()[0]
+    rows = features.smooth_design(table, SMOOTH, CYCLIC, LINEAR, [("Load_DA_lag_0", "hour_d")],
+                                  F.col("local_date") < F.lit(last)).withColumnRenamed("Price", "y")
+    rows = features.split_labels(rows.select("zone", "local_date", "hour", "y", "x").withColumn("origin", F.lit(last)), "origin")
+    return models.long_short_forecast(rows.drop("origin"), SIZES)
 
 
 # ---- boosted trees --------------------------------------------------------------------------------------------------
 
-ZONES = ["click", "error", "purchase", "signup", "view"]
 TREE_FEATURES = [*SPEC.regressors(), "hour_d", "zone_code"]
 GRID = [{"maxIter": 20, "maxDepth": 3}, {"maxIter": 20, "maxDepth": 5}]
 
 
 def tree_table(spark, d):
-    code = F.array_position(F.array(*[F.lit(z) for z in ZONES]), F.col("zone")).cast("double")
+    code = F.crc32(F.col("zone").cast("binary")).cast("double")  # any zone has its own number
     return design_table(spark, d).withColumns({"hour_d": F.col("hour").cast("double"), "zone_code": code})
 
 
@@ -107,39 +245,48 @@ def span(spark, d):
 
 def gbt_forecast(spark, d):
     first, last = span(spark, d)
-    return boosting.gbt_forecast(tree_table(spark, d), TREE_FEATURES, "Price", [last - timedelta(days=4)], last,
-                                 (last - first).days).withColumn("origin", F.col("origin").cast("string"))
+    origins = [last - timedelta(days=k) for k in (8, 4)]
+    return boosting.gbt_forecast(computed_once(tree_table(spark, d)), TREE_FEATURES, "Price", origins, last,
+                                 (last - first).days, {"maxIter": 40}).withColumn("origin", F.col("origin").cast("string"))
 
 
 def gbt_importance(spark, d):
-    data = boosting.assemble(tree_table(spark, d), TREE_FEATURES, "Price")
+    data = boosting.assemble(computed_once(tree_table(spark, d)), TREE_FEATURES, "Price")
     model = boosting.fit_trees(data, {"maxIter": 20})
     return boosting.importance_table(model, spark.range(1), TREE_FEATURES)
 
 
 def gbt_grid(spark, d):
     _, last = span(spark, d)
-    rows = features.split_labels(tree_table(spark, d).withColumn("origin", F.lit(last)), "origin", validation_days=4)
+    table = computed_once(tree_table(spark, d))
+    rows = features.split_labels(table.withColumn("origin", F.lit(last)), "origin", validation_days=4)
     trials = boosting.gbt_grid(rows.drop("origin"), TREE_FEATURES, "Price", "split", GRID)
     return boosting.best_trial(trials)
 
 
 MODEL_QUERIES = [
-    Query("expert_ols", lambda s, d: shown(expert([DAYS])(s, d))),
+    Query("expert_ols", lambda s, d: shown(expert([365])(s, d)),
+          f"WITH {DAILY_X}, {frame_sql(365)} SELECT {FIT_COLUMNS} FROM fits", "y_true y_pred rmse_train", "local_date"),
     Query("expert_single", expert_single, f"""WITH {st.GRID_SQL},
-x AS (SELECT zone, local_date, hour, Price, lag(Price, 24) OVER (PARTITION BY zone ORDER BY local_date, hour) AS p FROM grid),
+x AS (SELECT zone, local_date, hour, Price, lag(Price, 24) OVER (PARTITION BY zone ORDER BY local_date, hour) AS p,
+      row_number() OVER (PARTITION BY zone, hour ORDER BY local_date) AS pos FROM grid),
 f AS (SELECT *, regr_count(Price, p) OVER r AS n, regr_intercept(Price, p) OVER r AS a, regr_slope(Price, p) OVER r AS b
       FROM x WINDOW r AS (PARTITION BY zone, hour ORDER BY local_date ROWS BETWEEN {DAYS - 7} PRECEDING AND 1 PRECEDING))
-SELECT zone, local_date, hour, Price AS y_true, CASE WHEN n > 1 THEN a + b * p END AS y_pred,
+SELECT zone, local_date, hour, Price AS y_true, CASE WHEN n > 2 AND pos > {DAYS - 7} THEN a + b * p END AS y_pred,
 CAST(n AS INTEGER) AS n_train FROM f""", "y_true y_pred", "local_date"),
-    Query("expert_coefs", expert_coefs),
-    Query("combined_experts", combined_experts),
-    Query("weighted_ols", lambda s, d: shown(expert([DAYS], 0.002)(s, d))),
-    Query("tune_window", lambda s, d: models.tune_window(expert(CANDIDATES)(s, d))),
-    Query("additive_model", additive(["zone"])),
-    Query("additive_by_hour", additive(["zone", "hour"])),
+    Query("expert_coefs", expert_coefs, f"""WITH {DAILY_X}, {frame_sql(365)}
+SELECT zone, local_date, hour, "window", c1 AS coefficient, 'lag_1' AS regressor FROM fits WHERE c1 IS NOT NULL
+UNION ALL SELECT zone, local_date, hour, "window", c2, 'lag_7' FROM fits WHERE c2 IS NOT NULL""", "coefficient", "local_date"),
+    Query("combined_experts", combined_experts, COMBINED_SQL, "rmse mae"),
+    Query("weighted_ols", lambda s, d: shown(expert([365], ["lag_1"], ALPHA)(s, d)), WEIGHTED_SQL, "y_true y_pred rmse_train",
+          "local_date"),
+    Query("tune_window", lambda s, d: models.tune_window(expert(WINDOWS, since=max(WINDOWS))(s, d), ["zone"]), TUNE_SQL, "rmse"),
+    Query("additive_model", additive),
+    Query("additive_by_hour", additive_by_hour),
+    Query("additive_difference", additive_difference),
     Query("rmse_in_sample", rmse_in_sample),
     Query("long_short_pair", long_short),
+    Query("long_short_origin", long_short_origin),
     Query("gbt_forecast", gbt_forecast),
     Query("gbt_importance", gbt_importance),
     Query("gbt_grid", gbt_grid),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from hourgrid.operators import blocks, combine, scoring, windows
 from hourgrid.plans import standin as st
+from hourgrid.plans.model_queries import ETA_SQL, mixed_sql, walk_sql
 from hourgrid.plans.registry import Query
 from hourgrid.plans.window_queries import regression, regression_sql
 from hourgrid.session import computed_once
@@ -51,9 +52,46 @@ def ewa_apply(spark, d):
 
 
 def ewa_with_reset(spark, d):
-    out = combine.ewa_with_reset(st.whole_forecasts(spark, d), 2.0, EXPERTS)
-    return out.withColumns({"weights": F.concat_ws(",", F.transform("weights", lambda w: F.format_number(w, 6))),
-                            "next_weights": F.concat_ws(",", F.transform("next_weights", lambda w: F.format_number(w, 6)))})
+    out = combine.ewa_with_reset(st.whole_forecasts(spark, d), RESET_ETA, EXPERTS)
+    shown = {f"{short}{i + 1}": F.col(c)[i] for c, short in (("weights", "w"), ("next_weights", "next")) for i in range(3)}
+    return out.withColumns(shown).drop("weights", "next_weights")
+
+
+def ewa_tune_reset(spark, d):
+    return combine.ewa_tune_with_reset(st.whole_forecasts(spark, d), EXPERTS)
+
+
+def ewa_apply_reset(spark, d):
+    experts = computed_once(st.whole_forecasts(spark, d))
+    out = combine.ewa_with_reset(experts, combine.ewa_tune_with_reset(experts, EXPERTS), EXPERTS)
+    return combine.keep_last_days(out, 1 / 9).select("zone", "local_date", "hour", "y_true", "y_pred")
+
+
+RESET_ETA = 0.002  # squared errors are some hundreds, so weights vanish now and then
+RESET_CELLS = f"""{st.WHOLE_SQL},
+wide AS (SELECT zone, local_date, hour, max(y_true) AS y, {', '.join(f"max(y_pred) FILTER (model = 'naive_{k}') AS p{i + 1}" for i, k in enumerate(st.NAIVE_DAYS))}
+         FROM whole GROUP BY 1, 2, 3)"""
+STEPS = "row_number() OVER (PARTITION BY zone, hour, i ORDER BY local_date) AS t"
+RESET_SQL = f"""WITH RECURSIVE {RESET_CELLS},
+c AS (SELECT *, {STEPS} FROM (SELECT *, 0 AS i, {RESET_ETA} AS eta FROM wide)),
+{walk_sql('c', 'w')}
+SELECT m.zone, m.local_date, m.hour, m.y_true, m.y_pred, (m.y_pred - m.y_true) ** 2 AS squared_loss,
+       a.w1, a.w2, a.w3, b.w1 AS next1, b.w2 AS next2, b.w3 AS next3
+FROM ({mixed_sql('c', 'w')}) m JOIN w a ON a.zone = m.zone AND a.hour = m.hour AND a.t = m.t
+JOIN w b ON b.zone = m.zone AND b.hour = m.hour AND b.t = m.t + 1"""
+RESET_TUNED = f"""{RESET_CELLS}, {ETA_SQL},
+c AS (SELECT *, {STEPS} FROM wide, etas),
+{walk_sql('c', 'w')},
+mixed AS ({mixed_sql('c', 'w')}),
+tuned AS (SELECT zone, hour, i, eta, loss FROM (SELECT zone, hour, i, eta, sum((y_pred - y_true) ** 2) AS loss FROM mixed GROUP BY ALL)
+          QUALIFY row_number() OVER (PARTITION BY zone, hour ORDER BY loss, i) = 1)"""
+RESET_APPLY_SQL = f"""WITH RECURSIVE {RESET_TUNED},
+days AS (SELECT zone, local_date, row_number() OVER (PARTITION BY zone ORDER BY local_date) AS k,
+                count(*) OVER (PARTITION BY zone) AS n FROM (SELECT DISTINCT zone, local_date FROM whole)),
+kept AS (SELECT zone, local_date FROM days WHERE k > n - floor(n - n * (1.0 / 9)))
+SELECT m.zone, m.local_date, m.hour, m.y_true, m.y_pred FROM mixed m
+JOIN tuned u ON u.zone = m.zone AND u.hour = m.hour AND u.i = m.i
+JOIN kept k ON k.zone = m.zone AND k.local_date = m.local_date"""
 
 
 def ewa_cells_sql() -> str:
@@ -126,6 +164,57 @@ days AS (SELECT zone, local_date, sum(abs(y_pred - y_true)) FILTER (model = 'nai
 s AS (SELECT zone, count(*) AS days, avg(a - b) AS m, var_pop(a - b) AS v FROM days WHERE na = 24 AND nb = 24 GROUP BY 1)
 SELECT zone, days, m / nullif(sqrt(v / days), 0) * sqrt((days - 1) / days) AS statistic FROM s"""
 
+ACF_SQL = f"""{ERRORS_SQL},
+e AS (SELECT zone, local_date + to_hours(hour) AS t, error - avg(error) OVER (PARTITION BY zone) AS e FROM errors),
+v AS (SELECT zone, sum(e * e) AS v FROM e GROUP BY 1),
+c AS (SELECT a.zone, k.k AS lag, sum(a.e * b.e) AS c FROM range(1, 51) k(k), e a JOIN e b
+      ON b.zone = a.zone AND b.t = a.t - to_hours(CAST(k.k AS INTEGER)) GROUP BY 1, 2),
+acf AS (SELECT c.zone, CAST(c.lag AS INTEGER) AS lag, c.c / nullif(v.v, 0) AS acf FROM c JOIN v ON v.zone = c.zone)"""
+PACF_SQL = f"""WITH RECURSIVE {ACF_SQL},
+r AS (SELECT zone, list(acf ORDER BY lag) AS r FROM acf GROUP BY 1),
+levinson(zone, k, phi, last) AS (
+  SELECT zone, 1, [r[1]], r[1] FROM r
+  UNION ALL
+  SELECT zone, k + 1, list_concat([phi[j] - next * phi[k + 1 - j] FOR j IN range(1, k + 1)], [next]), next
+  FROM (SELECT l.zone, l.k, l.phi, (r.r[l.k + 1] - list_inner_product(l.phi, list_reverse(r.r[1:l.k])))
+                                   / (1 - list_inner_product(l.phi, r.r[1:l.k])) AS next
+        FROM levinson l JOIN r ON r.zone = l.zone WHERE l.k < len(r.r)))
+SELECT zone, CAST(k AS INTEGER) AS lag, last AS pacf FROM levinson"""
+
+# Student's t for whole degrees of freedom v = days - 1: a finite sum of powers of cos(theta), tan(theta) = t / sqrt(v).
+DM_TEST_SQL = f"""WITH RECURSIVE stat AS ({DM_SQL}),
+a AS (SELECT *, days - 1 AS v, atan(statistic / sqrt(days - 1)) AS th FROM stat),
+term(zone, j, c) AS (
+  SELECT zone, 0, CASE WHEN v % 2 = 0 THEN 1.0 ELSE cos(th) END FROM a
+  UNION ALL
+  SELECT term.zone, j + 1, c * cos(th) ** 2 * CASE WHEN v % 2 = 0 THEN (2 * j + 1) / (2 * j + 2.0) ELSE (2 * j + 2) / (2 * j + 3.0) END
+  FROM term JOIN a ON a.zone = term.zone WHERE 2 * (j + 1) <= CASE WHEN v % 2 = 0 THEN v - 2 ELSE v - 3 END),
+area AS (SELECT a.zone, sum(c) * sin(any_value(th)) AS s FROM term JOIN a ON a.zone = term.zone GROUP BY 1)
+SELECT a.zone, days, statistic,
+  (1 + CASE WHEN v % 2 = 0 THEN s WHEN v = 1 THEN 2 * th / pi() ELSE 2 / pi() * (th + s) END) / 2 AS p_value
+FROM a JOIN area ON area.zone = a.zone"""
+
+
+def unit_root_sql(lags: int) -> str:
+    """Covariances of the regression, with the lagged changes swept out one by one."""
+    names = ["y", "x", *[f"d{k}" for k in range(1, lags + 1)]]
+    lagged = ", ".join(f"lag(y, {k}) OVER w AS d{k}" for k in range(1, lags + 1))
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    steps = [f"""m0 AS (SELECT zone, count(*) AS n, {', '.join(f'covar_pop({a}, {b}) * count(*) AS {a}_{b}' for a, b in pairs)}
+  FROM c WHERE {' + '.join(names)} IS NOT NULL GROUP BY 1)"""]
+    for i in range(lags):
+        z, left = names.pop(), names
+        at = lambda a: f"{a}_{z}"
+        kept = [(a, b) for j, a in enumerate(left) for b in left[j:]]
+        steps.append(f"m{i + 1} AS (SELECT zone, n, {', '.join(f'{a}_{b} - {at(a)} * {at(b)} / {z}_{z} AS {a}_{b}' for a, b in kept)} FROM m{i})")
+    return f"""WITH {st.GRID_SQL},
+p AS (SELECT zone, local_date, hour, Price - lag(Price) OVER w AS y, lag(Price) OVER w AS x FROM grid
+      WINDOW w AS (PARTITION BY zone ORDER BY local_date, hour)),
+c AS (SELECT *, {lagged} FROM p WINDOW w AS (PARTITION BY zone ORDER BY local_date, hour)),
+{', '.join(steps)}
+SELECT zone, n, y_x / x_x / sqrt((y_y - y_x * y_x / x_x) / (n - {lags + 2}) / x_x) AS statistic FROM m{lags}"""
+
+
 SCORING_QUERIES = [
     Query("stack_models", stack_models, f"""WITH {st.WHOLE_SQL} SELECT * FROM whole
 UNION ALL SELECT zone, local_date, hour, 'mean', max(y_true), avg(y_pred) FROM whole GROUP BY zone, local_date, hour""",
@@ -150,7 +239,8 @@ t AS (SELECT * FROM errors WHERE error IS NOT NULL ORDER BY abs(error) DESC, zon
 SELECT dayname(local_date) AS day_name, hour, count(*) AS hits FROM t GROUP BY 1, 2"""),
     Query("dm_statistic", lambda s, d: scoring.dm_statistic(st.forecasts(s, d, True), "naive_1", "naive_7"), DM_SQL,
           "statistic"),
-    Query("dm_test", lambda s, d: scoring.dm_test(st.forecasts(s, d, True), "naive_1", "naive_7")),
+    Query("dm_test", lambda s, d: scoring.dm_test(st.forecasts(s, d, True), "naive_1", "naive_7"), DM_TEST_SQL,
+          "statistic p_value"),
     Query("cross_period_corr", cross_corr, f"""WITH {st.GRID_SQL}
 SELECT a.zone, a.hour AS s, b.hour AS l, nullif(corr(a.Price, b.Price), 'nan') AS corr FROM grid a
 JOIN grid b ON b.zone = a.zone AND b.local_date = a.local_date - 1 GROUP BY 1, 2, 3""", "corr"),
@@ -166,19 +256,21 @@ p AS (SELECT zone, (y_x - y_a * x_a) / sqrt((1 - y_a ** 2) * (1 - x_a ** 2)) AS
       (y_b - y_a * a_b) / sqrt((1 - y_a ** 2) * (1 - a_b ** 2)) AS yb,
       (x_b - x_a * a_b) / sqrt((1 - x_a ** 2) * (1 - a_b ** 2)) AS xb FROM r)
 SELECT zone, (yx - yb * xb) / sqrt((1 - yb ** 2) * (1 - xb ** 2)) AS partial_corr FROM p""", "partial_corr"),
-    Query("error_acf", series_for_acf, f"""WITH {ERRORS_SQL},
-e AS (SELECT zone, local_date + to_hours(hour) AS t, error - avg(error) OVER (PARTITION BY zone) AS e FROM errors),
-v AS (SELECT zone, sum(e * e) AS v FROM e GROUP BY 1),
-c AS (SELECT a.zone, k.k AS lag, sum(a.e * b.e) AS c FROM range(1, 51) k(k), e a JOIN e b
-      ON b.zone = a.zone AND b.t = a.t - to_hours(CAST(k.k AS INTEGER)) GROUP BY 1, 2)
-SELECT c.zone, CAST(c.lag AS INTEGER) AS lag, c.c / nullif(v.v, 0) AS acf FROM c JOIN v ON v.zone = c.zone""", "acf"),
-    Query("error_pacf", lambda s, d: scoring.error_pacf(errors(s, d), 50)),
+    Query("error_acf", series_for_acf, f"WITH {ACF_SQL} SELECT * FROM acf", "acf"),
+    Query("error_pacf", lambda s, d: scoring.error_pacf(errors(s, d), 50), PACF_SQL, "pacf"),
     Query("unit_root_stat", lambda s, d: scoring.unit_root_stat(st.grid(s, d, ["Price"]), "Price"),
           f"""WITH {st.GRID_SQL}, x AS (SELECT zone, Price - p AS dy, p FROM (SELECT zone, Price,
   lag(Price, 1) OVER (PARTITION BY zone ORDER BY local_date, hour) AS p FROM grid) WHERE Price + p IS NOT NULL),
 r AS (SELECT zone, count(*) AS n, regr_slope(dy, p) AS b, regr_syy(dy, p) AS syy, regr_sxx(dy, p) AS sxx FROM x GROUP BY 1)
 SELECT zone, n, b / sqrt((syy - b * b * sxx) / (n - 2) / sxx) AS statistic FROM r""", "statistic", "", 4),
-    Query("unit_root_lags", lambda s, d: scoring.unit_root_stat(st.grid(s, d, ["Price"]), "Price", 3)),
+    Query("unit_root_lags", lambda s, d: scoring.unit_root_stat(st.grid(s, d, ["Price"]), "Price", 3), unit_root_sql(3),
+          "statistic"),
+    Query("hill_top", lambda s, d: scoring.hill_index(st.table(s, d, "lineitem"), "l_quantity", 14, 4000), """WITH o AS (
+  SELECT l_quantity AS v, row_number() OVER (ORDER BY l_quantity DESC) AS k FROM lineitem WHERE l_quantity > 0),
+x AS (SELECT k, avg(ln(v)) OVER (ORDER BY k) - ln(v) AS xi FROM o)
+SELECT k, a AS alpha, a * (1 - 1.959963984540054 / sqrt(k)) AS low, a * (1 + 1.959963984540054 / sqrt(k)) AS high
+FROM (SELECT k, CASE WHEN abs(xi) > 1e-12 THEN 1 / xi END AS a FROM x) WHERE k > 15 AND k <= 4001""",
+          "alpha low high"),
     Query("hill_index", hill, """WITH o AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice DESC) AS k
   FROM orders WHERE o_totalprice > 0),
 x AS (SELECT k, avg(ln(v)) OVER (ORDER BY k) - ln(v) AS xi FROM o)
@@ -217,7 +309,9 @@ kept AS (SELECT zone, local_date FROM days WHERE i > n - floor(n - n * (1.0 / 9)
 SELECT t.zone, t.local_date, t.hour, t.y_true, t.y_pred FROM tried t
 JOIN tuned u ON u.zone = t.zone AND u.hour = t.hour AND u.eta = t.eta
 JOIN kept k ON k.zone = t.zone AND k.local_date = t.local_date""", "y_true y_pred", "local_date"),
-    Query("ewa_reset", ewa_with_reset),
+    Query("ewa_reset", ewa_with_reset, RESET_SQL, "y_true y_pred squared_loss w1 w2 w3 next1 next2 next3", "local_date"),
+    Query("ewa_tune_reset", ewa_tune_reset, f"WITH RECURSIVE {RESET_TUNED} SELECT zone, hour, eta, loss FROM tuned", "eta loss"),
+    Query("ewa_apply_reset", ewa_apply_reset, RESET_APPLY_SQL, "y_true y_pred", "local_date"),
     Query("level_from_diff", level_from_diff, f"""WITH {st.GRID_SQL},
 x AS (SELECT zone, local_date, hour, Price, lag(Price, 24) OVER w AS p, lag(Price, 48) OVER w AS pp FROM grid
       WINDOW w AS (PARTITION BY zone ORDER BY local_date, hour))

@@ -30,30 +30,30 @@ def local_session(cores: str = "8", app: str = "hourgrid", shuffle_partitions: i
     return spark
 
 
-def use_checkpoint_folder(spark: SparkSession) -> bool:
+def use_checkpoint_folder(spark: SparkSession) -> None:
     """Make sure checkpoints go to the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    A folder of our own is set only in local mode, where there is no other machine that would have to read it. False
-    if there is no folder to use.
+    A folder of our own is set only in local mode, where there is no other machine that would have to read it; a
+    cluster without the setting is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
-        return True
+        return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and context.master.startswith("local"):
+    if not shared:
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="hourgrid-")
-    if shared:
-        context.setCheckpointDir(shared)
-    return bool(shared)
+    context.setCheckpointDir(shared)
 
 
 def computed_once(df: DataFrame) -> DataFrame:
     """``df`` for use in several branches of a plan, worked out only once.
 
-    It is written to the checkpoint folder, so a lost executor costs a read and not another scan of the facts. Without
-    a folder the branches each compute it.
+    It is written to the checkpoint folder, so a lost executor costs a read and not another scan of the facts.
     """
-    return df.checkpoint() if use_checkpoint_folder(df.sparkSession) else df
+    use_checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -40,13 +40,19 @@ def read_csv(spark: SparkSession, path: str, schema: str = MODELLING_SCHEMA,
                      .option("timestampNTZFormat", timestamp_format).csv(path))
 
 
+def zone_of_file(pattern: str) -> Column:
+    """What the pattern's group finds in the name of a row's file; a file it does not fit is an error."""
+    zone = F.regexp_extract("_metadata.file_name", pattern, 1)
+    return F.when(zone != "", zone).otherwise(F.raise_error(F.concat(F.lit("no zone in file name "), "_metadata.file_name")))
+
+
 def read_zones(spark: SparkSession, glob: str, schema: str = MODELLING_SCHEMA,
-               zone_pattern: str = r"data_([A-Za-z0-9]+)\.csv$",
+               zone_pattern: str = r"data_(.+)\.csv$",
                timestamp_format: str = "yyyy-MM-dd HH:mm:ss") -> DataFrame:
     """One file per zone, read by a single scan; the zone comes from the file name."""
     raw = (spark.read.schema(schema).option("header", True)
            .option("timestampNTZFormat", timestamp_format).csv(glob))
-    return clean_nan(raw.withColumn("zone", F.regexp_extract("_metadata.file_name", zone_pattern, 1)))
+    return clean_nan(raw.withColumn("zone", zone_of_file(zone_pattern)))
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, options: Mapping[str, str] | None = None) -> DataFrame:
@@ -73,10 +79,10 @@ def hourly_arrays_to_rows(payload: DataFrame, hourly: str | Column = "hourly",
 
 
 def read_weather(spark: SparkSession, path: str, zone: str | None = None,
-                 zone_pattern: str = r"([A-Za-z0-9]+)\.json$") -> DataFrame:
+                 zone_pattern: str = r"(.+)\.json$") -> DataFrame:
     """Landed weather payloads; the zone is given, or taken from the file name."""
     raw = spark.read.schema(WEATHER_SCHEMA).option("multiLine", True).json(path)
-    tag = F.lit(zone) if zone else F.regexp_extract("_metadata.file_name", zone_pattern, 1)
+    tag = F.lit(zone) if zone else zone_of_file(zone_pattern)
     return hourly_arrays_to_rows(raw.withColumn("MapCode", tag))
 
 

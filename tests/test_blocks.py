@@ -44,10 +44,6 @@ def test_carried(grid, block_days):
         F.year("local_date"), F.month("local_date"), F.dayofmonth("local_date"), "hour", F.lit(0), F.lit(0)))
     filled = blocks.forward_fill(at, ["Price"], ["zone"], "at", block_days)
     assert rows(filled) == rows(at.withColumn("Price", F.last("Price", True).over(ordered())))
-    for current in (True, False):
-        got = blocks.running_sum(grid, {"Price": "total"}, ["zone"], ["local_date", "hour"], current, block_days)
-        frame = ordered().rowsBetween(Window.unboundedPreceding, 0 if current else -1)
-        assert rows(got) == rows(grid.withColumn("total", F.coalesce(F.sum("Price").over(frame), F.lit(0.0))))
     placed = blocks.position(grid, block_days=block_days).drop("position_count")
     assert rows(placed) == rows(grid.withColumn("position", F.row_number().over(ordered())))
 
@@ -120,3 +116,12 @@ def test_local_grid_in_a_summer_time_session(spark):
         assert len(timegrid.utc_grid(df, 3600).collect()) == 51
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+@pytest.mark.parametrize("limit", [0, 100])
+def test_beside_matches_null_keys_with_and_without_sending(spark, monkeypatch, limit):
+    monkeypatch.setattr(blocks, "SMALL_ROWS", limit)
+    df = spark.createDataFrame([("a", 1), (None, 2), ("b", 3)], "zone string, x int")
+    small = spark.createDataFrame([("a", 10), (None, 20)], "zone string, m int")
+    assert sorted(map(str, blocks.beside(df, small, ["zone"]).collect())) == sorted(map(str, [
+        *spark.createDataFrame([("a", 1, 10), (None, 2, 20), ("b", 3, None)], "zone string, x int, m int").collect()]))

@@ -233,3 +233,80 @@ def test_empty_id_list(spark):
 def test_modal_step_takes_the_smaller_of_equals(spark):
     df = hours(spark, [(f"2024-01-01 {h:02d}:00", 1.0) for h in (0, 1, 2, 4, 6)])
     assert etl.modal_step(df).first()["step_seconds"] == 3600
+
+
+@pytest.mark.parametrize("text", ["1996-03-01", "1996-3-1", "1996-03-01 00:00:00", "1996-03-01T00:00:00", " 1996-03-01 ",
+                                  "1996-03-01 23:59:59.123"])
+def test_dates_of_many_texts(spark, text):
+    assert spark.range(1).select(etl.coerce_date(F.lit(text)).alias("d")).first()["d"] == dt.date(1996, 3, 1)
+
+
+@pytest.mark.parametrize("kind", ["date", "timestamp", "timestamp_ntz"])
+def test_dates_of_typed_columns(spark, kind):
+    value = F.lit("1996-03-01").cast(kind)
+    assert spark.range(1).select(etl.coerce_date(value).alias("d")).first()["d"] == dt.date(1996, 3, 1)
+
+
+@pytest.mark.parametrize("text", ["rubbish", "1996", "1996-13-01", "n/a 1996-03-01", "", "1996-03-01 soon", None])
+def test_what_is_no_date_is_null(spark, text):
+    assert spark.range(1).select(etl.coerce_date(F.lit(text)).alias("d")).first()["d"] is None
+
+
+def test_utc_grid_keeps_single_and_off_grid_rows(spark):
+    df = hours(spark, [("2024-01-01 00:00", 1.0), ("2024-01-01 01:00", 2.0), ("2024-01-01 01:30", 9.0), ("2024-01-01 03:00", 3.0)])
+    one = hours(spark, [("2024-01-01 05:00", 7.0)], "NO2")
+    out = timegrid.utc_grid(df.union(one), steps=etl.modal_step(df.filter("minute(time_utc) = 0").union(one)))
+    got = {(r["zone"], str(r["time_utc"])[11:16]): r["Price"] for r in out.collect()}
+    assert got == {("NO1", "00:00"): 1.0, ("NO1", "01:00"): 2.0, ("NO1", "01:30"): 9.0, ("NO1", "02:00"): None,
+                   ("NO1", "03:00"): 3.0, ("NO2", "05:00"): 7.0}
+
+
+@pytest.mark.parametrize("tz", ["CET", "UTC"])
+def test_two_rows_for_a_step_are_an_error(spark, tz):
+    finer = hours(spark, [("2024-01-01 00:00", 1.0), ("2024-01-01 00:30", 2.0)])
+    with pytest.raises(Exception, match="more than one row"):
+        timegrid.local_grid(finer, ["Price"], tz).collect()
+
+
+@pytest.mark.parametrize(("tz", "missing"), [("Europe/London", 1), ("Europe/Helsinki", 3), ("CET", 2)])
+def test_missing_hour_of_other_zones(spark, tz, missing):
+    df = hours(spark, [(f"2024-03-{30 + h // 24:02d} {h % 24:02d}:00", float(h)) for h in range(20, 44)])
+    day = cells(timegrid.local_grid(df, ["Price"], tz), "2024-03-31")
+    first = 24 - {"Europe/London": 0, "Europe/Helsinki": 2, "CET": 1}[tz]
+    known = {h: first + h - (h > missing) for h in range(12) if h != missing}
+    assert {h: day[h] for h in known} == known
+    assert day[missing] == (day[missing - 1] + day[missing + 1]) / 2
+
+
+@pytest.mark.parametrize(("tz", "twice"), [("Europe/London", 1), ("Europe/Helsinki", 3)])
+def test_doubled_hour_of_other_zones(spark, tz, twice):
+    df = hours(spark, [(f"2024-10-{26 + h // 24:02d} {h % 24:02d}:00", float(h)) for h in range(18, 44)])
+    day = cells(timegrid.local_grid(df, ["Price"], tz), "2024-10-27")
+    assert day[twice] == (day[twice - 1] + day[twice + 1]) / 2 and day[twice] % 1 == 0.5
+
+
+def test_change_at_midnight(spark):
+    """Beirut's clocks go from 0 to 1 o'clock: the missing hour belongs to the next day."""
+    df = hours(spark, [(f"2024-03-{30 + h // 24:02d} {h % 24:02d}:00", float(h)) for h in range(18, 30)])
+    grid = timegrid.local_grid(df, ["Price"], "Asia/Beirut")
+    day = cells(grid, "2024-03-31")
+    assert (day[0], day[1], day[2]) == (21.5, 22.0, 23.0)
+
+
+def test_hill_with_a_value_repeated_very_often(spark):
+    df = spark.range(1_000_000).select(F.lit(5.0).alias("v")).union(spark.createDataFrame([(9.0,), (7.0,)], "v double"))
+    out = scoring.hill_index(df, "v", start=0, end=1000)
+    got = {r["k"]: r["alpha"] for r in out.collect()}
+    assert sorted(got) == list(range(2, 1002))
+    for k in (2, 3, 500, 1001):
+        top = ([9.0, 7.0] + [5.0] * 1000)[:k]
+        assert got[k] == pytest.approx(1 / (sum(map(math.log, top)) / k - math.log(top[-1])))
+    assert scoring.hill_index(df, "v", start=0).count() == 1_000_001
+
+
+def test_holidays_of_any_year(spark):
+    day = dt.date(2031, 5, 17)
+    grid = spark.createDataFrame([("Z", day, h) for h in range(24)], "zone string, local_date date, hour int")
+    holidays = spark.createDataFrame([(day, "NO")], "Date date, CountryCode string")
+    assert features.holiday_dummy(grid, holidays).filter("is_holiday = 1").count() == 24
+    assert features.holiday_dummy(grid, holidays, years=(2019, 2024)).filter("is_holiday = 1").count() == 0

@@ -32,6 +32,15 @@ def test_zone_scan_tags_rows_and_clears_nan(spark, zone_files):
     assert rows == {("NO1", 2): 10.5, ("NO1", 3): 1.0, ("NO2", 2): None, ("NO2", 3): 1.0}
 
 
+def test_zone_names_with_any_characters(spark, zone_files):
+    (zone_files / "data_NO1.csv").rename(zone_files / "data_SE_3.csv")
+    df = tables.read_zones(spark, str(zone_files / "data_*.csv"))
+    assert {r["zone"] for r in df.collect()} == {"SE_3", "NO2"}
+    (zone_files / "other.csv").write_text(HEADER + "2024-03-31 02:00:00,1,1,2,3,4,5,6,7,8,9\n")
+    with pytest.raises(Exception, match="no zone in file name"):
+        tables.read_zones(spark, str(zone_files / "*.csv")).collect()
+
+
 def test_weather_payload(spark, tmp_path):
     hourly = {"time": ["2024-01-01T00:00", "2024-01-01T01:00"]}
     hourly.update({f: [float(i), None] for i, f in enumerate(tables.WEATHER_NAMES)})

@@ -31,7 +31,7 @@ def numpy_fit(pdf, i, d, lag_days, columns, alpha=None):
     if np.isnan(xy[i, 1:]).any():
         return None
     rows = [r for r in range(max(0, i - (d - lag_days)), i) if not np.isnan(xy[r]).any()]
-    if len(rows) < 2:
+    if i < d - lag_days or len(rows) < len(columns) + 1:
         return None
     mean, std = xy[rows].mean(0), xy[rows].std(0, ddof=1)
     std[std == 0] = 1
@@ -97,38 +97,96 @@ def test_cross_products_with_a_hot_key(spark):
     assert np.allclose(got["hot"]["xy"], x[mask].T @ y[mask])
 
 
-def additive_design(spark, days=24):
-    df = frame(spark, days, tuple(range(0, 24, 6)), ("a",), 4).withColumn("h", F.col("hour").cast("double"))
-    return features.smooth_design(df, {"x1": 5}, {"h": 6}, ["x2"], [], F.col("local_date") < "2024-01-11")
+TERMS = models.AdditiveTerms(["x2"], {"x1": 5, "few": 4}, {"h": (6, 24.0)}, [("x1", "h")])
+SIZES = [(2, False), (8, True), (6, True)]
 
 
-SIZES = [(2, False), (8, True), (6, True)]
+def additive_rows(spark, days=24):
+    return frame(spark, days, tuple(range(0, 24, 6)), ("a",), 4).withColumns({
+        "h": F.col("hour").cast("double"), "few": F.pmod("hour", F.lit(3)).cast("double")})
+
+
+def additive_design(spark, days=24):
+    return features.smooth_design(additive_rows(spark, days), {"x1": 5}, {"h": (6, 24.0)}, ["x2"], [], F.col("local_date") < "2024-01-11")
+
+
+def plain_splines(x, low, high, n, cyclic):
+    """Cox-de Boor on the same knots, written out by recursion."""
+    width = (high - low) / n
+    knots = low + width * np.arange(-3, n + 4)
+
+    def b(i, k, t):
+        if k == 0:
+            return float(knots[i] <= t < knots[i + 1])
+        return ((t - knots[i]) / (k * width)) * b(i, k - 1, t) + ((knots[i + k + 1] - t) / (k * width)) * b(i + 1, k - 1, t)
+    out = np.zeros((len(x), n + 3))
+    for r, t in enumerate(x):
+        t = (t - low) % (high - low) + low if cyclic else min(max(t, low), high - 1e-12 * width)
+        out[r] = [b(i, 3, t) for i in range(n + 3)]
+    if cyclic:
+        out[:, :3] += out[:, n:]
+        out = out[:, :n]
+    return out
+
+
+def test_basis_matrix_equals_recursion_and_spark(spark):
+    x = np.linspace(-1, 7, 33)
+    for cyclic in (False, True):
+        want = plain_splines(x, 0.0, 6.0, 5, cyclic)
+        assert np.allclose(models.basis_matrix(x, 0.0, 6.0, 5, cyclic), want, atol=1e-9)
+        got = spark.createDataFrame([(float(v),) for v in x], "x double").select(
+            "x", features.spline_basis("x", F.lit(0.0), F.lit(6.0), 5, cyclic).alias("b")).orderBy("x").collect()
+        assert np.allclose([r["b"] for r in got], want, atol=1e-9)
 
 
 @pytest.mark.parametrize("block_days", [5, 400])
 def test_additive_equals_numpy(spark, block_days):
-    design = additive_design(spark)
-    got = models.additive_forecast(design, SIZES, 10, 5, block_days=block_days).toPandas()
-    pdf = design.select("zone", "local_date", "hour", "y", "x").toPandas()
-    pdf["period"] = [(d - dt.date(1970, 1, 1)).days // 5 for d in pdf.local_date]
-    pdf["period"] -= pdf.period.min()
-    penalty = np.zeros((16, 16))
-    for at, n in ((2, 8), (10, 6)):
-        d2 = np.diff(np.eye(n), n=2, axis=0)
-        penalty[at:at + n, at:at + n] = d2.T @ d2
+    rows = additive_rows(spark)
+    got = models.additive_forecast(rows, TERMS, 10, 5, block_days=block_days).toPandas()
+    pdf = rows.toPandas()
+    pdf["day"] = [(d - dt.date(1970, 1, 1)).days for d in pdf.local_date]
+    start = pdf.day.min()
+
+    def design(t, p):
+        x1 = plain_splines(p.x1.to_numpy(), t.x1.min(), t.x1.max(), 5, False)
+        h = plain_splines(p.h.to_numpy(), 0.0, 24.0, 6, True)
+        z = [(p[c] - t[c].mean()) / t[c].std() for c in ("x2", "few")]  # few has three values, so it is linear
+        return np.column_stack([np.ones(len(p)), *z, x1, h, (x1[:, :, None] * h[:, None, :]).reshape(len(p), -1)])
     checked = 0
-    assert pdf.period.max() == 5
-    for origin in (2, 3, 4, 5):
-        train = pdf[(pdf.period >= origin - 2) & (pdf.period < origin)].dropna()
-        x = np.stack(train.x.to_list())
-        beta = np.linalg.solve(x.T @ x + penalty + 1e-3 * np.eye(16), x.T @ train.y.to_numpy())
-        rmse = np.sqrt(np.mean((train.y - x @ beta) ** 2))
-        for r in pdf[(pdf.period == origin) & pdf.x.notna()].itertuples():
+    for first in range(start // 5 * 5 + 10, pdf.day.max() + 1, 5):
+        train = pdf[(pdf.day >= first - 10) & (pdf.day < first)].dropna()
+        ahead = pdf[(pdf.day >= first) & (pdf.day < first + 5)].dropna(subset=["x1", "x2", "h", "few"])
+        a = design(train, train)
+        if first - 10 < start or len(train) < a.shape[1]:
+            continue
+        penalty = np.zeros((a.shape[1], a.shape[1]))
+        for at, n in ((3, 8), (11, 6)):
+            d2 = np.diff(np.eye(n), n=2, axis=0)
+            penalty[at:at + n, at:at + n] = d2.T @ d2
+        beta = np.linalg.solve(a.T @ a + penalty + 1e-3 * np.eye(a.shape[1]), a.T @ train.y.to_numpy())
+        rmse = np.sqrt(np.mean((train.y - a @ beta) ** 2))
+        for r, want in zip(ahead.itertuples(), design(train, ahead) @ beta):
             hit = got[(got.local_date == r.local_date) & (got.hour == r.hour)].iloc[0]
-            assert hit.y_pred == pytest.approx(float(np.dot(r.x, beta)), rel=1e-6)
-            assert hit.rmse_train == pytest.approx(rmse, rel=1e-6) and hit.n_train == len(train)
+            assert hit.y_pred == pytest.approx(float(want), rel=1e-6)
+            assert hit.rmse_train == pytest.approx(rmse, rel=1e-5) and hit.n_train == len(train)
             checked += 1
-    assert checked == len(got) > 30
+    assert checked == len(got)
+
+
+def test_additive_finds_a_curve(spark):
+    rnd = np.random.default_rng(3)
+    x = rnd.uniform(0, 1, 400)
+    rows = [("a", START + dt.timedelta(days=i), 0, float(np.sin(6 * v)), float(v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "zone string, local_date date, hour int, y double, x double")
+    out = models.additive_forecast(df, models.AdditiveTerms(smooth={"x": 8}), 200, 50, smoothing=1e-4).toPandas()
+    assert len(out) >= 150 and np.sqrt(np.mean((out.y_pred - out.y_true) ** 2)) < 0.05
+    assert models.additive_forecast(df, TERMS.__class__(smooth={"x": 300}), 200, 50).count() == 0  # fewer rows than columns
+
+
+def test_hours_23_and_0_differ_in_the_design(spark):
+    df = spark.createDataFrame([("a", START, h, float(h), 1.0) for h in range(24)], "zone string, local_date date, hour int, h double, y double")
+    x = {r["hour"]: list(r["x"]) for r in features.smooth_design(df, {}, {"h": (6, 24.0)}, []).collect()}
+    assert x[23] != x[0]
 
 
 def test_bases_sum_to_one(spark):
@@ -138,6 +196,28 @@ def test_bases_sum_to_one(spark):
         assert sum(r["open"]) == pytest.approx(1.0) and sum(r["cyclic"]) == pytest.approx(1.0)
 
 
+def test_long_short_walk(spark):
+    terms = models.AdditiveTerms(["x1", "x2"])
+    rows = frame(spark, 60, (0,), ("a",), 8)
+    out = models.long_short_walk(rows, terms, 40, 12, 5, 1, ridge=1e-9).toPandas()
+    pdf = rows.toPandas().sort_values("local_date").reset_index(drop=True)
+
+    def fit(t, p):
+        z = lambda q: np.column_stack([np.ones(len(q)), *[(q[c] - t[c].mean()) / t[c].std() for c in ("x1", "x2")]])
+        return z(p) @ np.linalg.lstsq(z(t), t.y.to_numpy(), rcond=None)[0]
+    for r in out.itertuples():
+        i = pdf.index[pdf.local_date == r.local_date][0]
+        assert i >= 40
+        check, now = pdf[i - 5:i].dropna(subset=["y", "x1", "x2"]), pdf[i:i + 1]
+        loss, pred = [], []
+        for n in (40, 12):
+            own = pdf[i - n:i - 5].dropna(subset=["y", "x1", "x2"])
+            loss.append(np.mean((fit(own, check) - check.y) ** 2))
+            pred.append(fit(pdf[i - n:i].dropna(subset=["y", "x1", "x2"]), now)[0])
+        assert r.y_pred == pytest.approx((pred[0] / loss[0] + pred[1] / loss[1]) / (1 / loss[0] + 1 / loss[1]), rel=1e-5)
+    assert len(out) == 20
+
+
 def test_cyclic_basis_joins_its_ends(spark):
     ends = spark.createDataFrame([(0.0,), (24.0,)], "h double").select(
         features.spline_basis("h", F.lit(0.0), F.lit(24.0), 6, True).alias("b")).collect()
