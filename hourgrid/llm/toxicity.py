@@ -12,7 +12,9 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -47,9 +49,9 @@ LEET = str.maketrans("013457@$!|", "oieastasil")
 WORD = re.compile(r"[^\W\d_]+")
 MIXED = re.compile(r"(?<!\w)\w*[^\W\d_][0134570@$!|*]+[^\W\d_]\w*")
 SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-]){3,}[^\W\d_](?!\w)")
-UPPER = re.compile(r"(?<!\w)[A-ZÀ-ÖØ-Þ]{2,}(?!\w)")
-MARKS = re.compile(r"[^\w\s]")
-RUNS = re.compile(r"[!?]{2,}|[*#$%&@]{2,}")
+# Classes of characters below 65536; others count as other characters.
+OTHER, LETTER, CAPITAL, DIGIT, SPACE, MARK = range(6)
+LEET_MARKS = "@$!|*"
 NAMES = ["weight", "hits", "heaviest", "hit_count", "insults", "hidden", "near_you", "you", "capitals", "upper_words",
          "marks", "mark_runs", "mixed", "length"]
 
@@ -62,46 +64,93 @@ def terms(word: str) -> list[str]:
 class Lexicon:
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
-        self.memo: dict[str, float] = {}
+        self.memo = Known(self)
 
     def __reduce__(self):
         return Lexicon, (self.weights,)
 
     def of(self, word: str) -> float:
         """The largest weight among a word's terms, 0 if it has none."""
-        found = self.memo.get(word)
-        if found is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            found = self.memo[word] = max((self.weights.get(t, 0.0) for t in terms(word)), default=0.0)
+        return max((self.weights.get(t, 0.0) for t in terms(word)), default=0.0)
+
+
+class Known(dict):
+    """Word -> None for most words, else (weight, in the general list, second person)."""
+
+    def __init__(self, lexicon: Lexicon):
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, word: str):
+        found = (self.lexicon.of(word), word in INSULTS, word in YOU)
+        if len(self) >= MEMO:
+            self.clear()
+        self[word] = found = found if any(found) else None
         return found
 
 
+@lru_cache(maxsize=1)
+def classes() -> np.ndarray:
+    table = np.full(1 << 16, OTHER, np.uint8)
+    for code in range(1 << 16):
+        c = chr(code)
+        if c.isupper():
+            table[code] = CAPITAL
+        elif c.isalpha():
+            table[code] = LETTER
+        elif c.isdecimal():
+            table[code] = DIGIT
+        elif c.isspace():
+            table[code] = SPACE
+        elif c.isprintable() and not c.isalnum() and c != "_":
+            table[code] = MARK
+    return table
+
+
+def shapes(text: str) -> tuple[list[float], bool, bool]:
+    """Shares of capitals and marks; starts of runs of capitals and of marks; whether a disguised or a spelled-out word
+    could be there at all."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = classes()[np.minimum(codes, 0xFFFF)]
+    count = np.bincount(kind, minlength=6)
+    letter, mark, capital = (kind == LETTER) | (kind == CAPITAL), kind == MARK, kind == CAPITAL
+    n = max(1, len(codes))
+
+    def starts(one: np.ndarray, before: np.ndarray) -> int:
+        """Places where two of a kind follow, with none of ``before`` ahead of them."""
+        two = one[:-1] & one[1:]
+        return int(two[:1].sum() + (two[1:] & ~before[:-2]).sum())
+    leet = kind == DIGIT
+    for c in LEET_MARKS:
+        leet |= codes == ord(c)
+    disguised = bool((leet[1:-1] & letter[2:] & (letter[:-2] | leet[:-2])).any())
+    apart = ~letter
+    spelled = len(codes) > 4 and bool((letter[:-4] & apart[1:-3] & letter[2:-2] & apart[3:-1] & letter[4:]).any())
+    return [count[CAPITAL] / n, count[MARK] / n, starts(capital, letter), starts(mark, mark)], disguised, spelled
+
+
 def features(lexicon: Lexicon, text: str) -> list[float]:
     """The dense features of one whole text, in the order of ``NAMES``; an empty text has zeros."""
     low = text.lower()
     words = WORD.findall(low)
     n = max(1, len(words))
-    memo, of = lexicon.memo, lexicon.of
-    scores = [memo[w] if w in memo else of(w) for w in words]
-    hit_at = [i for i, s in enumerate(scores) if s] if any(scores) else []
-    insults = [i for i, w in enumerate(words) if w in INSULTS]
-    yous = [i for i, w in enumerate(words) if w in YOU]
-    near, k = 0, 0
-    for i in sorted({*hit_at, *insults}):
-        while k < len(yous) and yous[k] < i - NEAR:
-            k += 1
-        near += k < len(yous) and yous[k] <= i + NEAR
-    mixed = MIXED.findall(low)
+    known = [(i, k) for i, k in enumerate(map(lexicon.memo.__getitem__, words)) if k]
+    weights = [k[0] for _, k in known if k[0]]
+    yous = [i for i, k in known if k[2]]
+    bad = [i for i, k in known if k[0] or k[1]]
+    near, j = 0, 0
+    for i in bad:
+        while j < len(yous) and yous[j] < i - NEAR:
+            j += 1
+        near += j < len(yous) and yous[j] <= i + NEAR
+    (capitals, marks, upper, runs), disguised, spelled = shapes(text)
+    mixed = MIXED.findall(low) if disguised else []
     plain = [w for m in mixed for w in WORD.findall(m.translate(LEET).replace("*", ""))]
-    plain += [re.sub(r"[ .\-]", "", m) for m in SPACED.findall(low)]
-    hidden = sum(1 for w in plain if w in INSULTS or of(w))
-    size = max(1, len(text))
-    weights = [scores[i] for i in hit_at]
-    return [sum(weights) / n, len(hit_at) / n, max(weights, default=0.0), math.log1p(len(hit_at)), len(insults) / n,
-            hidden / n, near / n, len(yous) / n, sum(map(str.isupper, text)) / size if not text.islower() else 0.0,
-            len(UPPER.findall(text)) / n, len(MARKS.findall(text)) / size, len(RUNS.findall(text)) / n, len(mixed) / n,
-            math.log1p(len(words))]
+    plain += [re.sub(r"[ .\-]", "", m) for m in SPACED.findall(low)] if spelled else []
+    hidden = sum(1 for w in plain if w in INSULTS or lexicon.of(w))
+    return [sum(weights) / n, len(weights) / n, max(weights, default=0.0), math.log1p(len(weights)),
+            sum(k[1] for _, k in known) / n, hidden / n, near / n, len(yous) / n, capitals, upper / n, marks, runs / n,
+            len(mixed) / n, math.log1p(len(words))]
 
 
 def _counted():
