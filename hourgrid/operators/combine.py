@@ -40,17 +40,26 @@ def model_losses(forecasts: DataFrame, keys: Sequence[str] = ("zone", "model"))
     return forecasts.groupBy(*keys).agg(F.avg(error * error).alias("loss"))
 
 
-def pick_best(current: DataFrame, previous: DataFrame, losses: DataFrame) -> DataFrame:
+def choice_cells(forecasts: DataFrame, current: str, previous: str) -> DataFrame:
+    """The forecasts of two models side by side, for the cells that have a row of both: one aggregation, no join."""
+    of = {name: F.col("model") == name for name in (current, previous)}
+    both = forecasts.filter(F.col("model").isin(current, previous)).groupBy(*CELL).agg(
+        F.max(F.when(of[current], F.col("y_true"))).alias("y_true"), F.max(F.when(of[current], F.col("y_pred"))).alias("current"),
+        F.max(F.when(of[previous], F.col("y_pred"))).alias("previous"), F.count_if(of[current]).alias("_a"),
+        F.count_if(of[previous]).alias("_b"))
+    return both.filter("_a > 0 and _b > 0").drop("_a", "_b")
+
+
+def pick_best(cells: DataFrame, losses: DataFrame) -> DataFrame:
     """Per zone and day choose the current forecast, the previous one or their mean by validation loss.
 
-    ``losses`` has one row (zone, local_date, current, previous, mean); the first of equal losses wins.
+    ``cells`` is what ``choice_cells`` returns. ``losses`` has one row (zone, local_date, current, previous, mean); the first of equal losses wins.
     """
     names = ("current", "previous", "mean")
     tried = F.array(*[F.struct(F.coalesce(F.col(n), F.lit(float("inf"))).alias("loss"), F.lit(i).alias("i"))
                       for i, n in enumerate(names)])
     best = losses.select("zone", "local_date", F.array_min(tried)["i"].alias("_i"))
-    both = current.select(*CELL, "y_true", F.col("y_pred").alias("_cur")).join(
-        previous.select(*CELL, F.col("y_pred").alias("_prev")), list(CELL))
+    both = cells.withColumnsRenamed({"current": "_cur", "previous": "_prev"})
     chosen = both.join(best, ["zone", "local_date"])
     pick = F.when(F.col("_i") == 0, F.col("_cur")).when(F.col("_i") == 1, F.col("_prev")).otherwise(
         (F.col("_cur") + F.col("_prev")) / 2)
@@ -58,11 +67,9 @@ def pick_best(current: DataFrame, previous: DataFrame, losses: DataFrame) -> Dat
     return chosen.select(*CELL, "y_true", pick.alias("y_pred"), label.alias("choice"))
 
 
-def validation_choice_losses(current: DataFrame, previous: DataFrame, days: int = 2,
-                             keys: Sequence[str] = ("zone",)) -> DataFrame:
-    """Mean squared error of the three choices over the ``days`` days before each day."""
-    both = current.select(*CELL, "y_true", F.col("y_pred").alias("_cur")).join(
-        previous.select(*CELL, F.col("y_pred").alias("_prev")), list(CELL))
+def validation_choice_losses(cells: DataFrame, days: int = 2, keys: Sequence[str] = ("zone",)) -> DataFrame:
+    """Mean squared error of the three choices over the ``days`` days before each day of ``choice_cells``."""
+    both = cells.withColumnsRenamed({"current": "_cur", "previous": "_prev"})
 
     def squared(pred: Column) -> Column:
         return F.sum((pred - F.col("y_true")) * (pred - F.col("y_true")))

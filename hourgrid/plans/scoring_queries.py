@@ -42,8 +42,8 @@ def inverse_loss_mix(spark, d):
 
 
 def pick_best(spark, d):
-    current, previous = one_model(spark, d, "naive_1"), one_model(spark, d, "naive_7")
-    return combine.pick_best(current, previous, combine.validation_choice_losses(current, previous))
+    cells = combine.choice_cells(st.forecasts(spark, d), "naive_1", "naive_7")
+    return combine.pick_best(cells, combine.validation_choice_losses(cells))
 
 
 def ewa_apply(spark, d):
@@ -171,7 +171,7 @@ c AS (SELECT a.zone, k.k AS lag, sum(a.e * b.e) AS c FROM range(1, 51) k(k), e a
       ON b.zone = a.zone AND b.t = a.t - to_hours(CAST(k.k AS INTEGER)) GROUP BY 1, 2),
 acf AS (SELECT c.zone, CAST(c.lag AS INTEGER) AS lag, c.c / nullif(v.v, 0) AS acf FROM c JOIN v ON v.zone = c.zone)"""
 PACF_SQL = f"""WITH RECURSIVE {ACF_SQL},
-r AS (SELECT zone, list(acf ORDER BY lag) AS r FROM acf GROUP BY 1),
+r AS (SELECT zone, list(coalesce(acf, 'nan'::DOUBLE) ORDER BY lag) AS r FROM acf GROUP BY 1),
 levinson(zone, k, phi, last) AS (
   SELECT zone, 1, [r[1]], r[1] FROM r
   UNION ALL
@@ -179,7 +179,7 @@ levinson(zone, k, phi, last) AS (
   FROM (SELECT l.zone, l.k, l.phi, (r.r[l.k + 1] - list_inner_product(l.phi, list_reverse(r.r[1:l.k])))
                                    / (1 - list_inner_product(l.phi, r.r[1:l.k])) AS next
         FROM levinson l JOIN r ON r.zone = l.zone WHERE l.k < len(r.r)))
-SELECT zone, CAST(k AS INTEGER) AS lag, last AS pacf FROM levinson"""
+SELECT zone, CAST(k AS INTEGER) AS lag, CASE WHEN NOT isnan(last) THEN last END AS pacf FROM levinson"""
 
 # Student's t for whole degrees of freedom v = days - 1: a finite sum of powers of cos(theta), tan(theta) = t / sqrt(v).
 DM_TEST_SQL = f"""WITH RECURSIVE stat AS ({DM_SQL}),
@@ -212,7 +212,8 @@ p AS (SELECT zone, local_date, hour, Price - lag(Price) OVER w AS y, lag(Price)
       WINDOW w AS (PARTITION BY zone ORDER BY local_date, hour)),
 c AS (SELECT *, {lagged} FROM p WINDOW w AS (PARTITION BY zone ORDER BY local_date, hour)),
 {', '.join(steps)}
-SELECT zone, n, y_x / x_x / sqrt((y_y - y_x * y_x / x_x) / (n - {lags + 2}) / x_x) AS statistic FROM m{lags}"""
+SELECT zone, n, CASE WHEN n > {lags + 2} THEN y_x / x_x / sqrt((y_y - y_x * y_x / x_x) / (n - {lags + 2}) / x_x) END AS statistic
+FROM m{lags}"""
 
 
 SCORING_QUERIES = [
