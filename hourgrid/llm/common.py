@@ -38,6 +38,11 @@ def texts_of(docs: DataFrame) -> DataFrame:
                        F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
 
 
+def text_hash(docs: DataFrame):
+    """The hash of a row's text as ``texts_of`` gives it: with doc_id it names a row, also where rows share an id."""
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+
 def fold(column, parts: int):
     """The remainder of crc32 of an id written as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % parts
