@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import stored, texts_of, to_batch
+from hourgrid.llm.common import stored, text_hash, texts_of, to_batch
 
 PASSAGE = 64  # words
 STRIDE = 32
@@ -233,14 +233,14 @@ def verified(space: Space, k: int, region: list[bytes]) -> float:
 
 
 def _matched(space: Space):
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("share", pa.float64()), ("cosine", pa.float64()),
-                        ("first_word", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("of", pa.int64()), ("item_id", pa.int64()), ("share", pa.float64()),
+                        ("cosine", pa.float64()), ("first_word", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
                 part = batch.slice(lo, ROWS)
-                ids = part.column(0)
+                ids, of = part.column(0), part.column(2)
                 best: dict[tuple[int, int], tuple] = {}
                 for dims, at, n, where in _stacked((t.as_py() for t in part.column(1)), space.dim, STRIDE):
                     weight = space.idf[dims]
@@ -260,7 +260,7 @@ def _matched(space: Space):
                         if share and share > best.get((doc, item), (0.0,))[0]:
                             best[doc, item] = (share, float(cosine[w, k]), lo_word)
                 if best:
-                    yield to_batch([(ids[d].as_py(), i, *v) for (d, i), v in best.items()], schema)
+                    yield to_batch([(ids[d].as_py(), of[d].as_py(), i, *v) for (d, i), v in best.items()], schema)
     return run
 
 
@@ -280,9 +280,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFram
     cover all passages of all documents. The benchmark is taken in blocks of ``items`` items, so what is sent to the
     tasks has a bounded size; each block passes over the documents three times, without shuffling texts.
     """
+    return _leaking(docs, benchmark, items).drop("of")
+
+
+def _leaking(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
+    """The rows of ``leaks`` with the hash of the document's text as ``of``."""
     spark = docs.sparkSession
     texts = texts_of(docs)
-    out = "doc_id long, item_id long, share double, cosine double, first_word long"
+    out = "doc_id long, of long, item_id long, share double, cosine double, first_word long"
     known = (benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("t"))
              .where("item_id is not null and t is not null").distinct())
     numbers = known.groupBy().agg(F.count(F.lit(1)).alias("n")).first()["n"]
@@ -306,11 +311,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFram
         for r in total.collect():  # a row for each telling term of the block
             sketch[r["term"]] += np.array(r["row"], np.float32)
         space.fit(sketch, RANK)
-        found = found.union(texts.mapInArrow(_matched(space), out))
+        found = found.union(texts.withColumn("of", F.xxhash64("text")).mapInArrow(_matched(space), out))
     return found
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item. Rows with a null doc_id are judged with one another."""
-    bad = stored(leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked-documents")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_leaked"]), "left_anti")
+    """The rows of ``docs`` that hold no benchmark item. Rows that share a doc_id are judged each by its own text."""
+    bad = stored(_leaking(docs, benchmark).select(F.col("doc_id").alias("_leaked"), F.col("of").alias("_of")).distinct(),
+                 "leaked-documents")
+    own = docs["doc_id"].cast("long").eqNullSafe(bad["_leaked"]) & (text_hash(docs) == bad["_of"])
+    return docs.join(bad, own, "left_anti")

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import rows_mapped, stored, texts_of, to_batch
+from hourgrid.llm.common import rows_mapped, stored, text_hash, texts_of, to_batch
 from hourgrid.llm.components import components
 
 BITS = 64
@@ -55,11 +55,16 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): one row for each row of ``docs``; ``fp`` is the fingerprint's 64 bits as a signed long."""
-    def one(_, doc_id, text):
+    return _marks(texts_of(docs), shingle, ["doc_id"])
+
+
+def _marks(texts: DataFrame, shingle: int, names: list[str]) -> DataFrame:
+    """The columns ``names`` (long) of ``texts`` and the fingerprint of each row's text as fp."""
+    def one(_, text, *values):
         value = fingerprint(text, shingle)
-        return doc_id, value - (1 << 64) if value >> 63 else value
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
-    return texts_of(docs).mapInArrow(rows_mapped(schema, one, ["doc_id", "text"]), "doc_id long, fp long")
+        return *values, value - (1 << 64) if value >> 63 else value
+    schema = pa.schema([(n, pa.int64()) for n in [*names, "fp"]])
+    return texts.mapInArrow(rows_mapped(schema, one, ["text", *names]), ", ".join(f"{n} long" for n in [*names, "fp"]))
 
 
 def blocks(budget: int) -> list[tuple[int, int]]:
@@ -210,25 +215,30 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGE
     returned as null and never names a component that has another id. An empty table gives no rows. Equal fingerprints
     are linked by grouping alone, so copies are never expanded into pairs.
     """
-    spark = docs.sparkSession
-    marks = stored(fingerprints(docs, shingle), "fingerprints")
+    named = _named(stored(fingerprints(docs, shingle), "fingerprints"), budget, crowd)
+    return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _named(marks: DataFrame, budget: int, crowd: int = CROWD) -> DataFrame:
+    """``marks`` (doc_id, fp and more) with the component_id of each row."""
     distinct = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     found = components(trie_edges(distinct.select("fp"), budget, crowd))
     of = (distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left")
           .select("fp", "first_id", F.coalesce("component", "fp").alias("component")))
     names = of.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = of.join(names, "component").select("fp", "component_id")
-    return marks.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                                          "component_id")
+    return marks.join(named, "fp")
 
 
 def first_of_each(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """The rows of ``docs`` that stand for their component: those whose doc_id is its smallest.
 
     A component in which no row has an id keeps its rows without one; rows repeated under the kept id stay, as one
-    document.
+    document. Rows that share a doc_id are judged each by its own text.
     """
-    found = near_duplicates(docs, shingle, budget)
-    gone = found.where("doc_id != component_id or doc_id is null and component_id is not null").select("doc_id")
-    gone = stored(gone.withColumnRenamed("doc_id", "_gone").distinct(), "near-copies")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    texts = texts_of(docs).withColumn("of", F.xxhash64("text"))
+    found = _named(stored(_marks(texts, shingle, ["doc_id", "of"]), "fingerprints"), budget)
+    gone = found.where("doc_id != component_id or doc_id is null and component_id is not null")
+    gone = stored(gone.select(F.col("doc_id").alias("_gone"), F.col("of").alias("_of")).distinct(), "near-copies")
+    own = docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]) & (text_hash(docs) == gone["_of"])
+    return docs.join(gone, own, "left_anti")

@@ -98,6 +98,13 @@ def test_odd_documents(spark, odd_docs, no_docs):
     assert simhash_trie.near_duplicates(no_docs).count() == 0
 
 
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in ("alpha", "beta", "gamma"))
+    rows = [(3, a), (5, a), (5, b), (None, a), (None, c)]
+    out = simhash_trie.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in out) == [(0, c), (3, a), (5, b)]
+
+
 def test_sharding(spark, sf_dir, odd_docs, no_docs):
     docs = {d.doc_id: d.text for d in queries.table(spark, sf_dir, "documents").collect()}
     rows = queries.op7_sharding(spark, sf_dir).collect()

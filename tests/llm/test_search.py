@@ -70,6 +70,15 @@ def test_subsequence():
     assert dc.common_subsequence(list("abc"), []) == 0
 
 
+def test_leaked_rows_do_not_take_others_of_their_id(spark):
+    item = " ".join(f"telling{i}" for i in range(20))
+    rows = [(None, f"before it {item} after it"), (None, "a clean text without an id"),
+            (7, f"once more {item}"), (7, "another clean text")]
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    out = dc.clean(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in out) == [(0, rows[1][1]), (7, rows[3][1])]
+
+
 def test_leaks_on_real_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs = queries.table(spark, sf, "documents").collect()
