@@ -2,7 +2,8 @@
 
 Documents and benchmark items are cut into passages. A passage is a TF-IDF vector over the telling terms of the
 benchmark: those found in few passages of the corpus. A randomised SVD of the matrix of all corpus and benchmark
-passages gives a latent space; passages whose cosine to a benchmark passage is high there are candidates. A candidate
+passages gives a latent space; passages whose cosine to a benchmark passage is high there are candidates, and so are
+those that have much of a benchmark passage's telling weight, whatever else is in them. A candidate
 counts if the longest common subsequence of words covers enough of the benchmark passage; between that and a lower
 bound it counts if the passage's answer, its last telling terms, is there too, as in a paraphrase.
 """
@@ -24,6 +25,7 @@ LEAST_TERMS = 4  # a benchmark passage keeps so many of its rarest terms, whatev
 RANK = 64
 SKETCH = 80
 COSINE = 0.4
+HELD = 1 / 2
 SURE, MAYBE = 0.6, 0.45
 ANSWER = 3
 ITEMS = 2000
@@ -114,6 +116,25 @@ class Space:
         for _, part in self.parts:
             seen = list(dict.fromkeys(w for w in reversed(part) if w in self.dim))
             self.answers.append(set(seen[:ANSWER]))
+        # For each term the passages that have it, with its share of their telling weight, each term counted once.
+        rows = [(self.dim[w], k) for k, (_, p) in enumerate(self.parts) for w in set(p) if w in self.dim]
+        term, part = (np.array(x, np.int64) for x in zip(*sorted(rows))) if rows else (np.zeros(0, np.int64),) * 2
+        weight = self.idf[term].astype(np.float64) ** 2
+        whole = np.bincount(part, weight, minlength=len(self.parts))
+        self.holders, self.parts_weight = part, weight / np.maximum(whole[part], 1e-12)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(self.idf)))])
+        # Two windows hold all of a passage of PASSAGE words, three all of a longer one: one of them has this much.
+        self.enough = np.array([HELD if len(p) <= PASSAGE else HELD * 2 / 3 for _, p in self.parts]) - 1e-6
+
+    def held(self, dims: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """The share of each benchmark passage's telling weight that each of ``n`` windows has."""
+        width, parts = len(self.idf), len(self.parts)
+        both = np.unique(at * width + dims)
+        window, term = both // width, both % width
+        many = self.first[term + 1] - self.first[term]
+        place = np.repeat(self.first[term] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        cells = np.repeat(window, many) * parts + self.holders[place]
+        return np.bincount(cells, self.parts_weight[place], minlength=n * parts).reshape(n, parts)
 
 
 def hits(words: list[bytes], dim: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -249,7 +270,8 @@ def _matched(space: Space):
                     cosine = latent / np.maximum(length, 1e-9) @ space.latent.T
                     if len(space.direct):
                         cosine[:, space.direct] = space.vectors(dims, at, n) @ space.own.T
-                    for w, k in zip(*(x.tolist() for x in np.nonzero(cosine >= COSINE))):
+                    candidate = (cosine >= COSINE) | (space.held(dims, at, n) >= space.enough)
+                    for w, k in zip(*(x.tolist() for x in np.nonzero(candidate))):
                         doc, start, words = where[w]
                         item, own = space.parts[k]
                         lo_word = max(0, start - len(own))

@@ -70,6 +70,26 @@ def test_subsequence():
     assert dc.common_subsequence(list("abc"), []) == 0
 
 
+def test_copies_among_repeated_telling_words_are_found(spark):
+    """Exact copies whose surroundings repeat telling terms of another item, at every offset to the windows."""
+    rng = np.random.default_rng(3)
+    common = [f"common{i}" for i in range(40)]
+    items = {k: " ".join([*rng.choice(common, 12), *(f"own{k}x{i}" for i in range(8))]) for k in range(1, 9)}
+    items[9] = " ".join(f"long{i}" for i in range(64))
+    items[10] = " ".join(f"longer{i}" for i in range(90))
+    rows = [(1000 + i, " ".join(rng.choice(common, 300))) for i in range(300)]
+    planted = set()
+    for k, item in items.items():
+        noise = f"own{k % 8 + 1}x0"
+        for at in range(0, 64, 5):
+            doc = 100 * k + at
+            rows.append((doc, " ".join([noise] * (64 + at)) + f" {item} " + " ".join([noise] * 100)))
+            planted.add((doc, k))
+    docs = spark.createDataFrame([(int(i), t) for i, t in rows], "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in dc.leaks(docs, benchmark).collect()} == planted
+
+
 def test_leaked_rows_do_not_take_others_of_their_id(spark):
     item = " ".join(f"telling{i}" for i in range(20))
     rows = [(None, f"before it {item} after it"), (None, "a clean text without an id"),
