@@ -5,8 +5,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrid.llm import (bpe_tree, decontaminate, huffman_ids, langid, license_index, line_dedup, mtree, shards,
-                          simhash_trie, toxicity)
+from hourgrid.llm import (bpe_tree, conversations, decontaminate, huffman_ids, langid, license_index, line_dedup, mtree,
+                          shards, simhash_trie, toxicity)
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
 TOKENIZER = "byte_bpe_50k.json"
@@ -60,6 +60,10 @@ def op10_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
@@ -71,5 +75,6 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
     "op10_mtree": op10_mtree,
+    "op12_conversations": op12_conversations,
 }
 SQL: dict[str, str] = {}
