@@ -5,8 +5,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrid.llm import (bpe_tree, conversations, decontaminate, huffman_ids, langid, license_index, line_dedup, mtree,
-                          shards, simhash_trie, toxicity)
+from hourgrid.llm import (bpe_tree, collocations, conversations, decontaminate, huffman_ids, langid, license_index, line_dedup,
+                          mtree, shards, simhash_trie, toxicity)
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
 TOKENIZER = "byte_bpe_50k.json"
@@ -64,6 +64,10 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.report(table(spark, sf_dir, "conversations"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
@@ -76,5 +80,6 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_mtree": op10_mtree,
     "op12_conversations": op12_conversations,
+    "op13_collocations": op13_collocations,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op13_collocations": collocations.SQL}
