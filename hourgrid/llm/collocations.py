@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import stored, to_batch
+from hourgrid.llm.common import Bitmap, stored, to_batch
 
 THRESHOLD = 100
 LONGEST = 5
@@ -26,7 +26,6 @@ HELD = 1 << 22  # hashes a task holds before it hands its counts on
 PHRASES = 1 << 20  # phrases a task holds
 VOCABULARY = 1 << 21  # words a task knows before it starts anew
 ROW = 1024  # hashes in one row of a summary
-LEAST_BITS, MOST_BITS = 16, 28  # a bitmap takes 32 MB at most
 EDGE = b"\xff"  # a byte no text holds; between pieces
 # Bytes to bytes: A-Z to a-z, what separates pieces to EDGE, the tab to a space.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else 255 if b in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if b == 9 else b for b in range(256))
@@ -80,24 +79,6 @@ def chunks(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
         yield lang, EDGE.join(parts)
 
 
-class Bitmap:
-    """One bit for each hash value modulo the number of bits; the number of bits follows the number of hashes."""
-
-    def __init__(self, keys: DataFrame):
-        """``keys``: (key long). The driver receives 64-bit words of the map, never keys."""
-        bits = min(MOST_BITS, max(LEAST_BITS, (16 * keys.count()).bit_length()))
-        self.mask = np.uint64((1 << bits) - 1)
-        place = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
-        words = (keys.groupBy(F.shiftright(place, 6).alias("word"))
-                 .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(key & 63L as int))")).alias("bits")).toArrow())
-        self.words = np.zeros(1 << (bits - 6), np.uint64)
-        self.words[words.column(0).to_numpy()] = words.column(1).to_numpy().astype(np.int64).view(np.uint64)
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        at = keys & self.mask
-        return (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0
-
-
 def phrase_hashes(h: np.ndarray, ids: np.ndarray, longest: int, maps: dict[int, Bitmap]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each length from 1: the starts of phrases that may be frequent, as a mask, and the hashes at all starts.
 

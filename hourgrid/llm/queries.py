@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourgrid.llm import (bpe_tree, collocations, conversations, decontaminate, huffman_ids, langid, license_index, line_dedup,
-                          mtree, shards, simhash_trie, toxicity)
+                          mtree, sanitise, shards, simhash_trie, toxicity)
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
 TOKENIZER = "byte_bpe_50k.json"
@@ -60,6 +60,10 @@ def op10_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.report(table(spark, sf_dir, "documents"))
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.report(table(spark, sf_dir, "conversations"))
 
@@ -79,6 +83,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
     "op10_mtree": op10_mtree,
+    "op11_pii": op11_pii,
     "op12_conversations": op12_conversations,
     "op13_collocations": op13_collocations,
 }
