@@ -14,46 +14,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourgrid.operators import blocks
+from hourgrid.operators import blocks, updating
 from hourgrid.operators.windows import KEYS
 
 CELL = ("zone", "local_date", "hour")
 DATE, HOUR = "local_date", "hour"
+OUT = [*CELL, "window", "y_true", "y_pred", "n_train", "rmse_train", "coefficients"]
+CELLS, LEAST_RUN = 48, 6  # cells that move on together, and days each of them goes at least
 FIT_FIELDS = ("y_true double, y_pred double, n_train int, rmse_train double, coefficients array<double>")
 
 
 # ---- least squares --------------------------------------------------------------------------------------------------
 
-def _fit_last(xy: np.ndarray, weights: np.ndarray | None) -> tuple[float, float, np.ndarray]:
-    """Standardise on all rows but the last, fit without intercept, forecast the last row.
-
-    Returns forecast, in-sample RMSE and coefficients; minimum-norm solution for collinear columns.
-    """
-    train = xy[:-1]
-    mean, std = train.mean(axis=0), train.std(axis=0, ddof=1)
-    std[~(std > 0)] = 1.0
-    z = (xy - mean) / std
-    x, y = z[:-1, 1:], z[:-1, 0]
-    if weights is None:
-        beta = np.linalg.lstsq(x, y, rcond=None)[0]
-    else:
-        root = np.sqrt(weights)[:, None]
-        beta = np.linalg.lstsq(x * root, y * root[:, 0], rcond=None)[0]
-    rmse = float(np.sqrt(np.mean((x @ beta - y) ** 2)) * std[0])
-    return float(z[-1, 1:] @ beta * std[0] + mean[0]), rmse, beta
-
-
 def walk_forward_ols(features: DataFrame, target: str, regressors: Sequence[str], windows: Sequence[int],
                      lag_days: int = 7, last_price: str | None = None, last_hour: int = 23, alpha: float | None = None,
                      first_origin: str | None = None, block_days: int | None = None) -> DataFrame:
     """One fit per (zone, hour, day, window length D).
 
     A fit uses the complete rows among the D - lag_days days before the origin (the first ``lag_days`` days of a
-    D-day window only feed lags). There is no fit, and the forecast is null, where the series does not reach back over
+    D-day window only feed lags), standardised by their mean and deviation and without intercept; of collinear columns the shortest
+    solution. There is no fit, and the forecast is null, where the series does not reach back over
     the whole window, where it has too few complete rows for the regressors and a mean, or where the origin row itself lacks a
     regressor. ``last_price`` is left out at ``last_hour``. ``alpha`` weights the training rows by exp(-alpha * age).
     ``first_origin`` starts the evaluation block; put it where the longest window is first full to compare lengths.
-    All lengths of a day are fitted in one group, so rows are shuffled once.
+    A group is a zone and block of days; its hours and window lengths move on together, one day's row in and one out.
     """
     reach = max(windows)
     block_days = block_days or max(90, reach // 2)
@@ -62,30 +46,67 @@ def walk_forward_ols(features: DataFrame, target: str, regressors: Sequence[str]
     start = None if first_origin is None else pd.Timestamp(first_origin).date()
 
     def fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(DATE)
-        hour = int(pdf[HOUR].iloc[0])
-        used = [c for c in columns if not (c == last_price and hour == last_hour)]
-        xy = pdf[used].to_numpy(float)
-        whole, known = ~np.isnan(xy).any(axis=1), ~np.isnan(xy[:, 1:]).any(axis=1)
-        day = pd.to_datetime(pdf[DATE]).to_numpy().astype("datetime64[D]").astype(int)
+        date = pd.to_datetime(pdf[DATE]).to_numpy().astype("datetime64[D]").astype(int)
+        hours, at_hour = np.unique(pdf[HOUR].to_numpy(), return_inverse=True)
+        first = date.min()
+        at = date - first
         own = pdf[blocks.OWN].to_numpy()
         if start is not None:
-            own = own & (day >= np.datetime64(start, "D").astype(int))
+            own = own & (date >= np.datetime64(start, "D").astype(int))
+        if not own.any():
+            return pd.DataFrame([], columns=OUT)
+        values = np.full((at.max() + 1, len(hours), len(columns)), np.nan)
+        values[at, at_hour] = pdf[[*columns[1:], target]].to_numpy(float)
+        if last_price:
+            values[:, hours == last_hour, -2] = 0.0
+        count = np.maximum((~np.isnan(values)).sum(axis=(0, 1)), 1)
+        shift = np.nansum(values, axis=(0, 1)) / count
+        scale = np.sqrt(np.nansum((values - shift) ** 2, axis=(0, 1)) / count)
+        scale = np.where(scale > 0, scale, 1.0)
+        values = (values - shift) / scale
+        if last_price:
+            values[:, hours == last_hour, -2] = 0.0
+        whole, known = ~np.isnan(values).any(axis=2), ~np.isnan(values[:, :, :-1]).any(axis=2)
+        rows = np.concatenate([np.ones((*values.shape[:2], 1)), values], axis=2)
+        rows[~whole] = 0.0
+        lengths = [int(d) - lag_days for d in windows]
+        # The days are cut into runs that move on side by side, so that a step has work for a whole array.
+        from_day, to_day = at[own].min(), at[own].max()
+        runs = max(1, min(CELLS // (len(hours) * len(lengths)), (to_day - from_day + 1) // LEAST_RUN))
+        steps = -(-(to_day - from_day + 1) // runs)
+        pad = np.zeros((runs * steps, *rows.shape[1:]))
+        moving = updating.MovingFits(np.concatenate([rows, pad]), lengths, from_day + steps * np.arange(runs), alpha)
+        shape = (len(rows) + runs * steps, len(lengths), len(hours))
+        n, y_pred, rmse = np.zeros(shape, int), np.zeros(shape), np.zeros(shape)
+        beta = np.zeros((*shape, len(columns) - 1))
+        inputs = np.concatenate([np.nan_to_num(values[:, :, :-1]), np.zeros((runs * steps, len(hours), len(columns) - 1))])
+        for step in range(steps):
+            if step:
+                moving.move()
+            days = moving.days
+            count, mean, std, b, error = (v.reshape(runs, len(lengths), len(hours), *v.shape[1:]) for v in moving.fits())
+            z = np.where(std[..., :-1] > 0, (inputs[days][:, None] - mean[..., :-1]) / np.where(std > 0, std, 1.0)[..., :-1], 0.0)
+            n[days], beta[days] = np.rint(count), b
+            y_pred[days] = ((z * b).sum(axis=-1) * std[..., -1] + mean[..., -1]) * scale[-1] + shift[-1]
+            rmse[days] = error * std[..., -1] * scale[-1]
+        seen = np.full(len(hours), len(rows))
+        np.minimum.at(seen, at_hour, at)  # each hour's first row
+        less = (hours == last_hour) & bool(last_price)
+        fewest = np.where(less, len(columns), len(columns) + 1)
         out = []
-        for i, d in ((i, int(d)) for i in np.flatnonzero(own) for d in windows):
-            lo = np.searchsorted(day, day[i] - (d - lag_days))
-            rows = lo + np.flatnonzero(whole[lo:i])
-            y_pred = rmse = coef = None
-            if known[i] and day[0] <= day[i] - (d - lag_days) and len(rows) >= len(used) + 1:
-                weights = None if alpha is None else np.exp(-alpha * (day[i] - 1 - day[rows]))
-                y_pred, rmse, coef = _fit_last(xy[np.append(rows, i)], weights)
-            y = xy[i, 0]
-            out.append((pdf["zone"].iloc[0], pdf[DATE].iloc[i], hour, d, None if np.isnan(y) else y, y_pred,
-                        len(rows), rmse, coef))
-        return pd.DataFrame(out, columns=["zone", DATE, HOUR, "window", "y_true", "y_pred", "n_train", "rmse_train",
-                                          "coefficients"])
-
-    by = ["zone", HOUR, blocks.BLOCK]
+        for k, length in enumerate(lengths):
+            part = pdf.loc[own, [*CELL]].assign(window=int(windows[k]), y_true=pdf.loc[own, target])
+            d, h = at[own], at_hour[own]
+            fit = known[d, h] & (seen[h] <= d - length) & (n[d, k, h] >= fewest[h])
+            coefficients = [b[:len(b) - bool(less[x])] if ok else None for b, x, ok in zip(beta[d, k, h], h, fit)]
+            out.append(part.assign(y_pred=np.where(fit, y_pred[d, k, h], np.nan), n_train=n[d, k, h],
+                                   rmse_train=np.where(fit, rmse[d, k, h], np.nan), coefficients=coefficients))
+        out = pd.concat(out)
+        for c in ("y_true", "y_pred", "rmse_train"):  # missing is null, not NaN
+            out[c] = out[c].astype(object).where(out[c].notna(), None)
+        return out[OUT]
+
+    by = ["zone", blocks.BLOCK]
     return blocks.spread(framed, by).groupBy(*by).applyInPandas(
         fit_group, f"{_key_fields(framed, CELL)}, window int, {FIT_FIELDS}")
 

@@ -88,7 +88,8 @@ x AS (SELECT zone, local_date, y, lag(y, 1) OVER w AS a, lag(y, 7) OVER w AS b,
       FROM (SELECT zone, local_date, value / 1000 AS y FROM daily) WINDOW w AS (PARTITION BY zone ORDER BY local_date))"""
 
 
-def frame_sql(d: int, name: str = "fits", two: bool = True) -> str:
+def frame_sql(d: int, name: str = "fits", two: bool = True, source: str = "x", cell: str = "zone",
+              hour: str = "CAST(0 AS INTEGER)") -> str:
     """Least squares over the frame before each day, from its variances and covariances: one or two regressors."""
     ok = "y + a + b IS NOT NULL" if two else "y + a IS NOT NULL"
     columns = ["y", "a", "b"] if two else ["y", "a"]
@@ -100,9 +101,9 @@ def frame_sql(d: int, name: str = "fits", two: bool = True) -> str:
     fit = f"pos > {d - 7} AND n >= {len(columns) + 1} AND {'a + b' if two else 'a'} IS NOT NULL"
     line = "my + s1 * (a - ma)" + (" + s2 * (b - mb)" if two else "")
     rest = "yy - s1 * ya" + (" - s2 * yb" if two else "")
-    return f"""{name}_m AS (SELECT x.*, {', '.join(parts)} FROM x WINDOW f AS (PARTITION BY zone ORDER BY local_date
+    return f"""{name}_m AS (SELECT {source}.*, {', '.join(parts)} FROM {source} WINDOW f AS (PARTITION BY {cell} ORDER BY local_date
   ROWS BETWEEN {d - 7} PRECEDING AND 1 PRECEDING)),
-{name} AS (SELECT zone, local_date, CAST(0 AS INTEGER) AS hour, CAST({d} AS INTEGER) AS "window", y AS y_true,
+{name} AS (SELECT zone, local_date, {hour} AS hour, CAST({d} AS INTEGER) AS "window", y AS y_true,
   CASE WHEN {fit} THEN {line} END AS y_pred, CAST(n AS INTEGER) AS n_train,
   CASE WHEN {fit} THEN sqrt(greatest({rest}, 0)) END AS rmse_train,
   CASE WHEN {fit} THEN s1 * sqrt(aa / yy) END AS c1{f", CASE WHEN {fit} THEN s2 * sqrt(bb / yy) END AS c2" if two else ""}
@@ -174,6 +175,42 @@ rows_ AS (SELECT zone, 'ewa' AS model, y_true, y_pred FROM kept UNION ALL SELECT
 SELECT zone, model, sqrt(avg((y_pred - y_true) ** 2)) AS rmse, avg(abs(y_pred - y_true)) AS mae FROM rows_ GROUP BY 1, 2"""
 
 
+# ---- experts by hour on several years of slots ----------------------------------------------------------------------
+
+FULL = HourlySpec(last_price=True, slots=st.SLOTS)
+LEAN = HourlySpec(price_lags=(1,), load="", forecasts=(), fuels=(), weekdays=[], last_price=True, slots=st.SLOTS)
+LAST = st.SLOTS - 1
+
+
+def hourly_expert(spec, windows, alpha=None, last_price="price_last"):
+    """Fits of every (zone, hour, day); the price of the last hour of the day before is no regressor of the last hour."""
+    def run(spark, d):
+        table = features.hourly_features(st.slot_series(spark, d), spec)
+        return models.walk_forward_ols(table, spec.price, spec.regressors(), windows, last_price=last_price, last_hour=LAST,
+                                       alpha=alpha)
+    return run
+
+
+def hourly_coefs(spark, d):
+    return models.coefficient_table(hourly_expert(LEAN, [365])(spark, d), [*LEAN.regressors(), "price_last"])
+
+
+SLOT_X = f"""{st.SLOT_SQL},
+x AS (SELECT zone, local_date, hour, y, lag(y, 1) OVER c AS a, max(y) FILTER (hour = {LAST}) OVER p AS b,
+             row_number() OVER c AS pos
+      FROM slot_series WINDOW c AS (PARTITION BY zone, hour ORDER BY local_date),
+      p AS (PARTITION BY zone ORDER BY local_date RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)),
+early AS (SELECT * FROM x WHERE hour < {LAST}), late AS (SELECT * FROM x WHERE hour = {LAST})"""
+
+
+def hourly_sql(*windows: int) -> str:
+    """Fits of two regressors, of one at the last hour."""
+    fits = [frame_sql(w, f"e{w}", True, "early", "zone, hour", "hour") + ",\n" + frame_sql(w, f"l{w}", False, "late", "zone, hour", "hour")
+            for w in windows]
+    both = " UNION ALL ".join(f"SELECT *, c1 AS c FROM e{w} UNION ALL BY NAME SELECT *, c1 AS c FROM l{w}" for w in windows)
+    return f"WITH {SLOT_X},\n" + ",\n".join(fits) + f",\nfits AS ({both})"
+
+
 # ---- additive models ------------------------------------------------------------------------------------------------
 
 TERMS = models.AdditiveTerms(["lag_1", "lag_7"], {"orders": 5}, {"day_of_year": (6, 366.0), "weekday": (4, 7.0)})
@@ -267,6 +304,20 @@ def gbt_grid(spark, d):
 MODEL_QUERIES = [
     Query("expert_ols", lambda s, d: shown(expert([365])(s, d)),
           f"WITH {DAILY_X}, {frame_sql(365)} SELECT {FIT_COLUMNS} FROM fits", "y_true y_pred rmse_train", "local_date"),
+    Query("expert_hourly", lambda s, d: shown(hourly_expert(LEAN, [365])(s, d)), f"{hourly_sql(365)} SELECT {FIT_COLUMNS} FROM fits",
+          "y_true y_pred rmse_train", "local_date"),
+    Query("expert_hourly_coefs", hourly_coefs, f"""{hourly_sql(365)}
+SELECT zone, local_date, hour, "window", c1 AS coefficient, 'Price_lag_1' AS regressor FROM fits WHERE c1 IS NOT NULL
+UNION ALL SELECT zone, local_date, hour, "window", c2, 'price_last' FROM fits WHERE c2 IS NOT NULL""", "coefficient", "local_date"),
+    Query("expert_hourly_tuned", lambda s, d: models.tune_window(hourly_expert(LEAN, WINDOWS)(s, d), ["zone", "hour"]),
+          f"""{hourly_sql(*WINDOWS)},
+r AS (SELECT zone, hour, "window", sqrt(avg((y_pred - y_true) ** 2)) AS rmse FROM fits GROUP BY ALL)
+SELECT zone, hour, "window", rmse FROM r WHERE rmse IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY zone, hour ORDER BY rmse, "window") = 1""", "rmse"),
+    Query("weighted_hourly", lambda s, d: shown(hourly_expert(LEAN, [365], ALPHA, None)(s, d)),
+          WEIGHTED_SQL.replace(DAILY_X, SLOT_X).replace("PARTITION BY zone ", "PARTITION BY zone, hour ")
+          .replace("CAST(0 AS INTEGER) AS hour", "hour"), "y_true y_pred rmse_train", "local_date"),
+    Query("expert_full", lambda s, d: hourly_expert(FULL, [365])(s, d)),
     Query("expert_single", expert_single, f"""WITH {st.GRID_SQL},
 x AS (SELECT zone, local_date, hour, Price, lag(Price, 24) OVER (PARTITION BY zone ORDER BY local_date, hour) AS p,
       row_number() OVER (PARTITION BY zone, hour ORDER BY local_date) AS pos FROM grid),

@@ -108,6 +108,42 @@ DAILY_SQL = """daily AS (
   ON o.zone = c.zone AND o.local_date = c.local_date)"""
 
 
+# ---- several years of slots -----------------------------------------------------------------------------------------
+
+SLOTS = 3
+
+
+def slot_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two zones with three slots a day over all shipping days, all modelling columns, gaps filled by the last value."""
+    lines = table(spark, sf_dir, "lineitem")
+    zone = F.concat(F.lit("Z"), F.pmod("l_suppkey", F.lit(2)).cast("string"))
+    day, slot = F.col("l_shipdate").cast("date"), F.pmod("l_partkey", F.lit(SLOTS)).cast("int")
+    rows = lines.groupBy(zone.alias("zone"), day.alias("local_date"), slot.alias("hour")).agg(
+        (F.avg("l_extendedprice") / 1000).alias("Price"), F.sum("l_quantity").cast("double").alias("Load_DA"),
+        (100 * F.avg("l_discount")).alias("Solar_DA"), (100 * F.avg("l_tax")).alias("WindOn_DA"),
+        F.max("l_quantity").cast("double").alias("WindOff_DA"), (F.min("l_extendedprice") / 1000).alias("Coal"),
+        (F.max("l_extendedprice") / 1000).alias("NGas"), F.avg("l_quantity").cast("double").alias("Oil"),
+        F.count(F.lit(1)).cast("double").alias("EUA"))
+    bounds = lines.groupBy(zone.alias("zone")).agg(F.min(day).alias("first"), F.max(day).alias("last"))
+    cells = timegrid.complete_days(rows, slots=SLOTS, bounds=bounds).withColumn("at", day_hour("local_date", "hour"))
+    return blocks.forward_fill(cells, [c for c in REGRESSORS if c != "Load_A"], ["zone"], "at").drop("at")
+
+
+SLOT_SQL = f"""slot_rows AS (
+  SELECT 'Z' || CAST(l_suppkey % 2 AS VARCHAR) AS zone, CAST(l_shipdate AS DATE) AS local_date,
+         CAST(l_partkey % {SLOTS} AS INTEGER) AS hour, avg(l_extendedprice) / 1000 AS Price
+  FROM lineitem GROUP BY 1, 2, 3),
+slot_cells AS (
+  SELECT b.zone, CAST(b.lo + to_days(CAST(d.d AS INTEGER)) AS DATE) AS local_date, CAST(h.h AS INTEGER) AS hour
+  FROM (SELECT 'Z' || CAST(l_suppkey % 2 AS VARCHAR) AS zone, CAST(min(l_shipdate) AS DATE) AS lo,
+               CAST(max(l_shipdate) AS DATE) AS hi FROM lineitem GROUP BY 1) b,
+       unnest(range(0, CAST(b.hi - b.lo AS BIGINT) + 1)) AS d(d), range({SLOTS}) AS h(h)),
+slot_series AS (
+  SELECT c.zone, c.local_date, c.hour, last_value(r.Price IGNORE NULLS) OVER (PARTITION BY c.zone
+    ORDER BY c.local_date, c.hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS y
+  FROM slot_cells c LEFT JOIN slot_rows r ON r.zone = c.zone AND r.local_date = c.local_date AND r.hour = c.hour)"""
+
+
 # ---- forecasts ------------------------------------------------------------------------------------------------------
 
 NAIVE_DAYS = [1, 2, 7]
