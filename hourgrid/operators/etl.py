@@ -56,10 +56,13 @@ def codes_with_prefix(spec: DataFrame, prefix: str, column: str = "MapCode") ->
 
 # ---- facts ----------------------------------------------------------------------------------------------------------
 
-def in_years(values: DataFrame, start_year: int, end_year: int, ts: str = "DateTime") -> DataFrame:
-    """Half-open year range as a plain comparison, so that the scan can skip row groups."""
-    return values.filter((F.col(ts) >= F.make_timestamp_ntz(*map(F.lit, (start_year, 1, 1, 0, 0, 0))))
-                         & (F.col(ts) < F.make_timestamp_ntz(*map(F.lit, (end_year, 1, 1, 0, 0, 0)))))
+def in_years(values: DataFrame, start_year: int | None, end_year: int | None, ts: str = "DateTime") -> DataFrame:
+    """Half-open year range as plain comparisons, so that the scan can skip row groups; None leaves an end open."""
+    if start_year is not None:
+        values = values.filter(F.col(ts) >= F.make_timestamp_ntz(*map(F.lit, (start_year, 1, 1, 0, 0, 0))))
+    if end_year is not None:
+        values = values.filter(F.col(ts) < F.make_timestamp_ntz(*map(F.lit, (end_year, 1, 1, 0, 0, 0))))
+    return values
 
 
 def with_ids(values: DataFrame, ids: DataFrame, key: str = "TimeSeriesID") -> DataFrame:
@@ -67,7 +70,7 @@ def with_ids(values: DataFrame, ids: DataFrame, key: str = "TimeSeriesID") -> Da
     return values.join(ids.select(key), key, "left_semi")
 
 
-def fetch_values(values: DataFrame, targets: DataFrame, start_year: int, end_year: int,
+def fetch_values(values: DataFrame, targets: DataFrame, start_year: int | None, end_year: int | None,
                  key: str = "TimeSeriesID") -> DataFrame:
     """Facts of the chosen series in the year range, with the catalogue columns.
 
@@ -120,7 +123,7 @@ def _column_name(product: str) -> str:
     return product.replace(" ", "_")
 
 
-def prepare_generation(spec: DataFrame, values: DataFrame, start_year: int, end_year: int,
+def prepare_generation(spec: DataFrame, values: DataFrame, start_year: int | None, end_year: int | None,
                        map_codes: Sequence[str] | None = None,
                        products: Sequence[str] = tuple(PRODUCTION_TYPES)) -> DataFrame:
     """Hourly generation per zone, one column per production type and kind (``Solar_DA``, ``Wind_Onshore_A`` ...)."""
@@ -131,7 +134,7 @@ def prepare_generation(spec: DataFrame, values: DataFrame, start_year: int, end_
     return roll_up_hourly(pivot_mean(facts, ZONE_HOUR, columns, "Value"), ZONE_HOUR, list(columns))
 
 
-def prepare_load(spec: DataFrame, values: DataFrame, start_year: int, end_year: int,
+def prepare_load(spec: DataFrame, values: DataFrame, start_year: int | None, end_year: int | None,
                  map_codes: Sequence[str] | None = None) -> DataFrame:
     targets = select_series(spec, "Load", list(TYPE_SUFFIX), None, map_codes)
     facts = fetch_values(values, targets, start_year, end_year).withColumnRenamed("DateTime", "time_utc")
@@ -139,7 +142,7 @@ def prepare_load(spec: DataFrame, values: DataFrame, start_year: int, end_year:
     return roll_up_hourly(pivot_mean(facts, ZONE_HOUR, columns, "Value"), ZONE_HOUR, list(columns))
 
 
-def prepare_price(spec: DataFrame, values: DataFrame, start_year: int, end_year: int,
+def prepare_price(spec: DataFrame, values: DataFrame, start_year: int | None, end_year: int | None,
                   map_codes: Sequence[str] | None = None, kind: str = "DayAhead") -> DataFrame:
     """Hourly mean price of one kind."""
     targets = select_series(spec, "Price", [kind], None, map_codes)
@@ -147,14 +150,14 @@ def prepare_price(spec: DataFrame, values: DataFrame, start_year: int, end_year:
     return roll_up_hourly(pivot_mean(facts, ZONE_HOUR, {"Price": F.lit(True)}, "Value"), ZONE_HOUR, ["Price"], "mean")
 
 
-def prepare_filling_rate(spec: DataFrame, values: DataFrame, start_year: int, end_year: int,
+def prepare_filling_rate(spec: DataFrame, values: DataFrame, start_year: int | None, end_year: int | None,
                          map_codes: Sequence[str] | None = None) -> DataFrame:
     targets = select_series(spec, "FillingRateHydro", None, None, map_codes)
     return fetch_values(values, targets, start_year, end_year).select(
         F.col("DateTime").alias("time_utc"), F.col("Value").alias("FillingRateHydro"), "MapCode")
 
 
-def prepare_physical_flow(spec: DataFrame, values: DataFrame, start_year: int, end_year: int,
+def prepare_physical_flow(spec: DataFrame, values: DataFrame, start_year: int | None, end_year: int | None,
                           map_codes: Sequence[str] | None = None) -> DataFrame:
     targets = select_series(spec, "PhysicalFlow", None, None, map_codes)
     facts = fetch_values(values, targets, start_year, end_year).select(
@@ -162,7 +165,7 @@ def prepare_physical_flow(spec: DataFrame, values: DataFrame, start_year: int, e
     return roll_up_hourly(facts, ZONE_HOUR, ["PhysicalFlow"])
 
 
-def prepare_installed_capacity(spec: DataFrame, values: DataFrame, start_year: int, end_year: int,
+def prepare_installed_capacity(spec: DataFrame, values: DataFrame, start_year: int | None, end_year: int | None,
                                products: Sequence[str], by_zone: bool = False) -> DataFrame:
     """Capacity by production type; averaged over the zones unless ``by_zone``."""
     facts = fetch_values(values, select_series(spec, "InstalledCapacity"), start_year, end_year)
@@ -171,7 +174,7 @@ def prepare_installed_capacity(spec: DataFrame, values: DataFrame, start_year: i
     return pivot_mean(facts, ZONE_HOUR if by_zone else ["time_utc"], columns, "Value")
 
 
-def prepare_unavailability(spec: DataFrame, values: DataFrame, start_year: int, end_year: int,
+def prepare_unavailability(spec: DataFrame, values: DataFrame, start_year: int | None, end_year: int | None,
                            map_codes: Sequence[str] | None = None) -> DataFrame:
     """Unavailable capacity by kind with a row total, summed to hours."""
     targets = select_series(spec, "Unavailability", None, None, map_codes)
@@ -183,13 +186,14 @@ def prepare_unavailability(spec: DataFrame, values: DataFrame, start_year: int,
     return roll_up_hourly(wide, ZONE_HOUR, [*columns, "Total_Unavailability"])
 
 
-def prepare_market(spec: DataFrame, values: DataFrame, start_year: int, end_year: int,
+def prepare_market(spec: DataFrame, values: DataFrame, start_year: int | None, end_year: int | None,
                    map_codes: Sequence[str] | None = None, products: Sequence[str] = tuple(PRODUCTION_TYPES),
-                   price_kind: str = "DayAhead") -> DataFrame:
-    """Price, load and generation of the zone-hours that have a price, in one pass over the facts.
+                   price_kind: str = "DayAhead", how: str = "left") -> DataFrame:
+    """Price, load and generation by (zone, hour) in one pass over the facts.
 
-    Equal to ``prepare_price`` left-joined with ``prepare_load`` and ``prepare_generation``, but the facts are scanned
-    once instead of three times and nothing is joined afterwards.
+    Equal to ``prepare_price`` joined with ``prepare_load`` and ``prepare_generation`` the way ``how`` says (left: hours with
+    a price, inner: hours with all three), but the facts are scanned once instead of three times and nothing is
+    joined afterwards. As in a join, a null zone has a price but meets neither load nor generation.
     """
     kinds = list(TYPE_SUFFIX)
     targets = (select_series(spec, "Price", [price_kind], None, map_codes)
@@ -201,11 +205,19 @@ def prepare_market(spec: DataFrame, values: DataFrame, start_year: int, end_year
     columns.update({f"Load_{suffix}": (name == "Load") & (kind == k) for k, suffix in TYPE_SUFFIX.items()})
     columns.update({f"{_column_name(p)}_{suffix}": (name == "Generation") & (kind == k) & (F.col("ProductionType") == p)
                     for k, suffix in TYPE_SUFFIX.items() for p in products})
-    cells = facts.groupBy(*ZONE_HOUR).agg(F.count_if(name == "Price").alias("_prices"), *[
+    needed = {"left": ["Price"], "inner": ["Price", "Load", "Generation"]}[how]
+    seen = {f"_{n}": F.count_if(name == n) for n in needed}
+    cells = facts.groupBy(*ZONE_HOUR).agg(*[c.alias(n) for n, c in seen.items()], *[
         F.avg(F.when(cond, F.col("Value"))).alias(c) for c, cond in columns.items()])
+    others = [c for c in columns if c != "Price"]
     hours = by_hour(cells, ["MapCode"], "time_utc", {
-        "_prices": F.sum("_prices"), "Price": F.avg("Price"), **{c: F.sum(c) for c in columns if c != "Price"}})
-    return hours.filter("_prices > 0").drop("_prices")
+        **{n: F.sum(n) for n in seen}, "Price": F.avg("Price"), **{c: F.sum(c) for c in others}})
+    hours = hours.withColumns({c: F.when(F.col("MapCode").isNotNull(), F.col(c)) for c in others})
+    if how == "inner":
+        hours = hours.filter(F.col("MapCode").isNotNull())
+    for n in seen:
+        hours = hours.filter(F.col(n) > 0)
+    return hours.drop(*seen)
 
 
 # ---- daily quotes ---------------------------------------------------------------------------------------------------
@@ -222,9 +234,13 @@ def coerce_date(value: str | Column) -> Column:
     return F.when(text.rlike(DATE_TEXT), F.substring_index(F.substring_index(text, " ", 1), "T", 1).try_cast("date"))
 
 
-def in_dates(df: DataFrame, start: str, end: str, date: str = "Date") -> DataFrame:
-    """Inclusive start, exclusive end."""
-    return df.filter((F.col(date) >= F.lit(start).cast("date")) & (F.col(date) < F.lit(end).cast("date")))
+def in_dates(df: DataFrame, start: str | None, end: str | None, date: str = "Date") -> DataFrame:
+    """Inclusive start, exclusive end; None leaves an end open. Rows without a date go."""
+    if start is not None:
+        df = df.filter(F.col(date) >= F.lit(start).cast("date"))
+    if end is not None:
+        df = df.filter(F.col(date) < F.lit(end).cast("date"))
+    return df.filter(F.col(date).isNotNull())
 
 
 def convert_currency(df: DataFrame, columns: Sequence[str] = tuple(DOLLAR_QUOTES), rate: str = "USD_EUR",
@@ -237,7 +253,7 @@ def convert_currency(df: DataFrame, columns: Sequence[str] = tuple(DOLLAR_QUOTES
     return df.withColumns({f"{c}_EUR": convert(c) for c in columns if c in df.columns})
 
 
-def prepare_quotes(raw: DataFrame, start: str, end: str, names: Sequence[str] = tuple(QUOTES)) -> DataFrame:
+def prepare_quotes(raw: DataFrame, start: str | None = None, end: str | None = None, names: Sequence[str] = tuple(QUOTES)) -> DataFrame:
     """Daily quotes (Date, name, Value[, RIC]) to one wide row per day with converted currencies."""
     clean = in_dates(raw.drop("RIC").withColumn("Date", coerce_date("Date")), start, end)
     return convert_currency(pivot_strict(clean, "Date", names))

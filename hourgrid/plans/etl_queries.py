@@ -10,7 +10,7 @@ from hourgrid.plans import standin as st
 from hourgrid.plans.registry import Query
 from hourgrid.sources.tables import hourly_arrays_to_rows
 
-Y0, Y1 = st.FIRST_YEAR, st.END_YEAR
+Y0 = Y1 = None  # the years of the data, whatever they are
 
 
 def _facts(spark, d):
@@ -20,16 +20,23 @@ def _facts(spark, d):
 
 
 def _merged(spark, d, how="left"):
+    """Price, load and generation of every zone and hour from one scan of the facts, with the quotes of the day."""
+    market = etl.prepare_market(st.spec(spark, d), st.vals(spark, d), Y0, Y1, None, st.PRODUCTS, how=how)
+    return etl.join_quotes(market, st.wide_quotes(spark, d), how)
+
+
+def _chained(spark, d):
+    """The same by a chain of inner joins."""
     spec, vals = st.spec(spark, d), st.vals(spark, d)
     return etl.merge_datasets(etl.prepare_price(spec, vals, Y0, Y1), etl.prepare_load(spec, vals, Y0, Y1),
                               etl.prepare_generation(spec, vals, Y0, Y1, products=st.PRODUCTS),
-                              st.wide_quotes(spark, d), how)
+                              st.wide_quotes(spark, d), "inner")
 
 
 def _market(spark, d):
-    """The merged table from one scan of the facts."""
-    market = etl.prepare_market(st.spec(spark, d), st.vals(spark, d), Y0, Y1, [f"NO{i}" for i in range(1, 6)],
-                                st.PRODUCTS)
+    """The merged table of the zones that have a code."""
+    spec = st.spec(spark, d).filter(F.col("MapCode").isNotNull())
+    market = etl.prepare_market(spec, st.vals(spark, d), Y0, Y1, None, st.PRODUCTS)
     return etl.join_quotes(market, st.wide_quotes(spark, d))
 
 
@@ -235,6 +242,10 @@ UNION ALL SELECT zone, 'Load_DA', l, l >= 5 FROM c UNION ALL SELECT zone, 'weekd
     Query("fact_dim_join", _facts, f"""WITH {st.FACTS_SQL} SELECT TimeSeriesID, DateTime, Value, Name, Type,
 ProductionType, MapCode, MapTypeCode, ResolutionCode FROM facts""", "Value", "DateTime"),
     Query("merge_zone_hour", _merged, MERGE_SQL + " SELECT * FROM merged", MERGED_COLUMNS, "time_utc"),
+    Query("merge_zone_hour_inner", lambda s, d: _merged(s, d, "inner"), MERGE_SQL.replace("LEFT JOIN", "JOIN")
+          + " SELECT * FROM merged", MERGED_COLUMNS, "time_utc"),
+    Query("merge_chain_inner", _chained, MERGE_SQL.replace("LEFT JOIN", "JOIN") + " SELECT * FROM merged", MERGED_COLUMNS,
+          "time_utc"),
     Query("merge_time_only", merge_time_only, f"""WITH {st.QUOTES_SQL}
 SELECT l.MapCode, l.time_utc, l.Price, {', '.join('q.' + c for c in QUOTE_COLUMNS)}
 FROM (SELECT l_returnflag AS MapCode, date_trunc('hour', l_shipdate) AS time_utc, avg(l_extendedprice) AS Price

@@ -209,7 +209,6 @@ KINDS = ["Actual", "DayAhead"]
 PRODUCTS = ["Solar", "Wind Onshore", "Wind Offshore"]
 OUTAGES = ["Consumption", "Generation", "Production", "Transmission"]
 PER_SUPPLIER = 6 * len(NAMES)
-FIRST_YEAR, END_YEAR = 1995, 2002
 
 
 def spec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,7 +261,7 @@ VALS_SQL = f"""vals AS (
   FROM lineitem)"""
 FACTS_SQL = SPEC_SQL + ",\n" + VALS_SQL + """,
 facts AS (SELECT v.DateTime, v.Value, s.* FROM vals v JOIN spec s ON s.TimeSeriesID = v.TimeSeriesID
-          WHERE v.DateTime >= TIMESTAMP '1995-01-01' AND v.DateTime < TIMESTAMP '2002-01-01' AND s.MapTypeCode = 'BZN')"""
+          WHERE s.MapTypeCode = 'BZN')"""
 
 # Quote name for each order priority.
 QUOTE_OF = {"1-URGENT": "coal_fM_01", "2-HIGH": "gas_fM_01", "3-MEDIUM": "oil_fM_01", "4-NOT SPECIFIED": "EUA_fM_01",
@@ -286,11 +285,11 @@ QUOTES_SQL = f"""quotes AS (
 wide_quotes AS (
   SELECT *, oil_fM_01 / nullif(USD_EUR, 0) AS oil_fM_01_EUR, coal_fM_01 / nullif(USD_EUR, 0) AS coal_fM_01_EUR
   FROM (SELECT Date, """ + ", ".join(f"max(CASE WHEN name = '{n}' THEN Value END) AS {n}" for n in etl.QUOTES) + """
-        FROM quotes WHERE Date >= DATE '1995-01-01' AND Date < DATE '2002-01-01' GROUP BY 1))"""
+        FROM quotes GROUP BY 1))"""
 
 
 def wide_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return etl.prepare_quotes(quotes(spark, sf_dir), "1995-01-01", "2002-01-01")
+    return etl.prepare_quotes(quotes(spark, sf_dir))
 
 
 # Holidays inside the span of the hourly series, one of another country and one outside the years.

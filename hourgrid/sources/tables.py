@@ -91,10 +91,14 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_by_zone(df: DataFrame, path: str, zone: str = "zone") -> None:
-    """Parquet partitioned by zone; a zone may be written by many tasks."""
-    df.write.mode("overwrite").partitionBy(zone).parquet(path)
+    """Parquet partitioned by zone; a zone may be written by many tasks.
+
+    Only the zones that ``df`` holds are replaced, each as a whole; all others stay. An empty ``df`` changes nothing. Zones
+    change when the job commits, so a failed write leaves the old ones.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(zone).parquet(path)
 
 
 def write_forecasts(forecasts: DataFrame, path: str) -> None:
-    """Long forecast table (zone, local_date, hour, model, y_true, y_pred)."""
+    """Long forecast table (zone, local_date, hour, model, y_true, y_pred); the zones given replace what they had."""
     write_by_zone(forecasts.select("zone", "local_date", "hour", "model", "y_true", "y_pred"), path)

@@ -109,3 +109,28 @@ def test_training_table_fills_weekends_in_each_zone(spark):
     assert [r["Coal"] for r in out.collect()] == [50.0] * 6
     assert etl.build_training_table(merged, "NO2").select("zone").distinct().collect()[0][0] == "NO2"
     assert etl.build_training_table(merged, fill=False).filter("Coal is null").count() == 4
+
+
+def test_one_zone_is_replaced_and_the_others_stay(spark, tmp_path):
+    fields = "zone string, local_date date, hour int, model string, y_true double, y_pred double"
+
+    def rows(*values):
+        return spark.createDataFrame([(z, dt.date(2024, 1, 1), h, "m", 1.0, y) for z, h, y in values], fields)
+    path = str(tmp_path / "f")
+    tables.write_forecasts(rows(("a", 1, 1.0), ("a", 2, 2.0), ("b", 1, 3.0), ("c d/e", 1, 9.0), (None, 1, 4.0)), path)
+    tables.write_forecasts(rows(("a", 5, 7.0)), path)
+    tables.write_forecasts(rows(("f", 1, 8.0)).repartition(3), path)
+    tables.write_forecasts(rows(("a", 5, 7.0)).filter("hour > 9"), path)
+    got = {(r["zone"], r["hour"], r["y_pred"]) for r in tables.read_parquet(spark, path).collect()}
+    assert got == {("a", 5, 7.0), ("b", 1, 3.0), ("c d/e", 1, 9.0), (None, 1, 4.0), ("f", 1, 8.0)}
+
+
+def test_open_year_and_date_ranges(spark):
+    values = spark.createDataFrame([(y, dt.datetime(y, 6, 1)) for y in (1800, 1995, 2002, 2100)], "k int, DateTime timestamp_ntz")
+
+    def years(*ends):
+        return sorted(r["k"] for r in etl.in_years(values, *ends).collect())
+    assert years(None, None) == [1800, 1995, 2002, 2100] and years(1995, None) == [1995, 2002, 2100]
+    assert years(None, 2002) == [1800, 1995] and years(1995, 2002) == [1995]
+    dates = values.withColumn("Date", F.col("DateTime").cast("date"))
+    assert etl.in_dates(dates, None, None).count() == 4 and etl.in_dates(dates, "1995-06-01", None).count() == 3

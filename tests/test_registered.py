@@ -98,3 +98,20 @@ for name in ("expert_ols", "dm_test"):
 """
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0 and "expert_ols" in done.stdout, done.stderr[-2000:]
+
+
+@pytest.mark.parametrize("missing", ["public_tokenizers", "xxhash", "corpus_pipeline"])
+def test_core_queries_without_the_optional_part(missing):
+    import subprocess
+    import sys
+    from pathlib import Path
+    code = f"""
+import sys
+sys.modules[{missing!r}] = None
+import __spark_entry__ as entry
+names = set(entry.queries())
+print(len(names), "pipeline" in names, any(n.startswith("op") and n[2].isdigit() for n in names), len(entry.oracle_sql()))
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True,
+                          timeout=120)
+    assert done.stdout.split() == [str(len(QUERIES)), "False", "False", str(len(WITH_SQL))], done.stderr[-2000:]
