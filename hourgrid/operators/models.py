@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourgrid.operators import blocks, updating
+from hourgrid.operators import smoothing as smoothing_of
 from hourgrid.operators.windows import KEYS
 
 CELL = ("zone", "local_date", "hour")
@@ -183,16 +184,21 @@ def add_matrices(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return parts.groupBy(*keys).applyInPandas(total, f"{_key_fields(parts, keys)}, {GRAM_FIELDS}")
 
 
-def difference_penalty(sizes: Sequence[tuple[int, bool]]) -> np.ndarray:
-    """Block-diagonal second-difference penalty; each entry is (columns, smooth). Linear columns are not penalised."""
-    total = sum(n for n, _ in sizes)
-    out = np.zeros((total, total))
+def difference_penalty(sizes: Sequence[tuple[int | tuple[int, int], bool]]) -> np.ndarray:
+    """Block-diagonal second-difference penalty; each entry is (columns, smooth).
+
+    Linear columns are not penalised. Columns given as a pair are the product of two splines of these sizes, whose
+    penalty is the Kronecker sum of theirs: wiggles along either direction count.
+    """
+    counts = [int(np.prod(n)) for n, _ in sizes]
+    out = np.zeros((sum(counts), sum(counts)))
     at = 0
-    for n, smooth in sizes:
-        if smooth and n > 2:
-            d = np.diff(np.eye(n), n=2, axis=0)
-            out[at:at + n, at:at + n] = d.T @ d
-        at += n
+    for (n, smooth), count in zip(sizes, counts):
+        if smooth and isinstance(n, tuple):
+            out[at:at + count, at:at + count] = sum(smoothing_of.directions(*map(smoothing_of.wiggles, n)))
+        elif smooth and n > 2:
+            out[at:at + n, at:at + n] = smoothing_of.wiggles(n)
+        at += count
     return out
 
 
@@ -236,42 +242,56 @@ def basis_matrix(x: np.ndarray, low: float, high: float, intervals: int, cyclic:
     return out
 
 
-def additive_design(terms: AdditiveTerms, train: np.ndarray, *rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The penalty and a design matrix for each of ``rows`` (columns in the order of ``terms.inputs``); ranges, the gate
-    and the scale of linear columns come from ``train``."""
+def additive_design(terms: AdditiveTerms, train: np.ndarray, *rows: np.ndarray
+                    ) -> tuple[list[smoothing_of.Block], list[np.ndarray]]:
+    """The blocks of columns and a design matrix for each of ``rows`` (columns in the order of ``terms.inputs``); ranges, the
+    gate and the scale of linear columns come from ``train``."""
     at = {c: k for k, c in enumerate(terms.inputs)}
     plain = [c for c in terms.smooth if len(np.unique(train[:, at[c]])) < terms.gate]
     linear = [*terms.linear, *plain]
     mean = {c: train[:, at[c]].mean() for c in linear}
     std = {c: train[:, at[c]].std(ddof=1) if len(train) > 1 else 0.0 for c in linear}
-    penalty: list[tuple[int, bool]] = [(1 + len(linear), False)]
+    splines = [c for c in terms.smooth if c not in plain] + list(terms.cyclic)
+    place = {c: k for k, c in enumerate(splines, 1)}
+    pairs = [(a, b) for a, b in terms.products if a in place and b in place]
     made = []
     for x in rows:
-        bases = {c: basis_matrix(x[:, at[c]], train[:, at[c]].min(), train[:, at[c]].max(), n)
-                 for c, n in terms.smooth.items() if c not in plain}
-        bases.update({c: basis_matrix(x[:, at[c]], 0.0, period, n, True) for c, (n, period) in terms.cyclic.items()})
-        pairs = [bases[a][:, :, None] * bases[b][:, None, :] for a, b in terms.products if a in bases and b in bases]
-        blocks_of = [*bases.values(), *[p.reshape(len(x), -1) for p in pairs]]
+        bases = {c: basis_matrix(x[:, at[c]], 0.0, terms.cyclic[c][1], terms.cyclic[c][0], True) if c in terms.cyclic else
+                 basis_matrix(x[:, at[c]], train[:, at[c]].min(), train[:, at[c]].max(), terms.smooth[c]) for c in splines}
+        products = [(bases[a][:, :, None] * bases[b][:, None, :]).reshape(len(x), -1) for a, b in pairs]
         scaled = [(x[:, at[c]] - mean[c]) / (std[c] if std[c] > 0 else 1.0) for c in linear]
-        made.append(np.column_stack([np.ones(len(x)), *scaled, *blocks_of]))
-        penalty = [(1 + len(linear), False), *[(b.shape[1], True) for b in bases.values()],
-                   *[(p.shape[1] * p.shape[2], False) for p in pairs]]
-    return difference_penalty(penalty), made
+        made.append(np.column_stack([np.ones(len(x)), *scaled, *bases.values(), *products]))
+    size = {c: terms.cyclic[c][0] if c in terms.cyclic else terms.smooth[c] + 3 for c in splines}
+    parts = [smoothing_of.Block("plain", 1 + len(linear)),
+             *[smoothing_of.Block("cyclic" if c in terms.cyclic else "spline", size[c], name=c) for c in splines],
+             *[smoothing_of.Block("product", size[a] * size[b], (place[a], place[b]), f"{a}*{b}") for a, b in pairs]]
+    return parts, made
+
 
+def block_sizes(parts: Sequence[smoothing_of.Block]) -> list[tuple[int | tuple[int, int], bool]]:
+    """The blocks as ``difference_penalty`` takes them."""
+    return [((parts[b.of[0]].columns, parts[b.of[1]].columns) if b.kind == "product" else b.columns, b.kind != "plain")
+            for b in parts]
 
-def _fit_additive(terms: AdditiveTerms, x: np.ndarray, y: np.ndarray, ahead: np.ndarray, smoothing: float, ridge: float):
-    """Forecasts of the rows ``ahead`` and the in-sample RMSE; None with fewer training rows than columns."""
+
+def _fit_additive(terms: AdditiveTerms, x: np.ndarray, y: np.ndarray, ahead: np.ndarray, smoothing: float | None, ridge: float):
+    """Forecasts of the rows ``ahead``, the in-sample RMSE, and the penalties and degrees of freedom where they are
+    chosen here (``smoothing`` None); None with fewer training rows than columns."""
     if not len(y):
         return None
-    penalty, (train, new) = additive_design(terms, x, x, ahead)
+    parts, (train, new) = additive_design(terms, x, x, ahead)
     if len(y) < train.shape[1]:
         return None
-    beta, rmse = _solve(float(len(y)), float(y @ y), train.T @ y, train.T @ train, penalty, smoothing, ridge)
+    products = float(len(y)), float(y @ y), train.T @ y, train.T @ train
+    if smoothing is None:
+        found = smoothing_of.select(*products, parts)
+        return new @ found.beta, found.rmse, found.penalties, found.freedom
+    beta, rmse = _solve(*products, difference_penalty(block_sizes(parts)), smoothing, ridge)
     return new @ beta, rmse
 
 
 def _rolling(rows: DataFrame, inputs: Sequence[str], target: str, train_days: int, refit_days: int, keys: Sequence[str],
-             block_days: int | None, fit) -> DataFrame:
+             block_days: int | None, fit, chosen: bool = False) -> DataFrame:
     """Forecast every row from a fit on the ``train_days`` days before its refit period.
 
     A group is one key and block of days with the history of its first day, so its size is bounded and each row is
@@ -295,6 +315,7 @@ def _rolling(rows: DataFrame, inputs: Sequence[str], target: str, train_days: in
         usable = ~np.isnan(x).any(axis=1)
         complete = usable & ~np.isnan(y)
         y_pred, rmse, n = np.full(len(y), np.nan), np.full(len(y), np.nan), np.zeros(len(y), dtype="int64")
+        penalties, freedom = np.full(len(y), None, dtype=object), np.full(len(y), np.nan)
         for first in range(int(day[0]) // refit_days * refit_days + reach, int(day[-1]) + 1, refit_days):
             now = slice(*np.searchsorted(day, [first, first + refit_days]))
             if first - reach < day[0] or not own[now].any():
@@ -304,31 +325,57 @@ def _rolling(rows: DataFrame, inputs: Sequence[str], target: str, train_days: in
             found = fit(x[before], y[before], first - day[before], x[ahead])
             if found is not None:
                 y_pred[ahead], rmse[ahead], n[ahead] = found[0], found[1], len(before)
+                if chosen:
+                    freedom[ahead] = found[3]
+                    for i in ahead:
+                        penalties[i] = found[2]
         out = pdf[[*keys, *others]].assign(y_true=y, y_pred=y_pred, n_train=n, rmse_train=rmse)
+        if chosen:
+            out = out.assign(penalties=penalties, freedom=freedom)
         return out[own & (n > 0)]
 
     types = dict(rows.dtypes)
     fields = ", ".join(f"{k} {types[k]}" for k in [*keys, *others])
     by = [*keys, blocks.BLOCK]
     return blocks.spread(framed, by).groupBy(*by).applyInPandas(
-        fit_block, f"{fields}, y_true double, y_pred double, n_train long, rmse_train double")
+        fit_block, f"{fields}, y_true double, y_pred double, n_train long, rmse_train double"
+                   + (", penalties array<double>, freedom double" if chosen else ""))
 
 
 def additive_forecast(rows: DataFrame, terms: AdditiveTerms, train_days: int, refit_days: int = 7, target: str = "y",
-                      keys: Sequence[str] = KEYS, smoothing: float = 1.0, ridge: float = 1e-3,
+                      keys: Sequence[str] = KEYS, smoothing: float | None = 1.0, ridge: float = 1e-3,
                       block_days: int | None = None) -> DataFrame:
     """Rolling additive model: refitted every ``refit_days`` days on the ``train_days`` days before.
 
     ``rows`` holds (keys, local_date, hour, target, the inputs of ``terms``). Spline ranges, the gate and the scale of
     linear terms come from the training window alone. Add ``hour`` to ``keys`` for one model per hour. No forecast
     before the first full window, from a row that lacks an input, or with fewer training rows than columns.
+    With ``smoothing`` None every window chooses its own penalties (``smoothing.select``); they come along as ``penalties`` with the
+    degrees of freedom in ``freedom``.
     """
     return _rolling(rows, terms.inputs, target, train_days, refit_days, keys, block_days,
-                    lambda x, y, age, ahead: _fit_additive(terms, x, y, ahead, smoothing, ridge))
+                    lambda x, y, age, ahead: _fit_additive(terms, x, y, ahead, smoothing, ridge), smoothing is None)
+
+
+def additive_fits(design: DataFrame, parts: Sequence[smoothing_of.Block], keys: Sequence[str] = KEYS, target: str = "y"
+                  ) -> DataFrame:
+    """``keys, n, beta, rmse, penalties, freedom``: one fit per key with chosen penalties, in one pass over ``design``.
+
+    ``design`` holds the design vector ``x``, whose first entry is 1. Only cross products leave the map tasks.
+    """
+    keys = list(keys)
+
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        q = len(pdf["xy"].iloc[0])
+        found = smoothing_of.select(pdf["n"].sum(), pdf["yy"].sum(), sum(pdf["xy"]), sum(pdf["xx"]).reshape(q, q), parts)
+        return pd.DataFrame([(*key, pdf["n"].sum(), found.beta, found.rmse, found.penalties, found.freedom)])
+    grams = cross_products(design, keys, target)
+    return grams.groupBy(*keys).applyInPandas(fit, f"{_key_fields(grams, keys)}, n double, beta array<double>, rmse double, "
+                                                   "penalties array<double>, freedom double")
 
 
 def long_short_walk(rows: DataFrame, terms: AdditiveTerms, long_days: int, short_days: int, validation_days: int,
-                    refit_days: int = 1, target: str = "y", keys: Sequence[str] = KEYS, smoothing: float = 1.0,
+                    refit_days: int = 1, target: str = "y", keys: Sequence[str] = KEYS, smoothing: float | None = 1.0,
                     ridge: float = 1e-3, block_days: int | None = None) -> DataFrame:
     """Long- and short-history pair for every forecast day, mixed by inverse validation loss.
 

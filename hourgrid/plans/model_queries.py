@@ -18,7 +18,7 @@ SINGLE = HourlySpec(price_lags=(1,), load="", forecasts=(), fuels=(), weekdays=[
 LINEAR = ["Price_lag_1", "Price_lag_7", "WD_1", "WD_6", "WD_7"]
 SMOOTH, CYCLIC = {"Load_DA_lag_0": 5}, {"hour_d": (6, 24.0)}
 # Columns of the design vector in order: (number, smooth); pairs of terms are products of their columns.
-SIZES = [(1 + len(LINEAR), False), (8, True), (6, True), (48, False)]
+SIZES = [(1 + len(LINEAR), False), (8, True), (6, True), ((8, 6), True)]
 
 
 def design_table(spark, d):
@@ -229,6 +229,24 @@ def additive(spark, d):
     return models.additive_forecast(additive_rows(spark, d), TERMS, TRAIN_DAYS)
 
 
+TENSOR = models.AdditiveTerms(["lag_1", "lag_7"], {"orders": 4}, {"day_of_year": (6, 366.0), "weekday": (4, 7.0)},
+                              [("orders", "day_of_year")])
+SLOTTED = models.AdditiveTerms(["Price_lag_1", "Price_lag_7", "WD_1", "WD_6", "WD_7"],
+                               {"Load_DA_lag_0": 6, "Solar_DA_lag_0": 6, "Coal_lag_2": 6}, {"day_of_year": (8, 366.0)})
+
+
+def additive_tensor(spark, d):
+    """A product of two splines beside its parts, penalties chosen in every window."""
+    return models.additive_forecast(additive_rows(spark, d), TENSOR, TRAIN_DAYS, 28, smoothing=None)
+
+
+def additive_hourly(spark, d):
+    """One model for each hour on a year of days, penalties chosen in every window."""
+    table = features.hourly_features(st.slot_series(spark, d), FULL)
+    rows = table.withColumnRenamed("Price", "y").withColumn("day_of_year", F.dayofyear("local_date").cast("double"))
+    return models.additive_forecast(rows, SLOTTED, TRAIN_DAYS, 28, keys=["zone", "hour"], smoothing=None)
+
+
 def additive_by_hour(spark, d):
     rows = design_table(spark, d).withColumnRenamed("Price", "y")
     return models.additive_forecast(rows, BY_HOUR, 20, 1, keys=["zone", "hour"])
@@ -263,6 +281,79 @@ def long_short_origin(spark, d):
     return models.long_short_forecast(rows.drop("origin"), SIZES)
 
 
+# One spline and one linear term, small enough to be fitted in SQL as well.
+SMALL = models.AdditiveTerms(["lag_7"], {"lag_1": 3})
+LONG, SHORT, CHECK = 364, 91, 28
+
+
+def additive_small(spark, d):
+    return models.additive_forecast(daily_table(spark, d), SMALL, LONG)
+
+
+def rmse_small(spark, d):
+    """In-sample error of every fit, on the scale of the series."""
+    fits = additive_small(spark, d).withColumn("period", F.floor(F.unix_date("local_date") / 7) * 7)
+    return fits.groupBy("zone", F.date_from_unix_date(F.col("period").cast("int")).alias("period")).agg(
+        F.max("rmse_train").alias("rmse_train"), F.max("n_train").alias("n_train"))
+
+
+def long_short_small(spark, d):
+    return models.long_short_walk(daily_table(spark, d), SMALL, LONG, SHORT, CHECK, 7)
+
+
+def spline_sql(kinds: list[tuple[str, int, int]]) -> str:
+    """Penalised fits by normal equations and elimination for each refit period and kind (name, age above, age up to)."""
+    q = 8
+    value = [f"v[{j}]" for j in range(1, q + 1)]
+    penalty = models.difference_penalty([(2, False), (6, True)])
+    grams = [f"sum({value[i]} * {value[j]}) + {float(penalty[i, j]) + (1e-3 if i == j else 0.0)!r}" for i in range(q) for j in range(q)]
+    cells = ", ".join(", ".join([*grams[i * q:(i + 1) * q], f"sum({value[i]} * y)"]) for i in range(q))
+    plain = ", ".join(f"sum({value[i]} * {value[j]})" for i in range(q) for j in range(q))
+    pieces = ["(1 - t) ** 3 / 6", "(3 * t ** 3 - 6 * t ** 2 + 4) / 6", "(-3 * t ** 3 + 3 * t ** 2 + 3 * t + 1) / 6", "t ** 3 / 6"]
+    cases = " ".join(f"WHEN {k} THEN {piece}" for k, piece in enumerate(pieces))
+    w = q + 1
+
+    def design(rows: str, columns: str) -> str:
+        return f"""SELECT {columns}, list_concat([1.0, CASE WHEN sb > 0 THEN (b - mb) / sb ELSE b - mb END], list_transform(range(6),
+  lambda c: CASE c - i {cases} ELSE 0.0 END)) AS v FROM (SELECT *, u - i AS t FROM (SELECT *, least(floor(u), 2) AS i FROM (
+  SELECT *, CASE WHEN hi > lo THEN least(greatest((a - lo) / (hi - lo) * 3, 0), 3) ELSE 0 END AS u FROM {rows})))"""
+    return f"""{DAILY_X},
+d AS (SELECT zone, local_date, y, a, b, local_date - DATE '1970-01-01' AS day FROM x),
+p AS (SELECT DISTINCT zone, day // 7 * 7 AS first FROM d JOIN (SELECT zone, min(day) AS start FROM d GROUP BY 1) USING (zone)
+      WHERE day // 7 * 7 - {LONG} >= start),
+k(kind, above, upto) AS (VALUES {', '.join(f"('{n}', {a}, {b})" for n, a, b in kinds)}),
+w AS (SELECT p.zone, first, kind, y, a, b FROM p, k JOIN d ON d.zone = p.zone AND first - day > above AND first - day <= upto
+      WHERE y + a + b IS NOT NULL),
+s AS (SELECT zone, first, kind, count(*) AS n, min(a) AS lo, max(a) AS hi, avg(b) AS mb, stddev_samp(b) AS sb, sum(y * y) AS yy
+      FROM w GROUP BY ALL HAVING count(*) >= {q}),
+g AS (SELECT zone, first, kind, [{cells}] AS m, [{plain}] AS xx, [{', '.join(f'sum({c} * y)' for c in value)}] AS xy
+      FROM ({design('(SELECT * FROM w JOIN s USING (zone, first, kind))', 'zone, first, kind, y')}) GROUP BY ALL),
+e(zone, first, kind, step, m) AS (
+  SELECT zone, first, kind, 0, m FROM g UNION ALL
+  SELECT zone, first, kind, step + 1, list_transform(range({q * w}), lambda c: CASE WHEN c // {w} = step THEN m[c + 1] / m[step * {w} + step + 1]
+    ELSE m[c + 1] - m[c // {w} * {w} + step + 1] * m[step * {w} + c % {w} + 1] / m[step * {w} + step + 1] END)
+  FROM e WHERE step < {q}),
+beta AS (SELECT zone, first, kind, list_transform(range({q}), lambda c: m[c * {w} + {w}]) AS beta FROM e WHERE step = {q}),
+fit AS (SELECT s.*, beta, sqrt(greatest(yy - 2 * list_inner_product(beta, xy) + list_sum(list_transform(range({q * q}),
+          lambda c: xx[c + 1] * beta[c // {q} + 1] * beta[c % {q} + 1])), 0) / n) AS rmse
+        FROM s JOIN g USING (zone, first, kind) JOIN beta USING (zone, first, kind)),
+ahead AS (SELECT zone, first, kind, local_date, y, n, rmse, list_inner_product(v, beta) AS y_pred FROM ({design(
+      f'(SELECT * FROM fit JOIN (SELECT * FROM d WHERE a + b IS NOT NULL) USING (zone) WHERE first = day // 7 * 7)',
+      'zone, first, kind, local_date, y, n, rmse, beta')})),
+held AS (SELECT zone, first, kind, avg((list_inner_product(v, beta) - y) ** 2) AS loss FROM ({design(
+      f'(SELECT * FROM fit JOIN (SELECT * FROM d WHERE y + a + b IS NOT NULL) USING (zone) WHERE first - day BETWEEN 1 AND {CHECK})',
+      'zone, first, kind, y, beta')}) GROUP BY ALL)"""
+
+
+SMALL_SQL = f"WITH RECURSIVE {spline_sql([('long', 0, LONG)])}"
+PAIR_SQL = f"""WITH RECURSIVE {spline_sql([('long', 0, LONG), ('short', 0, SHORT), ('long?', CHECK, LONG), ('short?', CHECK, SHORT)])}
+SELECT a.zone, local_date, CAST(0 AS INTEGER) AS hour, any_value(y) AS y_true, sum(y_pred / loss) / sum(1 / loss) AS y_pred,
+  max(c.n) AS n_train, sum(rmse / loss) / sum(1 / loss) AS rmse_train
+FROM ahead a JOIN held h ON h.zone = a.zone AND h.first = a.first AND h.kind = a.kind || '?'
+JOIN (SELECT zone, first, n FROM s WHERE kind = 'long') c ON c.zone = a.zone AND c.first = a.first
+WHERE a.kind IN ('long', 'short') GROUP BY a.zone, local_date"""
+
+
 # ---- boosted trees --------------------------------------------------------------------------------------------------
 
 TREE_FEATURES = [*SPEC.regressors(), "hour_d", "zone_code"]
@@ -333,6 +424,15 @@ UNION ALL SELECT zone, local_date, hour, "window", c2, 'lag_7' FROM fits WHERE c
           "local_date"),
     Query("tune_window", lambda s, d: models.tune_window(expert(WINDOWS, since=max(WINDOWS))(s, d), ["zone"]), TUNE_SQL, "rmse"),
     Query("additive_model", additive),
+    Query("additive_small", additive_small, SMALL_SQL + """
+SELECT zone, local_date, CAST(0 AS INTEGER) AS hour, y AS y_true, y_pred, n AS n_train, rmse AS rmse_train FROM ahead""",
+          "y_true y_pred rmse_train", "local_date", 5),
+    Query("rmse_in_sample_small", rmse_small, SMALL_SQL + """
+SELECT DISTINCT zone, DATE '1970-01-01' + CAST(first AS INTEGER) AS period, rmse AS rmse_train, n AS n_train FROM ahead""",
+          "rmse_train", "period", 5),
+    Query("long_short_small", long_short_small, PAIR_SQL, "y_true y_pred rmse_train", "local_date", 5),
+    Query("additive_tensor", additive_tensor),
+    Query("additive_hourly", additive_hourly),
     Query("additive_by_hour", additive_by_hour),
     Query("additive_difference", additive_difference),
     Query("rmse_in_sample", rmse_in_sample),

@@ -163,6 +163,8 @@ def test_additive_equals_numpy(spark, block_days):
         for at, n in ((3, 8), (11, 6)):
             d2 = np.diff(np.eye(n), n=2, axis=0)
             penalty[at:at + n, at:at + n] = d2.T @ d2
+        curves = [np.diff(np.eye(n), n=2, axis=0) for n in (8, 6)]  # the product is penalised along both directions
+        penalty[17:, 17:] = np.kron(curves[0].T @ curves[0], np.eye(6)) + np.kron(np.eye(8), curves[1].T @ curves[1])
         beta = np.linalg.solve(a.T @ a + penalty + 1e-3 * np.eye(a.shape[1]), a.T @ train.y.to_numpy())
         rmse = np.sqrt(np.mean((train.y - a @ beta) ** 2))
         for r, want in zip(ahead.itertuples(), design(train, ahead) @ beta):
