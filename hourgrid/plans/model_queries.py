@@ -282,7 +282,7 @@ def long_short_origin(spark, d):
 
 
 # One spline and one linear term, small enough to be fitted in SQL as well.
-SMALL = models.AdditiveTerms(["lag_7"], {"lag_1": 3})
+SMALL = models.AdditiveTerms(["lag_7"], {"lag_1": 3}, gate=0)
 LONG, SHORT, CHECK = 364, 91, 28
 
 
