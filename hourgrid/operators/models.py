@@ -290,8 +290,8 @@ def _fit_additive(terms: AdditiveTerms, x: np.ndarray, y: np.ndarray, ahead: np.
     return new @ beta, rmse
 
 
-def _rolling(rows: DataFrame, inputs: Sequence[str], target: str, train_days: int, refit_days: int, keys: Sequence[str],
-             block_days: int | None, fit, chosen: bool = False) -> DataFrame:
+def rolling(rows: DataFrame, inputs: Sequence[str], target: str, train_days: int, refit_days: int, keys: Sequence[str],
+             block_days: int | None, fit, extra: str = "") -> DataFrame:
     """Forecast every row from a fit on the ``train_days`` days before its refit period.
 
     A group is one key and block of days with the history of its first day, so its size is bounded and each row is
@@ -300,6 +300,7 @@ def _rolling(rows: DataFrame, inputs: Sequence[str], target: str, train_days: in
     count from 1970-01-01; periods before the first full window get no forecast.
     """
     keys = list(keys)
+    names = [f.split()[0] for f in extra.split(", ")] if extra else []
     periods = max(1, -(-train_days // refit_days))
     reach = periods * refit_days
     block_days = -(-(block_days or max(90, reach)) // refit_days) * refit_days  # blocks begin with a refit period
@@ -315,31 +316,28 @@ def _rolling(rows: DataFrame, inputs: Sequence[str], target: str, train_days: in
         usable = ~np.isnan(x).any(axis=1)
         complete = usable & ~np.isnan(y)
         y_pred, rmse, n = np.full(len(y), np.nan), np.full(len(y), np.nan), np.zeros(len(y), dtype="int64")
-        penalties, freedom = np.full(len(y), None, dtype=object), np.full(len(y), np.nan)
+        more = {name: np.full(len(y), None, dtype=object) for name in names}
         for first in range(int(day[0]) // refit_days * refit_days + reach, int(day[-1]) + 1, refit_days):
             now = slice(*np.searchsorted(day, [first, first + refit_days]))
             if first - reach < day[0] or not own[now].any():
                 continue
             before = np.arange(*np.searchsorted(day, [first - reach, first]))
             before, ahead = before[complete[before]], np.arange(now.start, now.stop)[usable[now]]
-            found = fit(x[before], y[before], first - day[before], x[ahead])
+            found = fit(x[before], y[before], first - day[before], x[ahead]) if len(ahead) else None
             if found is not None:
                 y_pred[ahead], rmse[ahead], n[ahead] = found[0], found[1], len(before)
-                if chosen:
-                    freedom[ahead] = found[3]
+                for name, value in zip(names, found[2:]):
                     for i in ahead:
-                        penalties[i] = found[2]
+                        more[name][i] = value
         out = pdf[[*keys, *others]].assign(y_true=y, y_pred=y_pred, n_train=n, rmse_train=rmse)
-        if chosen:
-            out = out.assign(penalties=penalties, freedom=freedom)
-        return out[own & (n > 0)]
+        return out.assign(**more)[own & (n > 0)]
 
     types = dict(rows.dtypes)
     fields = ", ".join(f"{k} {types[k]}" for k in [*keys, *others])
     by = [*keys, blocks.BLOCK]
     return blocks.spread(framed, by).groupBy(*by).applyInPandas(
         fit_block, f"{fields}, y_true double, y_pred double, n_train long, rmse_train double"
-                   + (", penalties array<double>, freedom double" if chosen else ""))
+                   + (f", {extra}" if extra else ""))
 
 
 def additive_forecast(rows: DataFrame, terms: AdditiveTerms, train_days: int, refit_days: int = 7, target: str = "y",
@@ -353,8 +351,9 @@ def additive_forecast(rows: DataFrame, terms: AdditiveTerms, train_days: int, re
     With ``smoothing`` None every window chooses its own penalties (``smoothing.select``); they come along as ``penalties`` with the
     degrees of freedom in ``freedom``.
     """
-    return _rolling(rows, terms.inputs, target, train_days, refit_days, keys, block_days,
-                    lambda x, y, age, ahead: _fit_additive(terms, x, y, ahead, smoothing, ridge), smoothing is None)
+    return rolling(rows, terms.inputs, target, train_days, refit_days, keys, block_days,
+                    lambda x, y, age, ahead: _fit_additive(terms, x, y, ahead, smoothing, ridge),
+                    "penalties array<double>, freedom double" if smoothing is None else "")
 
 
 def additive_fits(design: DataFrame, parts: Sequence[smoothing_of.Block], keys: Sequence[str] = KEYS, target: str = "y"
@@ -397,7 +396,7 @@ def long_short_walk(rows: DataFrame, terms: AdditiveTerms, long_days: int, short
         if not preds:
             return None
         return np.average(preds, axis=0, weights=shares), float(np.average(errors, weights=shares))
-    return _rolling(rows, terms.inputs, target, long_days, refit_days, keys, block_days, pair)
+    return rolling(rows, terms.inputs, target, long_days, refit_days, keys, block_days, pair)
 
 
 def long_short_forecast(design: DataFrame, sizes: Sequence[tuple[int, bool]], target: str = "y", split: str = "split",

@@ -5,7 +5,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from hourgrid.operators import blocks, boosting, combine, etl, features, models, scoring
+from hourgrid.operators import blocks, boosting, combine, etl, features, models, scoring, trees
 from hourgrid.operators.features import HourlySpec
 from hourgrid.plans import standin as st
 from hourgrid.plans.registry import Query
@@ -392,6 +392,65 @@ def gbt_grid(spark, d):
     return boosting.best_trial(trials)
 
 
+# ---- boosted trees of all origins in one job ------------------------------------------------------------------------
+
+WALK_INPUTS = [*FULL.regressors(), "price_last", "hour_d"]
+WALK_SPEC = trees.TreeSpec(trees=120, leaves=6, validation_days=56)
+STAGED = [{"leaves": 4}, {"leaves": 8}, {"leaves": 8, "rate": 0.05}]
+STUMP = trees.TreeSpec(trees=1, leaves=2, rate=1.0, bins=16)
+STUMP_REFIT = 28
+
+
+def slot_table(spark, d):
+    table = features.hourly_features(st.slot_series(spark, d), FULL)
+    return table.withColumnRenamed("Price", "y").withColumn("hour_d", F.col("hour").cast("double"))
+
+
+def trees_walk(spark, d):
+    return trees.trees_forecast(slot_table(spark, d), WALK_INPUTS, TRAIN_DAYS, 28, spec=WALK_SPEC)
+
+
+def trees_staged(spark, d):
+    """Every setting and number of trees on the last year, the last 56 days for validation."""
+    rows = slot_table(spark, d)
+    last = st.table(spark, d, "lineitem").agg(F.max(F.col("l_shipdate").cast("date"))).first()[0]
+    age = F.datediff(F.lit(last), "local_date")
+    rows = rows.withColumn("split", F.when(age < 56, "validation").when(age < 365 + 56, "training"))
+    return trees.tree_grid(rows, WALK_INPUTS, STAGED, spec=WALK_SPEC)
+
+
+def tree_stump(spark, d):
+    return trees.trees_forecast(daily_table(spark, d), LAGS, LONG, STUMP_REFIT, spec=STUMP).drop("gains")
+
+
+STUMP_SQL = f"""WITH {DAILY_X},
+d AS (SELECT zone, local_date, y, a, b, local_date - DATE '1970-01-01' AS day FROM x),
+p AS (SELECT DISTINCT zone, day // {STUMP_REFIT} * {STUMP_REFIT} AS first FROM d
+      JOIN (SELECT zone, min(day) AS start FROM d GROUP BY 1) USING (zone) WHERE day // {STUMP_REFIT} * {STUMP_REFIT} - {LONG} >= start),
+w AS (SELECT p.zone, first, y, a, b FROM p JOIN d ON d.zone = p.zone AND first - day BETWEEN 1 AND {LONG} WHERE y + a + b IS NOT NULL),
+s AS (SELECT zone, first, count(*) AS n, avg(y) AS base, quantile_disc(a, {[k / STUMP.bins for k in range(1, STUMP.bins)]}) AS qa,
+             quantile_disc(b, {[k / STUMP.bins for k in range(1, STUMP.bins)]}) AS qb FROM w GROUP BY ALL),
+f AS (SELECT zone, first, 0 AS feature, a AS v, y - base AS r, qa AS q FROM w JOIN s USING (zone, first)
+      UNION ALL SELECT zone, first, 1, b, y - base, qb FROM w JOIN s USING (zone, first)),
+h AS (SELECT zone, first, feature, len(list_filter(list_distinct(q), lambda e: e < v)) AS bin, sum(r) AS g, count(*) AS c, max(v) AS upto
+      FROM f GROUP BY ALL),
+c AS (SELECT *, sum(g) OVER o AS gl, sum(c) OVER o AS cl, sum(g) OVER t AS gt, sum(c) OVER t AS ct FROM h
+      WINDOW o AS (PARTITION BY zone, first, feature ORDER BY bin), t AS (PARTITION BY zone, first, feature)),
+best AS (SELECT zone, first, feature, upto, gl / cl AS low, (gt - gl) / (ct - cl) AS high
+         FROM (SELECT *, gl * gl / cl + (gt - gl) ** 2 / nullif(ct - cl, 0) - gt * gt / ct AS gain FROM c)
+         WHERE cl >= {STUMP.least_rows} AND ct - cl >= {STUMP.least_rows} AND gain > 1e-12
+         QUALIFY row_number() OVER (PARTITION BY zone, first ORDER BY gain DESC, feature, bin) = 1),
+fit AS (SELECT s.zone, s.first, n, base, feature, upto, coalesce(low, 0) AS low, coalesce(high, 0) AS high
+        FROM s LEFT JOIN best USING (zone, first)),
+e AS (SELECT zone, first, sqrt(avg((base + CASE WHEN feature IS NULL THEN 0 WHEN (CASE feature WHEN 0 THEN a ELSE b END) <= upto
+        THEN low ELSE high END - y) ** 2)) AS rmse FROM w JOIN fit USING (zone, first) GROUP BY ALL)
+SELECT d.zone, local_date, CAST(0 AS INTEGER) AS hour, y AS y_true, base + CASE WHEN feature IS NULL THEN 0
+         WHEN (CASE feature WHEN 0 THEN a ELSE b END) <= upto THEN low ELSE high END AS y_pred, n AS n_train, rmse AS rmse_train,
+       CAST(1 AS INTEGER) AS trees
+FROM d JOIN fit ON fit.zone = d.zone AND fit.first = day // {STUMP_REFIT} * {STUMP_REFIT}
+JOIN e ON e.zone = fit.zone AND e.first = fit.first WHERE a + b IS NOT NULL"""
+
+
 MODEL_QUERIES = [
     Query("expert_ols", lambda s, d: shown(expert([365])(s, d)),
           f"WITH {DAILY_X}, {frame_sql(365)} SELECT {FIT_COLUMNS} FROM fits", "y_true y_pred rmse_train", "local_date"),
@@ -438,6 +497,10 @@ SELECT DISTINCT zone, DATE '1970-01-01' + CAST(first AS INTEGER) AS period, rmse
     Query("rmse_in_sample", rmse_in_sample),
     Query("long_short_pair", long_short),
     Query("long_short_origin", long_short_origin),
+    Query("tree_stump", tree_stump, STUMP_SQL, "y_true y_pred rmse_train", "local_date"),
+    Query("trees_walk", trees_walk),
+    Query("trees_importance", lambda s, d: trees.importances(trees_walk(s, d), WALK_INPUTS)),
+    Query("trees_staged", trees_staged),
     Query("gbt_forecast", gbt_forecast),
     Query("gbt_importance", gbt_importance),
     Query("gbt_grid", gbt_grid),
