@@ -28,6 +28,14 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def smaller_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Rows go to Python functions in batches of at most ``size`` bytes, so rows of long texts take little memory at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = int(str(spark.conf.get(key)).rstrip("b"))
+    if held <= 0 or held > size:
+        spark.conf.set(key, f"{size}b")
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: computed once, and safe when executors are lost."""
     path = new_path(df.sparkSession, label)

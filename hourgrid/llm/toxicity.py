@@ -4,7 +4,7 @@ Features are densities and never raw words: hits of a lexicon learned from label
 of toxic documents is far above their share of others), hits of a short general list, hits near a second-person word,
 capitals, punctuation and obfuscated spellings. All is fitted on a bounded sample of the labelled rows, in parts: the
 features a document trains with come from a lexicon learned without its part, so trees do not trust the lexicon more
-than new documents allow, and the calibration is fitted on a part the trees have not seen.
+than new documents allow, and the calibration is fitted on the margins all parts get from trees that have not seen them.
 """
 from __future__ import annotations
 
@@ -12,18 +12,18 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from hourgrid.llm.common import fold, rows_mapped, stored, texts_of, to_batch
+from hourgrid.llm.common import fold, rows_mapped, smaller_batches, stored, texts_of, to_batch
 
 TOXIC_SAMPLE = 6000  # labelled rows drawn of each class, at most about
 CLEAN_SAMPLE = 12000
@@ -32,7 +32,7 @@ LEAST_FILES = 3
 LEAST_ODDS = 2.0
 BEGINNINGS = (4, 5, 6)
 NEAR = 5
-TREES, DEPTH, LEAST_ROWS = 20, 3, 20
+TREES, DEPTH, LEAST_ROWS = 20, 3, 10
 THRESHOLD = 0.3
 PARTS = 3
 ROWS = 256
@@ -207,31 +207,40 @@ def labelled(docs: DataFrame, labels: DataFrame, parts: int, held: int, toxic: i
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     rate = F.when(F.col("label") == 1, toxic / max(1, sizes.get(1, 0))).otherwise(clean / max(1, sizes.get(0, 0)))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    drawn = known.where(draw < rate).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS)))
-    # About ``toxic + clean`` rows at most, whatever the size of the tables.
+    # About ``toxic + clean`` rows at most, whatever the size of the tables. Parts are dealt out in turn within a class.
+    turn = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")) - 1
+    drawn = known.where(draw < rate).withColumn("part", F.pmod(turn, F.lit(PARTS)).cast("long"))
     return texts_of(docs).join(F.broadcast(drawn), "doc_id")
 
 
-def _measured(lexicon: Lexicon):
-    """For ``mapInArrow`` over rows whose last column is a text: the other columns and the text's features."""
+def _measured(lexicon: Lexicon, at_text: int):
+    """For ``mapInArrow``: the columns as they are and the features of the text in column ``at_text``, a null one as empty."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                found = [features(lexicon, text.as_py()) for text in part.column(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.list_(pa.float64()))],
-                                                 names=[*part.schema.names[:-1], FEATURES])
+                found = [features(lexicon, text.as_py() or "") for text in part.column(at_text)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.float64()))],
+                                                 names=[*part.schema.names, FEATURES])
     return run
 
 
+def _trees() -> GBTClassifier:
+    trees = GBTClassifier(featuresCol="_tox_vector", labelCol="label", predictionCol="_tox_class", maxIter=TREES,
+                          maxDepth=DEPTH, maxBins=64, stepSize=0.2, minInstancesPerNode=LEAST_ROWS, seed=1)
+    return trees.setProbabilityCol("_tox_share").setRawPredictionCol("_tox_raw")
+
+
 def with_scores(docs: DataFrame, labels: DataFrame, parts: int, held: int, toxic: int, clean: int) -> DataFrame:
     """``docs`` with its columns and the columns ``FEATURES`` and ``SCORE``; rows never leave their partition."""
+    smaller_batches(docs.sparkSession)
     sample = stored(labelled(docs, labels, parts, held, toxic, clean), "toxicity-sample")
-    sizes = {(r["part"], r["label"]): r["count"] for r in sample.groupBy("part", "label").count().collect()}
+    seen = {r["label"]: r["parts"] for r in sample.groupBy("label").agg(F.count_distinct("part").alias("parts")).collect()}
     *without, lexicon = learned_lexicons(sample)
-    texts = docs.withColumn("_tox_text", F.coalesce(docs["text"].cast("string"), F.lit("")))
-    every = texts.mapInArrow(_measured(lexicon), StructType([*docs.schema.fields, StructField(FEATURES, ArrayType(DoubleType()))]))
-    if any(not sizes.get((part, label)) for part in range(PARTS) for label in (0, 1)):
+    names = docs.columns
+    every = docs.withColumn("text", docs["text"].cast("string")).mapInArrow(
+        _measured(lexicon, names.index("text")), StructType([*docs.schema.fields, StructField(FEATURES, ArrayType(DoubleType()))]))
+    if not seen.get(0) or not seen.get(1):
         return every.withColumn(SCORE, F.lit(0.0))
 
     def measure(_, doc_id, text, label, part):
@@ -240,13 +249,15 @@ def with_scores(docs: DataFrame, labels: DataFrame, parts: int, held: int, toxic
     train = sample.mapInArrow(rows_mapped(schema, measure, ["doc_id", "text", "label", "part"]),
                               f"{FEATURES} array<double>, label double, part long")
     train = stored(train.coalesce(4), "toxicity-features").withColumn("_tox_vector", array_to_vector(FEATURES))
-    trees = GBTClassifier(featuresCol="_tox_vector", labelCol="label", predictionCol="_tox_class", maxIter=TREES,
-                          maxDepth=DEPTH, maxBins=64, stepSize=0.2, minInstancesPerNode=LEAST_ROWS, seed=1)
-    trees = trees.setProbabilityCol("_tox_share").setRawPredictionCol("_tox_raw").fit(train.where("part > 0"))
-    margin = vector_to_array("_tox_share")[1]
-    level = IsotonicRegression(featuresCol="_tox_margin", labelCol="label", predictionCol="_tox_level").fit(
-        trees.transform(train.where("part = 0")).select(margin.alias("_tox_margin"), "label"))
-    guessed = trees.transform(every.withColumn("_tox_vector", array_to_vector(FEATURES))).withColumn("_tox_margin", margin)
+    margin = vector_to_array("_tox_share")[1].alias("_tox_margin")
+    final = _trees().fit(train)
+    if min(seen.values()) < 2:  # too few rows of a class to leave a part out
+        margins = final.transform(train).select(margin, "label")
+    else:
+        margins = reduce(DataFrame.union, [_trees().fit(train.where(F.col("part") != p)).transform(
+            train.where(F.col("part") == p)).select(margin, "label") for p in range(PARTS)])
+    level = IsotonicRegression(featuresCol="_tox_margin", labelCol="label", predictionCol="_tox_level").fit(margins)
+    guessed = final.transform(every.withColumn("_tox_vector", array_to_vector(FEATURES))).withColumn("_tox_margin", margin)
     # A hundredth of the margin keeps the order inside the steps of the calibration.
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.99 * F.col("_tox_level") + 0.01 * F.col("_tox_margin")))
     return level.transform(guessed).select(*docs.columns, FEATURES, score.alias(SCORE))

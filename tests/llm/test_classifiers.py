@@ -35,6 +35,21 @@ def test_toxicity_stands_odd_documents(spark, odd_docs, no_docs):
     assert len(empty) == odd_docs.count() and {r.score for r in empty} == {0.0}
 
 
+def test_toxicity_on_few_labels(spark):
+    """Two toxic rows are enough for scores; a small table does not call clean documents toxic."""
+    small = "/root/testdata/sf0.001"
+    docs = queries.table(spark, small, "documents")
+    labels = {l.doc_id: l.toxic for l in queries.table(spark, small, "labels").collect()}
+    rows = {r.doc_id: r for r in queries.op1_toxicity(spark, small).collect()}
+    known = [(labels[d], r.predicted) for d, r in rows.items() if d in labels]
+    assert np.mean([p for t, p in known if not t]) < 0.1
+    few = spark.createDataFrame([*[(d, 1) for d, t in labels.items() if t and remainder(d, 4) != 2][:2],
+                                 *[(d, 0) for d, t in labels.items() if not t][:38], (987654, 1)], "doc_id long, toxic int")
+    scores = [r.score for r in toxicity.scored(docs, few).collect()]
+    assert len(scores) == docs.count() and max(scores) > 0
+    assert toxicity.without_toxic(docs, few).count() > 0.9 * docs.count()
+
+
 def test_features_see_hidden_words():
     lexicon = toxicity.Lexicon({"=grumble": 3.0, "lowe": 2.0})
     f = dict(zip(toxicity.NAMES, toxicity.features(lexicon, "You GRUMBLE, id1ot! s t u p i d loweish")))
