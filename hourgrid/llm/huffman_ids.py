@@ -11,6 +11,7 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -172,16 +173,23 @@ def packed(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, step: int =
     if not len(ids):
         return b"", b""
     size = lengths[ids].astype(np.int64)
-    at = np.cumsum(size) - size
-    total = int(at[-1] + size[-1])
-    value = codes[ids] << (32 - size - (at & 7))
-    first, n_bytes = at >> 3, (total + 7) // 8
-    out = np.zeros(n_bytes + 4)
-    for k in range(4):
-        piece = (value >> (24 - 8 * k)) & 255
-        if k < 2 or piece.any():
-            out += np.bincount(first + k, weights=piece, minlength=n_bytes + 4)
-    return at[::step].astype("<u8").tobytes(), out[:n_bytes].astype(np.uint8).tobytes()
+    ends = np.cumsum(size)
+    offsets = (ends - size)[::step].astype("<u8").tobytes()
+    # Two neighbours make one code of up to 32 bits, which reaches into two 64-bit words at most.
+    value = codes[ids].astype(np.uint64)
+    if len(ids) % 2:
+        value, size, ends = np.append(value, np.uint64(0)), np.append(size, 0), np.append(ends, ends[-1])
+    value = (value[::2] << size[1::2].astype(np.uint64)) | value[1::2]
+    size, ends = size[::2] + size[1::2], ends[1::2]
+    at = ends - size
+    word, over = at >> 6, (at & 63) + size - 64
+    inside = np.where(over > 0, value >> np.maximum(over, 0).astype(np.uint64), value << np.maximum(-over, 0).astype(np.uint64))
+    out = np.zeros((int(ends[-1]) + 63) // 64 + 1, np.uint64)
+    first = np.nonzero(np.concatenate([[True], word[1:] != word[:-1]]))[0]
+    out[word[first]] = np.bitwise_or.reduceat(inside, first)
+    cut = np.nonzero(over > 0)[0]  # one code at most reaches over the end of a word
+    out[word[cut] + 1] |= value[cut] << (64 - over[cut]).astype(np.uint64)
+    return offsets, out.astype(">u8").tobytes()[:(int(ends[-1]) + 7) // 8]
 
 
 def unpacked(offsets: bytes, payload: bytes, n_ids: int, table, step: int = STEP) -> np.ndarray:
@@ -207,7 +215,7 @@ def _raw(path: str, end: int | None):
     schema = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, pack = encoder(path), zstandard.ZstdCompressor(level=3)
+        own, pack = encoder(path), zstandard.ZstdCompressor(level=1)
         width = np.dtype(own.kind).itemsize
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
@@ -226,7 +234,7 @@ def _blocks(kind: str, most: int):
     width = np.dtype(kind).itemsize
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=6)
+        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         bucket, block, docs, sizes, ids = None, 0, [], [], []
 
         def out() -> pa.RecordBatch:
@@ -320,16 +328,18 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end: int | None = END_
     return spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
 
 
-def read_ids(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_ids(spark: SparkSession, path: str, digest: bool = False) -> tuple[DataFrame, DataFrame]:
     """From files that ``write_ids`` wrote: the documents of each block (ids: little-endian unsigned 32-bit integers,
-    before: ids ahead of them in the block), and how many ids come before each block."""
+    with ``digest`` their unsigned crc32 as ids_crc32 instead; before: ids ahead of them in the block), and how many ids
+    come before each block."""
     code = spark.read.schema("id int, length int").parquet(f"{path}/code").collect()
     lengths = np.zeros(max((r["id"] for r in code), default=0) + 1, np.uint8)
     for r in code:
         lengths[r["id"]] = r["length"]
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
     schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("doc_id", pa.int64()), ("before", pa.int64()),
-                        ("n_tokens", pa.int64()), ("ids", pa.binary())])
+                        ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()) if digest else ("ids", pa.binary())])
+    told = crc32 if digest else bytes
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = decoding_table(lengths)
@@ -337,9 +347,10 @@ def read_ids(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
             for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 ids = unpacked(r["offsets"], r["payload"], r["n_ids"], table).astype("<u4")
                 ends = np.cumsum(r["sizes"]).tolist()
-                yield to_batch([(r["bucket"], r["block"], d, e - n, n, ids[e - n:e].tobytes())
+                yield to_batch([(r["bucket"], r["block"], d, e - n, n, told(ids[e - n:e].data))
                                 for d, n, e in zip(r["doc_ids"], r["sizes"], ends)], schema)
-    found = blocks.mapInArrow(run, "bucket int, block int, doc_id long, before long, n_tokens long, ids binary")
+    found = blocks.mapInArrow(run, "bucket int, block int, doc_id long, before long, n_tokens long, "
+                                   + ("ids_crc32 long" if digest else "ids binary"))
     in_bucket = Window.partitionBy("bucket").orderBy("block")
     sums = blocks.select("bucket", "block", "n_ids")
     # One row for each bucket, of which there are ten thousand at most.
@@ -358,10 +369,9 @@ def id_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def id_digests(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` from the files; the ids are summed up before anything is joined."""
-    found, starts = read_ids(spark, path)
-    small = found.select("bucket", "block", "doc_id", "before", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-    return (small.join(starts, ["bucket", "block"])
+    """``doc_id, start, n_tokens, ids_crc32`` from the files; the ids are summed up where they are decoded."""
+    found, starts = read_ids(spark, path, digest=True)
+    return (found.join(starts, ["bucket", "block"])
             .select("doc_id", (F.col("bucket_start") + F.col("block_start") + F.col("before")).alias("start"), "n_tokens",
                     "ids_crc32"))
 
