@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hourgrid.functions.clock import day_hour, seconds_of
 from hourgrid.functions.numeric import null_safe_total
 from hourgrid.operators import blocks
+from hourgrid.session import computed_once
 
 # Names and columns of the market data model.
 PRODUCTION_TYPES = ["Hydro Water Reservoir", "Hydro Run-of-river and poundage", "Hydro Pumped Storage",
@@ -348,11 +349,76 @@ def missing_by_hour(df: DataFrame, value: str, keys: Sequence[str] = ("zone",),
                                        F.concat_ws(",", dates).alias("missing_dates"))
 
 
-def hour_profile(df: DataFrame, value: str, keys: Sequence[str] = ("zone",), hour: str = "hour") -> DataFrame:
-    """Quartiles by hour, linear interpolation."""
-    q = df.groupBy(*keys, hour).agg(F.percentile(value, F.array(F.lit(.25), F.lit(.5), F.lit(.75))).alias("_q"))
-    return q.select(*keys, hour, F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("median"),
-                    F.col("_q")[2].alias("q75"))
+def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], keys: Sequence[str], bins: int = 1024,
+                    small: int = 10_000) -> DataFrame:
+    """``keys, share, quantile``: exact quantiles with linear interpolation, without all values of a key in one task.
+
+    The ranks a quantile needs are located by counting: values of an interval are counted in equal bins on the map
+    side, and a bin that holds a wanted rank becomes the next interval, between the least and greatest value in it,
+    until it has at most ``small`` rows or one value. Only those rows are ever gathered. A round reads the rows once; their number
+    grows with the logarithm of the spread of the values. Nulls do not count; a key without values has no rows.
+    """
+    rows = computed_once(df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")))
+    total = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    wanted = computed_once(total.select(*keys, "_c", "_lo", "_hi", F.explode(F.array(*[F.lit(float(q)) for q in shares])).alias("share"))
+                           .withColumn("_at", F.col("share") * (F.col("_c") - 1)))
+    ranks = F.array_distinct(F.flatten(F.collect_set(F.array(F.floor("_at"), F.ceil("_at")))))
+    open_ = computed_once(wanted.groupBy(*keys, "_lo", "_hi", "_c").agg(ranks.alias("_ranks")).withColumn("_below", F.lit(0).cast("long")))
+    done = open_.filter((F.col("_c") <= small) | (F.col("_lo") == F.col("_hi")))
+    interval = [*keys, "_lo", "_hi"]
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"i.{k}")) for k in keys]
+    inside = F.col("r._v").between(F.col("i._lo"), F.col("i._hi"))
+
+    def rows_in(intervals: DataFrame) -> DataFrame:
+        """Rows beside the interval they are in: intervals are few, some for each key."""
+        return rows.alias("r").join(intervals.alias("i"), [*same, inside]).select("i.*", "r._v")
+    while True:
+        open_ = open_.filter((F.col("_c") > small) & (F.col("_lo") < F.col("_hi")))
+        if open_.isEmpty():
+            break
+        width = F.col("_hi") / 2 - F.col("_lo") / 2  # halves, since the difference may overflow
+        cell = F.least(F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / width * bins), F.lit(bins - 1))
+        counted = (rows_in(open_).groupBy(*interval, "_below", "_ranks", cell.alias("_cell"))
+                   .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_l"), F.max("_v").alias("_h")))
+        before = F.sum("_n").over(Window.partitionBy(*interval).orderBy("_cell")) - F.col("_n") + F.col("_below")
+        cut = counted.withColumn("_b", before)
+        cut = cut.withColumn("_ranks", F.filter("_ranks", lambda r: (r >= F.col("_b")) & (r < F.col("_b") + F.col("_n"))))
+        open_ = computed_once(cut.filter(F.size("_ranks") > 0).select(
+            *keys, F.col("_l").alias("_lo"), F.col("_h").alias("_hi"), F.col("_n").alias("_c"), "_ranks", F.col("_b").alias("_below")))
+        done = done.unionByName(open_.filter((F.col("_c") <= small) | (F.col("_lo") == F.col("_hi"))))
+    done = computed_once(done)
+    flat = done.filter(F.col("_lo") == F.col("_hi")).select(*keys, F.explode("_ranks").alias("_rank"), F.col("_lo").alias("_v"))
+    sorted_ = (rows_in(done.filter(F.col("_lo") < F.col("_hi"))).groupBy(*interval, "_below", "_ranks")
+               .agg(F.sort_array(F.collect_list("_v")).alias("_values")))
+    named = sorted_.select(*keys, "_values", "_below", F.explode("_ranks").alias("_rank")).select(
+        *keys, "_rank", F.get("_values", (F.col("_rank") - F.col("_below")).cast("int")).alias("_v"))
+    values = flat.unionByName(named)
+
+    def at(end: str) -> DataFrame:
+        return values.select(*[F.col(k).alias(f"_{end}_{k}") for k in keys], F.col("_rank").alias(f"_{end}"), F.col("_v").alias(f"_{end}_value"))
+    out = wanted.withColumns({"_low_rank": F.floor("_at"), "_high_rank": F.ceil("_at")})
+    for end in ("low", "high"):
+        out = out.join(at(end), [*[F.col(k).eqNullSafe(F.col(f"_{end}_{k}")) for k in keys], F.col(f"_{end}_rank") == F.col(f"_{end}")])
+    share = F.col("_at") - F.col("_low_rank")
+    return out.select(*keys, "share", (F.col("_low_value") * (1 - share) + F.col("_high_value") * share).alias("quantile"))
+
+
+def hour_profile(df: DataFrame, value: str, keys: Sequence[str] = ("zone",), hour: str = "hour", small: int = 1_000_000) -> DataFrame:
+    """Median and quartiles by hour, linear interpolation.
+
+    Groups of at most ``small`` values (a century of one hour of the day is 36,500) are sorted as they are; if there is a larger one,
+    the ranks are located by counting (``exact_quantiles``). Both give the same rows.
+    """
+    most = df.groupBy(*keys, hour).agg(F.count(value).alias("n")).agg(F.max("n")).first()[0] or 0
+    named = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    if most <= small:
+        q = df.groupBy(*keys, hour).agg(F.percentile(value, F.array(*map(F.lit, named.values()))).alias("_q"))
+        return q.select(*keys, hour, *[F.col("_q")[k].alias(n) for k, n in enumerate(named)])
+    found = exact_quantiles(df, value, list(named.values()), [*keys, hour])
+    wide = found.groupBy(*keys, hour).agg(*[F.max(F.when(F.col("share") == q, F.col("quantile"))).alias(n) for n, q in named.items()])
+    every = df.select(*keys, hour).distinct().alias("e")  # hours without a value have nulls
+    match = [F.col(f"e.{c}").eqNullSafe(F.col(f"w.{c}")) for c in (*keys, hour)]
+    return every.join(wide.alias("w"), match, "left").select("e.*", *[F.col(f"w.{n}") for n in named])
 
 
 def modal_step(df: DataFrame, keys: Sequence[str] = ("zone",), ts: str = "time_utc") -> DataFrame:

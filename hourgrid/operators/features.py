@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from hourgrid.functions.clock import daily_cycles, hourly_cycles, rush_hour, weekday_dummies, weekday_names
+from hourgrid.functions.clock import daily_cycles, hourly_cycles, rush_hour, seconds_of, weekday_dummies, weekday_names
 from hourgrid.functions.numeric import pct_change, standardise
 from hourgrid.operators import blocks
 from hourgrid.operators.windows import (days_of, frame_sum, lagged, last_of_previous_day, rolling_std, rows_of,
@@ -315,6 +315,37 @@ def origin_history(series: DataFrame, value: str, window: int, keys: Sequence[st
         keys=keys, order=order).drop("_n", "_s", "_f")
 
 
+def range_history(origins: DataFrame, history: DataFrame, seconds: int, keys: Sequence[str] = KEYS, origin: str = "origin",
+                  ts: str = "time_utc") -> DataFrame:
+    """Every origin with the history rows of its series in ``[origin - seconds, origin)``, each pair once.
+
+    For series without a grid: rows may lie anywhere. Both sides are dealt to time bins as long as the window, so an
+    origin meets two bins, the join is an equi join on (series, bin), and a long series spreads over as many tasks as it has
+    bins. Origins without a row in reach, and rows with null keys or times, give nothing. Columns of ``history`` that ``origins``
+    has too (besides the keys) must be renamed first.
+    """
+    both = set(origins.columns) & set(history.columns) - set(keys)
+    if both:
+        raise ValueError(f"columns on both sides: {sorted(both)}")
+    place = F.floor(seconds_of(ts) / seconds)
+    at = seconds_of(origin)
+    dealt = origins.filter(F.col(origin).isNotNull()).withColumn("_bin", F.explode(F.sequence(
+        F.floor((at - seconds) / seconds), F.floor(at / seconds))))
+    pairs = dealt.join(history.filter(F.col(ts).isNotNull()).withColumn("_bin", place), [*keys, "_bin"])
+    reach = F.col(origin) - F.make_dt_interval(secs=F.lit(seconds).cast("decimal(18,6)"))
+    return pairs.filter((F.col(ts) < F.col(origin)) & (F.col(ts) >= reach)).drop("_bin")
+
+
+def range_summary(origins: DataFrame, history: DataFrame, seconds: int, value: str, keys: Sequence[str] = KEYS,
+                  origin: str = "origin", ts: str = "time_utc") -> DataFrame:
+    """``keys, origin`` of every origin row with number, mean, first and last time of its history; 0 and nulls without any."""
+    found = range_history(origins.select(*keys, origin).distinct(), history.select(*keys, ts, value), seconds, keys, origin, ts)
+    told = found.groupBy(*keys, origin).agg(F.count(value).alias("history_rows"), F.avg(value).alias("history_mean"),
+                                            F.min(ts).alias("history_first"), F.max(ts).alias("history_last"))
+    return (origins.select(*keys, origin).join(told, [*keys, origin], "left")
+            .withColumn("history_rows", F.coalesce("history_rows", F.lit(0).cast("long"))))
+
+
 def split_labels(df: DataFrame, origin: str, date: str = DATE, validation_days: int = 2,
                  short_days: int = 14) -> DataFrame:
     """Label rows by their distance to the forecast day: long, short (part of long), validation, forecast."""

@@ -1,6 +1,8 @@
 """Scans, projections, filters, joins, pivots and hourly roll-ups."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hourgrid.functions.clock import calendar_parts, day_hour, hour_floor
@@ -8,7 +10,9 @@ from hourgrid.functions.numeric import null_safe_total
 from hourgrid.operators import blocks, etl, features, scoring
 from hourgrid.plans import standin as st
 from hourgrid.plans.registry import Query
+from hourgrid.session import use_checkpoint_folder
 from hourgrid.sources.tables import hourly_arrays_to_rows
+from hourgrid.streaming import rollup
 
 Y0 = Y1 = None  # the years of the data, whatever they are
 
@@ -170,6 +174,18 @@ def complete_days(spark, d):
     return etl.complete_groups(st.grid(spark, d, ["Price"]), ["zone", "local_date"], "Price")
 
 
+def hourly_sum_stream(spark, d):
+    """The roll-up as a stream over the events' files; state, progress and results lie in the checkpoint folder."""
+    use_checkpoint_folder(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/hourly-sum-{uuid.uuid4().hex}"
+    schema = st.table(spark, d, "events").schema
+    files = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+    rows = files.select(F.col("event_type").alias("zone"), F.col("ts").alias("time_utc"), "value")
+    query = rollup.write_changes(rollup.hourly_sums(rows, late_after="36500 days"), f"{folder}/out", f"{folder}/state")
+    query.awaitTermination()
+    return rollup.current(spark, f"{folder}/out")
+
+
 TABLE_QUERIES = [
     Query("keyed_range_scan", keyed_range_scan, f"""WITH {st.SPEC_SQL},\n{st.VALS_SQL}
 SELECT v.TimeSeriesID, v.DateTime, v.Value, s.Type, s.MapCode FROM vals v JOIN spec s ON s.TimeSeriesID = v.TimeSeriesID
@@ -270,6 +286,9 @@ SELECT TimeSeriesID FROM spec WHERE Name = 'Price' AND Type = 'DayAhead' AND Map
         F.col("event_type").alias("zone"), F.col("ts").alias("time_utc"), "value"), ["zone", "time_utc"], ["value"]),
           "SELECT event_type AS zone, date_trunc('hour', ts) AS time_utc, sum(value) AS value FROM events GROUP BY 1, 2",
           "value", "time_utc"),
+    Query("hourly_sum_stream", hourly_sum_stream,
+          "SELECT event_type AS zone, date_trunc('hour', ts) AS time_utc, sum(value) AS value FROM events GROUP BY 1, 2",
+          "value", "time_utc"),
     Query("hourly_mean", lambda s, d: etl.roll_up_hourly(st.table(s, d, "events").select(
         F.col("event_type").alias("zone"), F.col("ts").alias("time_utc"), "value"), ["zone", "time_utc"], ["value"],
         "mean"),

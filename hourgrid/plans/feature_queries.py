@@ -188,7 +188,23 @@ def pieces_sql(distance: str, t: str) -> str:
             f"WHEN 2 THEN (-3 * {t} ** 3 + 3 * {t} ** 2 + 3 * {t} + 1) / 6 WHEN 3 THEN {t} ** 3 / 6 ELSE 0.0 END")
 
 
+REACH = 36 * 3600
+
+
+def origin_range_history(spark, d):
+    """Origins at the first event of each day, wherever it falls, and the raw events of the 36 hours before."""
+    events = st.table(spark, d, "events").select(F.col("event_type").alias("zone"), F.col("ts").alias("time_utc"), "value")
+    origins = events.groupBy("zone", F.col("time_utc").cast("date").alias("day")).agg(F.min("time_utc").alias("origin")).drop("day")
+    return features.range_summary(origins, events, REACH, "value")
+
+
 FEATURE_QUERIES = [
+    Query("origin_range_history", origin_range_history, f"""WITH e AS (SELECT event_type AS zone, ts, value FROM events),
+o AS (SELECT zone, min(ts) AS origin FROM e GROUP BY zone, CAST(ts AS DATE))
+SELECT o.zone, origin, count(e.value) AS history_rows, avg(e.value) AS history_mean, min(e.ts) AS history_first,
+       max(e.ts) AS history_last
+FROM o LEFT JOIN e ON e.zone = o.zone AND e.ts < o.origin AND e.ts >= o.origin - INTERVAL {REACH} SECOND GROUP BY 1, 2""",
+          "history_mean", "origin history_first history_last"),
     Query("hourly_features", lambda s, d: features.hourly_features(with_weather(s, d), SPEC),
           f"WITH {JOINED_SQL}\n{design_sql(SPEC)}", feature_names(SPEC), "local_date"),
     Query("hourly_features_diff", lambda s, d: features.hourly_features(st.grid(s, d), SPEC_DIFF),
