@@ -162,7 +162,7 @@ def ewa_apply(forecasts: DataFrame, etas: DataFrame, burn_fraction: float = 1 /
 # The update step by step. A reset makes each weight depend on the one before it, so a (zone, hour) is walked in order;
 # it holds one row per day.
 
-def _walk(x: np.ndarray, y: np.ndarray, eta: float, start: np.ndarray) -> np.ndarray:
+def walk_weights(x: np.ndarray, y: np.ndarray, eta: float, start: np.ndarray) -> np.ndarray:
     """Weights before every step and after the last; vanished weights return to 1/K."""
     weights = np.empty((len(y) + 1, x.shape[1]))
     weights[0] = start
@@ -193,7 +193,7 @@ def ewa_with_reset(forecasts: DataFrame, eta: float | DataFrame, names: Sequence
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("local_date")
         x, y = pdf[columns].to_numpy(float), pdf["y_true"].to_numpy(float)
-        weights = _walk(x, y, float(pdf["eta"].iloc[0]), w0)
+        weights = walk_weights(x, y, float(pdf["eta"].iloc[0]), w0)
         combined = (weights[:-1] * x).sum(axis=1)
         return pdf[[*CELL]].assign(y_true=y, y_pred=combined, squared_loss=(combined - y) ** 2,
                                    weights=list(weights[:-1]), next_weights=list(weights[1:]))
@@ -212,7 +212,7 @@ def ewa_tune_with_reset(forecasts: DataFrame, names: Sequence[str], etas: Sequen
     def try_rates(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("local_date")
         x, y = pdf[columns].to_numpy(float), pdf["y_true"].to_numpy(float)
-        losses = [float((((_walk(x, y, e, w0)[:-1] * x).sum(axis=1) - y) ** 2).sum()) for e in etas]
+        losses = [float((((walk_weights(x, y, e, w0)[:-1] * x).sum(axis=1) - y) ** 2).sum()) for e in etas]
         best = int(np.argmin(losses))
         return pd.DataFrame([(*key, float(etas[best]), losses[best])])
 

@@ -65,3 +65,39 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     rows.withColumn("value", F.lit(5.0)).write.mode("overwrite").parquet(f"{out}/batch=10")
     rows.withColumn("value", F.lit(3.0)).write.mode("overwrite").parquet(f"{out}/batch=9")
     assert [r["value"] for r in rollup.current(spark, out).collect()] == [5.0]
+
+
+EXPERTS = ["m1", "m2", "m3"]
+CELLS = "zone string, local_date date, hour int, y_true double, m1 double, m2 double, m3 double"
+
+
+@pytest.mark.parametrize("cuts", [[40], [1, 2, 9, 30, 40], [7, 14, 21, 28, 35, 40]])
+def test_streamed_weights_equal_the_batch_walk(spark, tmp_path, cuts):
+    import numpy as np
+
+    from hourgrid.operators import combine
+    from hourgrid.streaming import weights
+    rng = np.random.default_rng(4)
+    rows = [(z, dt.date(2024, 1, 1) + dt.timedelta(days=d), h, *map(float, 10 * rng.normal(size=4)))
+            for z in ("a", "b") for h in (0, 7) for d in range(40)]
+    table = spark.createDataFrame(rows, CELLS)
+    etas = spark.createDataFrame([(z, h, 0.5 ** (h + 1 + (z == "b"))) for z in ("a", "b") for h in (0, 7)], "zone string, hour int, eta double")
+    long = table.unpivot(["zone", "local_date", "hour", "y_true"], EXPERTS, "model", "y_pred")
+    want = {tuple(r)[:3]: r for r in combine.ewa_with_reset(long, etas, EXPERTS).collect()}
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    done = 0
+    for upto in cuts:
+        days = [dt.date(2024, 1, 1) + dt.timedelta(days=d) for d in range(done, upto)]
+        part = [r for r in rows if r[1] in days]
+        again = [(*r[:3], 99.0, 1.0, 2.0, 3.0) for r in rows if done and r[1] == dt.date(2024, 1, 1)]  # sent twice: late
+        odd = [("a", None, 0, 1.0, 1.0, 1.0, 1.0), ("a", dt.date(2025, 1, 1), 0, None, 1.0, 1.0, 1.0)]
+        spark.createDataFrame([*part, *again, *odd], CELLS).write.mode("append").parquet(source)
+        stream = weights.combined(spark.readStream.schema(CELLS).parquet(source), EXPERTS, etas)
+        query = weights.write_combined(stream, out, state)
+        assert query.awaitTermination(240) and query.exception() is None
+        done = upto
+    got = {tuple(r)[:3]: r for r in spark.read.parquet(out).collect()}
+    assert set(got) == set(want) and spark.read.parquet(out).count() == len(want)
+    for key, r in got.items():
+        assert r["y_pred"] == pytest.approx(want[key]["y_pred"]) and r["squared_loss"] == pytest.approx(want[key]["squared_loss"])
+        assert np.allclose(r["next_weights"], want[key]["next_weights"])
