@@ -13,20 +13,27 @@ from pyspark.sql import functions as F
 from hourgrid.llm.common import new_path, stored
 
 SLOTS = 4096
+COPIES = 10_000
 MAP_SCHEMA = "version int, virtual_slot int, shard int"
 
 
 def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """``doc_id, size, text_crc32, virtual_slot``; size is the UTF-8 length plus 1 (a null text counts as empty).
 
-    The slot comes from the id and the text's checksum, never from the text alone, so a group of equal texts that holds
-    a third of all rows spreads over all slots. Rows equal in both share a slot.
+    The slot comes from the id, the text's checksum and the number of a row among rows equal in both, never from the text
+    alone, so groups of equal texts and repeated rows spread over all slots, also where one holds a third of all rows. Repeated
+    rows are counted on the map side and put back in chunks of ``COPIES``, so no task makes a whole group of them.
     """
     text = F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary")
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"),
                         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
                         F.crc32(text).alias("text_crc32"))
-    return plain.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
+    counted = plain.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("_n"))
+    chunks = counted.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(COPIES).cast("long"))))
+    every = chunks.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).withColumn("_copy", F.explode(
+        F.sequence(F.col("_from"), F.least(F.col("_from") + COPIES, F.col("_n")) - 1)))
+    mark = F.when(F.col("_copy") == 0, F.xxhash64("doc_id", "text_crc32")).otherwise(F.xxhash64("doc_id", "text_crc32", "_copy"))
+    return every.select("doc_id", "size", "text_crc32", F.pmod(mark, F.lit(slots)).cast("int").alias("virtual_slot"))
 
 
 def slot_loads(records: DataFrame) -> DataFrame:

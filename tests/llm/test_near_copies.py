@@ -130,3 +130,30 @@ def test_stored_map_keeps_versions_and_moves_whole_slots(spark, odd_docs, tmp_pa
     versions = spark.read.parquet(path).groupBy("version").count().collect()
     assert {r.version: r["count"] for r in versions} == {1: 16, 2: 16}
     assert len({(r.virtual_slot, r.shard) for r in first}) == len({r.virtual_slot for r in first})
+
+
+def test_repeated_rows_spread_over_shards(spark):
+    """A third of all rows are one row: shards stay near equal, and no slot holds a whole group."""
+    rows = [(1, "the same text of this group")] * 3000 + [(i, f"text number {i} of its own") for i in range(10, 6010)]
+    rows += [(None, "no id")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = shards.sharded(docs, 16).collect()
+    assert len(placed) == len(rows)
+    total, places = {}, {}
+    for r in placed:
+        total[r.shard] = total.get(r.shard, 0) + r.size
+        places.setdefault(r.shard, []).append(r.position)
+    mean = sum(total.values()) / 16
+    assert len(total) == 16 and max(total.values()) < 1.02 * mean and min(total.values()) > 0.98 * mean
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    slots = {r.virtual_slot for r in placed if r.doc_id == 1}
+    assert len(slots) > 1500
+    again = {(r.doc_id, r.text_crc32): r.virtual_slot for r in shards.with_slots(docs.where("doc_id > 1")).collect()}
+    assert all(again[r.doc_id, r.text_crc32] == r.virtual_slot for r in placed if (r.doc_id or 0) > 1)  # slots do not move
+
+
+def test_chunks_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(shards, "COPIES", 7)
+    docs = spark.createDataFrame([(i % 3, "t" * (i % 3)) for i in range(50)], "doc_id long, text string")
+    got = shards.with_slots(docs, 64)
+    assert {r["doc_id"]: r["count"] for r in got.groupBy("doc_id").count().collect()} == {0: 17, 1: 17, 2: 16}

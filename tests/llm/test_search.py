@@ -139,3 +139,11 @@ def test_paraphrases_and_odd_documents(spark, odd_docs, no_docs):
     assert dc.leaks(odd_docs, benchmark).count() == 0 and dc.leaks(no_docs, benchmark).count() == 0
     assert dc.leaks(docs, benchmark.where("false")).count() == 0
     assert dc.clean(odd_docs, benchmark).count() == odd_docs.count()
+
+
+def test_query_equals_sql(spark):
+    import duckdb
+    from compare import differences
+    con = duckdb.connect()
+    con.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.01/embeddings.parquet'")
+    assert differences(queries.op10_mtree(spark, "/root/testdata/sf0.01"), con, queries.SQL["op10_mtree"]) == []
