@@ -9,6 +9,7 @@ The window grows by doubling until it holds such borders; without any it takes i
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from functools import lru_cache
 
@@ -17,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import rows_mapped, texts_of
+from hourgrid.llm.common import rows_mapped, smaller_batches, texts_of
 
-LEAF_CHARS = 16384
-LEAF_IDS = 8192
+LEAF_CHARS = 512
+LEAF_IDS = 256
 FIRST_WINDOW = 64
 # Python's white space holds that of the split pattern, so what precedes is not white space for either.
 BORDER = re.compile(r"(?<=\S)[ \n]")
@@ -111,3 +112,20 @@ def digests(tokens: DataFrame) -> DataFrame:
     """Lowercase hex SHA-256 of ids and decoded bytes."""
     return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                          F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, leaf: int = LEAF_CHARS) -> DataFrame:
+    """``digests`` of every document in one map: texts are encoded, the ids decoded again, and only digests leave the task.
+
+    Null ids, null and empty texts and repeated rows as in ``encoded``.
+    """
+    smaller_batches(docs.sparkSession)
+
+    def one(state, doc_id, text):
+        ids = encode_tree(state[0].encode_ordinary, text, leaf)
+        coded = np.asarray(ids, dtype="<u4").tobytes()
+        back = decode_tree(state[1], np.frombuffer(coded, dtype="<u4").tolist())
+        return doc_id, len(ids), hashlib.sha256(coded).hexdigest(), hashlib.sha256(back).hexdigest()
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    run = rows_mapped(schema, one, ["doc_id", "text"], lambda: codec(ranks_path, pattern))
+    return texts_of(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -22,8 +22,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(MULTI_RANKS), public_tokenizers.PATTERN
-    tokens = bpe_tree.encoded(table(spark, sf_dir, "documents"), path, pattern)
-    return bpe_tree.digests(bpe_tree.decoded(tokens, path, pattern))
+    return bpe_tree.round_trip(table(spark, sf_dir, "documents"), path, pattern)
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

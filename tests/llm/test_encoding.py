@@ -49,3 +49,23 @@ def test_odd_documents(spark, odd_docs, no_docs):
     assert got == want
     assert tokens.count() == odd_docs.count()
     assert bpe_tree.encoded(no_docs, PATH, PATTERN).count() == 0
+
+
+def test_one_map_gives_the_same_digests(spark, odd_docs):
+    import public_tokenizers
+
+    from hourgrid.llm import bpe_tree
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    steps = bpe_tree.digests(bpe_tree.decoded(bpe_tree.encoded(odd_docs, path, pattern), path, pattern))
+    for leaf in (16, bpe_tree.LEAF_CHARS):
+        both = bpe_tree.round_trip(odd_docs, path, pattern, leaf)
+        assert both.columns == steps.columns
+        assert sorted(map(str, both.collect())) == sorted(map(str, steps.collect()))
+
+
+def test_the_tree_joins_most_texts(spark):
+    """Most characters lie in texts longer than a leaf, so the joins decide their ids."""
+    from hourgrid.llm import bpe_tree
+    from hourgrid.llm import queries
+    sizes = [len(r.text or "") for r in queries.table(spark, "/root/testdata/sf0.01", "documents").select("text").collect()]
+    assert sum(s for s in sizes if s > bpe_tree.LEAF_CHARS) > 0.9 * sum(sizes)
