@@ -45,7 +45,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text and digests of ids and of the bytes they decode to."""
     ship_package(spark)
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    return bpe_tree.digests(bpe_tree.decoded(bpe_tree.encoded(docs, path, pattern), path, pattern))
+    return bpe_tree.round_trip(docs, path, pattern)
 
 
 STAGES = [("toxicity", without_toxic), ("line_dedup", without_repeated_lines), ("near_duplicates", without_near_copies),
