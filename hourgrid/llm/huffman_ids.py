@@ -7,7 +7,6 @@ which decoding can start. A block needs nothing but the code table to be read.
 """
 from __future__ import annotations
 
-import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -26,12 +25,9 @@ STEP = 256
 BLOCK_IDS = 1 << 18
 BUCKET_BYTES = 64 << 20
 END_ID = 2
-MEMO, MEMO_CHARS = 200_000, 12
 BATCH = 64
 # Fixed value: the split pattern of byte-level tokenizers.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-# A stretch ends where a space or line feed follows another character: the split pattern always ends a match there.
-STRETCH = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 OTHER_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 BLOCK_SCHEMA = ("bucket int, block int, doc_ids array<long>, sizes array<long>, n_ids long, offsets binary, payload binary")
 
@@ -39,11 +35,10 @@ BLOCK_SCHEMA = ("bucket int, block int, doc_ids array<long>, sizes array<long>,
 class Encoder:
     """The ids that the tokenizers library gives with the tokenizer file at ``path``.
 
-    A text is cut where a space or line feed follows a character that is not white space. No match of the byte-level
-    split pattern crosses such a place, so the ids of a text are those of its stretches, and stretches met before are
-    looked up. New ones are merged by rank: in a byte-level BPE file whose merges make ids in their own order, which is
-    checked, that is what the library does. Texts with other white space or a special token, and all texts of other
-    files, are handed to the library itself.
+    A whole text is split by the byte-level pattern and its pieces are merged by rank, in one call of the tiktoken library:
+    in a byte-level BPE file whose merges make ids in their own order, which is checked, that is what the tokenizers
+    library does. Texts with other white space or a special token, and all texts of other files, are handed to that
+    library itself.
     """
 
     def __init__(self, path: str):
@@ -68,7 +63,6 @@ class Encoder:
                    and set(byte) <= set(plain) and (not made or made[0] > max(plain[c] for c in byte)) and made[:1] != [-1])
         ranks = {bytes(byte[c] for c in t): i for t, i in plain.items()} if by_rank else {}
         self.merge = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if by_rank else None
-        self.memo = Memo(self.merge, self.code) if by_rank else None
 
     def _whole(self, text: str) -> bytes:
         if self.library is None:
@@ -80,29 +74,13 @@ class Encoder:
         tail = b"" if end is None else np.array([end], self.kind).tobytes()
         out = []
         for text in texts:
-            if self.memo is None or any(s in text for s in self.special) or any(c in text for c in OTHER_SPACES):
+            if self.merge is None or any(s in text for s in self.special) or any(c in text for c in OTHER_SPACES):
                 out.append(self._whole(text) + tail)
             else:
-                out.append(b"".join(map(self.memo.__getitem__, STRETCH.findall(text))) + tail)
-            if self.memo is not None and len(self.memo) > MEMO:
-                self.memo.clear()
+                out.append(array(self.code, self.merge(text)).tobytes() + tail)
         return out
 
 
-class Memo(dict):
-    """Stretch -> ids as bytes; short ones, which come again, are kept."""
-
-    def __init__(self, merge, code: str):
-        super().__init__()
-        self.merge, self.code = merge, code
-
-    def __missing__(self, stretch: str) -> bytes:
-        found = array(self.code, self.merge(stretch)).tobytes()
-        if len(stretch) <= MEMO_CHARS:
-            self[stretch] = found
-        return found
-
-
 def byte_letters() -> dict[int, str]:
     """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, the others
     numbered on from 256 in order."""

@@ -93,3 +93,15 @@ def test_odd_documents(spark, odd_docs, no_docs):
     assert hf.written_and_read(no_docs, PATH).count() == 0
     same = odd_docs.selectExpr("cast(7 as long) doc_id", "text")
     assert sum(r.n_tokens for r in hf.written_and_read(same, PATH).collect()) == sum(n for _, n in spans)
+
+
+def test_a_text_is_merged_in_one_call():
+    """Words that are met once only are not looked up and merged one by one."""
+    own, library = hf.Encoder(PATH), Tokenizer.from_file(PATH)
+    merge, calls = own.merge, []
+    own.merge = lambda text: calls.append(text) or merge(text)
+    random.seed(5)
+    texts = [" ".join("".join(random.choices("abcdefghij\n", k=random.randint(1, 15))) for _ in range(200)) for _ in range(10)]
+    got = [np.frombuffer(x, own.kind).tolist() for x in own.encode(texts, 2)]
+    assert got == [library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert calls == texts
