@@ -10,6 +10,7 @@ bound it counts if the passage's answer, its last telling terms, is there too, a
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -110,40 +111,58 @@ class Space:
         length = np.linalg.norm(latent, axis=1, keepdims=True)
         # A passage the latent space holds next to nothing of is compared in the space of terms.
         self.direct = np.nonzero((length[:, 0] < 0.3) & (np.linalg.norm(own, axis=1) > 0))[0]
-        self.latent = np.where(length >= 0.3, latent / np.maximum(length, 1e-9), 0)
-        self.own = own[self.direct]
+        self.spanned = np.nonzero(length[:, 0] >= 0.3)[0]
+        self.latent = (latent / np.maximum(length, 1e-9))[self.spanned]
         self.answers = []
         for _, part in self.parts:
             seen = list(dict.fromkeys(w for w in reversed(part) if w in self.dim))
             self.answers.append(set(seen[:ANSWER]))
-        # For each term the passages that have it, with its share of their telling weight, each term counted once.
+        # For each term the passages that have it, with its place in their vectors and its share of their telling weight,
+        # each term counted once.
         rows = [(self.dim[w], k) for k, (_, p) in enumerate(self.parts) for w in set(p) if w in self.dim]
         term, part = (np.array(x, np.int64) for x in zip(*sorted(rows))) if rows else (np.zeros(0, np.int64),) * 2
         weight = self.idf[term].astype(np.float64) ** 2
         whole = np.bincount(part, weight, minlength=len(self.parts))
         self.holders, self.parts_weight = part, weight / np.maximum(whole[part], 1e-12)
+        self.parts_own = own[part, term].astype(np.float64) * np.isin(part, self.direct)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(self.idf)))])
         # Two windows hold all of a passage of PASSAGE words, three all of a longer one: one of them has this much.
         self.enough = np.array([HELD if len(p) <= PASSAGE else HELD * 2 / 3 for _, p in self.parts]) - 1e-6
 
-    def held(self, dims: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-        """The share of each benchmark passage's telling weight that each of ``n`` windows has."""
+    def compared(self, dims: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """For ``n`` windows and all benchmark passages: the cosine, over the terms for those the latent space does not
+        hold, and the share of a passage's telling weight that a window has."""
         width, parts = len(self.idf), len(self.parts)
-        both = np.unique(at * width + dims)
-        window, term = both // width, both % width
+        both = np.sort(at * width + dims)
+        first = np.nonzero(np.concatenate([[True], both[1:] != both[:-1]]))[0]
+        window, term = both[first] // width, both[first] % width
+        value = np.diff(first, append=len(both)) * self.idf[term].astype(np.float64)
+        length = np.sqrt(np.bincount(window, value * value, minlength=n))
+        value /= np.where(length > 0, length, 1)[window]
         many = self.first[term + 1] - self.first[term]
         place = np.repeat(self.first[term] - (np.cumsum(many) - many), many) + np.arange(many.sum())
         cells = np.repeat(window, many) * parts + self.holders[place]
-        return np.bincount(cells, self.parts_weight[place], minlength=n * parts).reshape(n, parts)
+        cosine = np.bincount(cells, np.repeat(value, many) * self.parts_own[place], minlength=n * parts).reshape(n, parts)
+        held = np.bincount(cells, self.parts_weight[place], minlength=n * parts).reshape(n, parts)
+        if len(self.spanned):
+            weight = self.idf[dims]
+            latent = _row_sums(weight[:, None] * self.basis[dims], at, n)
+            norm = np.linalg.norm(latent, axis=1, keepdims=True)
+            cosine[:, self.spanned] = latent / np.maximum(norm, 1e-9) @ self.latent.T
+        return cosine, held
 
 
 def hits(words: list[bytes], dim: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Positions and terms of the words that are telling."""
-    found = [(i, dim[w]) for i, w in enumerate(words) if w in dim]
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at, dims = zip(*found)
-    return np.array(at, np.int64), np.array(dims, np.int64)
+    terms = np.fromiter(map(dim.get, words, repeat(-1)), np.int64, len(words))
+    at = np.nonzero(terms >= 0)[0]
+    return at, terms[at]
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in ascending order."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
 
 
 def _counted(number: dict[bytes, int]):
@@ -153,13 +172,15 @@ def _counted(number: dict[bytes, int]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, passages = np.zeros(len(number), np.int64), 0
         for batch in batches:
-            for text in batch.column(0):
-                words = words_of(text.as_py())
-                passages += -(-len(words) // PASSAGE)
-                at, terms = hits(words, number)
-                if len(at):
-                    both = np.unique(at // PASSAGE * len(number) + terms)
-                    seen += np.bincount(both % len(number), minlength=len(number))
+            for lo in range(0, batch.num_rows, ROWS):
+                found = []
+                for text in batch.column(0).slice(lo, ROWS):
+                    words = words_of(text.as_py())
+                    at, terms = hits(words, number)
+                    found.append((passages + at // PASSAGE) * len(number) + terms)
+                    passages += -(-len(words) // PASSAGE)
+                both = _distinct(np.concatenate(found))
+                seen += np.bincount(both % max(1, len(number)), minlength=len(number))
         at = np.nonzero(seen)[0]
         yield to_batch([(-1, passages), *zip(at.tolist(), seen[at].tolist())], schema)
     return run
@@ -187,9 +208,11 @@ def _stacked(texts: Iterable[str], dim: dict[bytes, int], stride: int) -> Iterat
         overlaps = PASSAGE // stride
         w = np.concatenate([pos // stride - back for back in range(overlaps)])
         ok = (w >= 0) & (w < windows)
-        used, of = np.unique(w[ok], return_inverse=True)
-        dims.append(np.tile(terms, overlaps)[ok])
-        at.append(n + of)
+        w = w[ok]
+        there = np.bincount(w, minlength=windows) > 0
+        used = np.nonzero(there)[0]
+        dims.append(np.concatenate([terms] * overlaps)[ok])
+        at.append((n - 1 + np.cumsum(there))[w])
         where += [(k, x * stride, words) for x in used.tolist()]
         n += len(used)
         if n >= 1024:
@@ -264,13 +287,8 @@ def _matched(space: Space):
                 ids, of = part.column(0), part.column(2)
                 best: dict[tuple[int, int], tuple] = {}
                 for dims, at, n, where in _stacked((t.as_py() for t in part.column(1)), space.dim, STRIDE):
-                    weight = space.idf[dims]
-                    latent = _row_sums(weight[:, None] * space.basis[dims], at, n)
-                    length = np.linalg.norm(latent, axis=1, keepdims=True)
-                    cosine = latent / np.maximum(length, 1e-9) @ space.latent.T
-                    if len(space.direct):
-                        cosine[:, space.direct] = space.vectors(dims, at, n) @ space.own.T
-                    candidate = (cosine >= COSINE) | (space.held(dims, at, n) >= space.enough)
+                    cosine, held = space.compared(dims, at, n)
+                    candidate = (cosine >= COSINE) | (held >= space.enough)
                     for w, k in zip(*(x.tolist() for x in np.nonzero(candidate))):
                         doc, start, words = where[w]
                         item, own = space.parts[k]

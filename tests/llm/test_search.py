@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hourgrid.llm import decontaminate as dc
@@ -70,6 +71,37 @@ def test_subsequence():
     assert dc.common_subsequence(list("abc"), []) == 0
 
 
+@pytest.mark.parametrize("rank", [0, 64])
+def test_windows_are_compared_by_the_terms_they_hold(rank, monkeypatch):
+    """Cosines and held shares as of whole rows of terms, which are not made for the windows of documents."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(400)]
+    block = dc.Benchmark([(i, " ".join(rng.choice(words, 64))) for i in range(12)])
+    space = block.telling(rng.integers(0, 40, len(block.number)), 1000)
+    own = space.of_parts()
+    space.fit(own.T @ (own @ space.noise(dc.SKETCH)), rank)
+    texts = [" ".join(rng.choice(words, 150)) for _ in range(10)] + [" ".join(w.decode() for w in block.parts[3][1])]
+    dims, at, n, where = next(dc._stacked(texts, space.dim, dc.STRIDE))
+    rows = space.vectors(dims, at, n)
+    want = rows @ own.T
+    if rank:
+        latent, parts = rows @ space.basis, own @ space.basis
+        want[:, space.spanned] = (latent / np.linalg.norm(latent, axis=1, keepdims=True)
+                                  @ (parts / np.linalg.norm(parts, axis=1, keepdims=True)).T)[:, space.spanned]
+    weight = space.idf.astype(float) ** 2
+    share = (rows > 0) * weight @ (own > 0).T / ((own > 0) @ weight)
+    cosine, held = space.compared(dims, at, n)
+    assert bool(rank) == bool(len(space.spanned)) and np.allclose(cosine, want, atol=1e-5) and np.allclose(held, share, atol=1e-5)
+
+    def none(*args):
+        raise AssertionError("a row of all terms for each window")
+    monkeypatch.setattr(dc.Space, "vectors", none)
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts),
+                             "of": pa.array(range(len(texts)), pa.int64())})
+    found = [r for b in dc._matched(space)([batch]) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["item_id"], r["share"]) for r in found] == [(10, 3, 1.0)]
+
+
 def test_copies_among_repeated_telling_words_are_found(spark):
     """Exact copies whose surroundings repeat telling terms of another item, at every offset to the windows."""
     rng = np.random.default_rng(3)
